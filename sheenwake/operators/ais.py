@@ -136,16 +136,19 @@ def drop_teleports(fixes: DataFrame, keys: list[str], max_kn: float = TELEPORT_K
     cols = fixes.columns
     near = with_neighbours(fixes, keys, ["t", "lat", "lon"], bucket_s)
     jump = implied_kn("prev.lat", "prev.lon", F.col("prev.t"), "lat", "lon", F.col("t")) > max_kn
-    dirty = (near.groupBy(*keys).agg(F.max(F.coalesce(jump, F.lit(False))).alias("hit"))
-             .where("hit").select(*keys))
+    dirty = cut_lineage(near.groupBy(*keys).agg(F.max(F.coalesce(jump, F.lit(False))).alias("hit"))
+                        .where("hit").select(*keys))
     clean = fixes.join(dirty, keys, "left_anti")
 
     buckets = (fixes.join(dirty, keys, "left_semi")
                .withColumn("bucket", bucket_of("t", bucket_s))
                .groupBy(*keys, "bucket")
                .agg(F.array_sort(F.collect_list(F.struct("t", "lat", "lon"))).alias("fixes")))
-    no_anchor = F.lit(None).cast("struct<t:double,lat:double,lon:double>")
-    buckets = cut_lineage(buckets.withColumn("entry", no_anchor))
+    # First belief: the last fix of the bucket before was accepted.
+    by_time = Window.partitionBy(*keys).orderBy("bucket")
+    guess = buckets.select(*keys, "bucket", F.element_at("fixes", -1).alias("tail")).select(
+        *keys, "bucket", F.lag("tail").over(by_time).alias("entry"))
+    buckets = buckets.join(guess, [*keys, "bucket"])
 
     def fold(entry: Column) -> Column:
         start = F.struct(entry.alias("anchor"), F.array().cast("array<double>").alias("kept"))
@@ -159,7 +162,7 @@ def drop_teleports(fixes: DataFrame, keys: list[str], max_kn: float = TELEPORT_K
         return F.aggregate("fixes", start, step)
 
     state = buckets.withColumn("out", fold(F.col("entry")))
-    carry = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = by_time.rowsBetween(Window.unboundedPreceding, -1)
     for _ in range(max_rounds):
         state = cut_lineage(state)
         # Only the anchors pass through the window: one small row per bucket.
@@ -182,7 +185,8 @@ def drop_teleports(fixes: DataFrame, keys: list[str], max_kn: float = TELEPORT_K
 
 def clean_tracks(df: DataFrame, keys: list[str], order: str | None = None,
                  max_kn: float = TELEPORT_KN, bucket_s: float = 3600.0) -> DataFrame:
-    return drop_teleports(dedupe_fixes(df, keys, order), keys, max_kn, bucket_s)
+    # The filter reads its input several times, so the deduplicated fixes are written once.
+    return drop_teleports(cut_lineage(dedupe_fixes(df, keys, order)), keys, max_kn, bucket_s)
 
 
 def vessel_statics(df: DataFrame, keys: list[str]) -> DataFrame:

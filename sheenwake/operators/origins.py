@@ -93,7 +93,7 @@ def candidate_vessels(near: DataFrame, radius_km: float = RADIUS_KM,
 def from_point_cloud(points: DataFrame, n: int = 200, sigma_km: float = 5.0,
                      sigma_min: float = 60.0) -> DataFrame:
     """Gaussian samples around point origins (origin_id, lat, lon, t)."""
-    s = points.withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long"))
+    s = points.withColumn("sample_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     key = F.hash("origin_id").cast("long")
     key = F.pmod(key, F.lit(1_000_003))
     east, north = normal_pair(key, F.col("sample_id"), 0, 1)

@@ -43,3 +43,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = os.path.join(tempfile.mkdtemp(prefix="sheenwake-"), "checkpoints")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Spread small rows with much work each over all tasks.
+
+    The explicit number keeps the size-based coalescing from gathering them again.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)
