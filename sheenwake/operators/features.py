@@ -122,3 +122,12 @@ def track_match(fixes: DataFrame, candidates: DataFrame, track: DataFrame, summa
     ok = F.when(F.col("n_fixes") >= 2, F.col("m"))
     return (candidates.select(*KEYS, "n_fixes").join(scored, KEYS, "left")
             .select(*KEYS, F.coalesce(ok, F.lit(0.0)).alias("track_match")))
+
+
+def closest_approach(fixes: DataFrame, candidates: DataFrame, samples: DataFrame,
+                     bucket_s: float = 3600.0) -> DataFrame:
+    """(origin, vessel, sample_id, dist_km, cog, sog) of the nearest sample; first on a tie."""
+    rows = sample_rows(fixes, candidates, samples, bucket_s).where(F.col("d").isNotNull())
+    best = F.min_by(F.struct("sample_id", F.col("d").alias("dist_km"), nearest_value("cog").alias("cog"),
+                             nearest_value("sog").alias("sog")), F.struct("d", "sample_id"))
+    return rows.groupBy(*KEYS).agg(best.alias("b")).select(*KEYS, "b.*")

@@ -69,7 +69,8 @@ def curate(df: DataFrame, ais_era_only: bool = False) -> DataFrame:
 
 
 def by_priority(curated: DataFrame) -> DataFrame:
-    return curated.orderBy(F.desc("priority"), F.desc_nulls_last("year"))
+    return curated.orderBy(F.desc("priority"), F.desc_nulls_last("year"), F.desc_nulls_last("date"),
+                           "name", "lat", "lon")
 
 
 def incident_summary(curated: DataFrame) -> DataFrame:

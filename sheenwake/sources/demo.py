@@ -21,7 +21,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     # One raw position report per event; every seventh error event jumps 3 degrees north.
     "ais_raw": (["events"], """
         select event_id as ord, cast(200000000 + u as varchar(20)) as "MMSI",
-          t as "T_UNIX",
+          t as "Time",
           cast(186e-1 + 3e0*(b%13) + ((u*7919)%1000-500)/500e0
             + (((u*31)%21)-10)/100e0*(t-1704081600e0)/3600e0
             + case when event_type='error' and event_id%7=0 then 3e0 else 0e0 end as double) as "LAT",
@@ -42,7 +42,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
               from events)"""),
     # The same reports in canonical form.
     "ais": (["ais_raw"], """
-        select ord, cast("MMSI" as bigint) as mmsi, cast("T_UNIX" as double) as t,
+        select ord, cast("MMSI" as bigint) as mmsi, cast("Time" as double) as t,
           "LAT" as lat, "LON" as lon,
           case when "SOG" > 102 then null else "SOG" end as sog,
           case when "COG" > 360 then null else "COG" end as cog,
@@ -159,7 +159,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         from labels"""),
     # One incident per order.
     "incident_raw": (["orders", "part"], """
-        select o_orderkey as "ID", o_orderdate as "Open Date",
+        select o_orderkey as "ID", o_orderdate + interval 12 year as "Open Date",
           case o_orderkey%7
             when 0 then concat('M/V ', upper(w1), ' ', upper(w2), '; diesel spill, mile ', k)
             when 1 then concat('Tug ', upper(w1), ' ', k, ' aground - oil sheen')
