@@ -147,9 +147,8 @@ V["feat"] = (["vd", "cfix", "cand", "origin"], f"""
         else 4e-1 end as vtype_prior,
       case when st.length > 0 then least(1e0, greatest(0e0, log10(st.length/10e0)/log10(40e0))) else 35e-2 end as size_score
     from (select origin_id, mmsi, avg(exp(-coalesce(d, 1e6)/5e0)) as prox_score, least(coalesce(min(d), 500e0), 500e0) as min_dist_km,
-            coalesce(avg(least(d, 200e0)), 500e0) as mean_dist_km, least(min({NEAREST})/60e0, 1440e0) as time_gap_min,
-            avg(case when {IN_GAP} and d <= 25 then 1e0 else 0e0 end) as gap_over_origin,
-            arg_min(struct_pack(c := {closer('cog')}, s := {closer('sog')}), (d, sample_id)) filter (d is not null) as cpa
+            coalesce(avg(case when d > 200 then 200e0 else d end), 500e0) as mean_dist_km, least(min({NEAREST})/60e0, 1440e0) as time_gap_min,
+            avg(case when {IN_GAP} and d <= 25 then 1e0 else 0e0 end) as gap_over_origin
           from vd group by origin_id, mmsi) s
     join (select origin_id, mmsi, count(*) as n_fixes, any_value(t0) as t0, any_value(t1) as t1,
             coalesce(avg(case when win then case when {hav('lat', 'lon', 'lat_c', 'lon_c')} <= 25 then 1e0 else 0e0 end end), 0e0) as dwell_frac,
@@ -201,16 +200,6 @@ def score_sql(weights: dict[str, float], bias: float) -> str:
 V["evid"] = (["feat"], " union all ".join(
     f"select origin_id, mmsi, {i} as pos, {num(w)}*({TERMS[k]}) as c, {SENTENCES[k]} as s from feat"
     for i, (k, w) in enumerate(WEIGHTS.items())))
-V["susp"] = (["feat", "evid"], f"""
-    select *, row_number() over (partition by origin_id order by score desc, mmsi)::int as rank,
-      100e0*exp(score - max(score) over (partition by origin_id))
-        / sum(exp(score - (select max(b.score) from (select origin_id, {score_sql(WEIGHTS, -3.2)} as score from feat) b where b.origin_id = q.origin_id))) over (partition by origin_id) as attribution_pct
-    from (select feat.*, {score_sql(WEIGHTS, -3.2)} as score, 1/(1+exp(-({score_sql(WEIGHTS, -3.2)}))) as prob,
-            coalesce(e.evidence, 'Present in the area, but no distinguishing evidence') as evidence
-          from feat left join (
-            select origin_id, mmsi, string_agg(s, ' | ' order by k) as evidence from (
-              select *, row_number() over (partition by origin_id, mmsi order by c desc, pos) as k from evid
-              where c >= 25e-2 and s is not null) where k <= 4 group by origin_id, mmsi) e using (origin_id, mmsi)) q""")
 V["susp"] = (["feat", "evid"], f"""
     select * exclude (z), 100e0*z/sum(z) over (partition by origin_id) as attribution_pct from (
     select *, row_number() over (partition by origin_id order by score desc, mmsi)::int as rank,
@@ -254,7 +243,7 @@ V["match"] = (["tn", "cfix", "osum", "cand"], f"""
 V["truthrank"] = (["truth", "susp"], """
     select t.origin_id, t.truth_mmsi, s.rank, coalesce(s.attribution_pct, 0e0) as attribution_pct, coalesce(n, 0) as n_candidates
     from truth t left join susp s on s.origin_id = t.origin_id and s.mmsi = t.truth_mmsi
-    left join (select origin_id, count(*) as n from susp group by origin_id) using (origin_id)""")
+    left join (select origin_id, count(*) as n from susp group by origin_id) c on c.origin_id = t.origin_id""")
 
 # ------------------------------------------------------------------ drift
 
@@ -367,25 +356,14 @@ V["final"] = (["kept", "rest_lab"], f"""
 V |= closure("final", "lab")
 V["meas"] = (["lab", "scene"], f"""
     select *, 4e0*sqrt(l1)*px as major_m, 4e0*sqrt(l2)*px as minor_m, case when l1 > 0 then sqrt(1-l2/l1) else 0e0 end as eccentricity,
-      {mod("-degrees(case when abs(vr-vc) < 2e-12 and abs(cv) < 1e-12 then -pi()/4 else 5e-1*atan2(2e0*cv, vr-vc) end)", "180e0")} as azimuth,
+      {mod("-degrees(case when abs(vr-vc) < 2e-9 and cv = 0 then -pi()/4 else 5e-1*atan2(2e0*cv, vr-vc) end)", "180e0")} as azimuth,
       case when 4e0*sqrt(l2)*px > 1e-6 then sqrt(l1)/sqrt(l2) end as elongation
     from (select *, (vr+vc)/2 + sqrt(pow((vr-vc)/2, 2)+cv*cv) as l1, greatest((vr+vc)/2 - sqrt(pow((vr-vc)/2, 2)+cv*cv), 0e0) as l2
       from (select scene_id, label, count(*) as area_px, count(*)*any_value(pixel_size_m)*any_value(pixel_size_m) as area_m2, any_value(pixel_size_m) as px,
-              avg(row) as row_c, avg(col) as col_c, var_pop(row::double) as vr, var_pop(col::double) as vc, covar_pop(row::double, col::double) as cv
+              avg(row) as row_c, avg(col) as col_c, var_pop(row::double) as vr, var_pop(col::double) as vc, case when abs(covar_pop(row::double, col::double)) < 1e-9 then 0e0 else covar_pop(row::double, col::double) end as cv
             from lab join scene using (scene_id) group by scene_id, label))""")
 V["bord"] = (["lab"], """
-    select l.* from lab l left join (
-      select l.scene_id, l.row, l.col from lab l join lab m on l.scene_id = m.scene_id and l.label = m.label and abs(l.row-m.row)+abs(l.col-m.col) = 1
-        and m.row between l.row-1 and l.row+1 and m.col between l.col-1 and l.col+1
-      group by l.scene_id, l.row, l.col having count(*) = 4) w using (scene_id, row, col) where w.scene_id is null""")
-V["bord"] = (["lab"], """
-    select lab.* from lab left join (
-      select scene_id, row, col from (
-        select scene_id, label, row + dr as row, col + dc as col from lab, (values (0, 1), (0, -1), (1, 0), (-1, 0)) s(dr, dc)) n
-      join lab using (scene_id, row, col) where n.label = lab.label group by scene_id, row, col having count(*) = 4) w
-    using (scene_id, row, col) where w.scene_id is null""")
-V["bord"] = (["lab"], """
-    select * exclude (inner_n) from (select lab.*, (select 0) as inner_n from lab) l where (scene_id, row, col) not in (
+    select * from lab where (scene_id, row, col) not in (
       select (a.scene_id, a.row, a.col) from (
         select scene_id, label, row + dr as row, col + dc as col from lab, (values (0, 1), (0, -1), (1, 0), (-1, 0)) s(dr, dc)) a
       join lab b on a.scene_id = b.scene_id and a.row = b.row and a.col = b.col and a.label = b.label
@@ -510,7 +488,7 @@ O["snk2_suspects_report"] = (["susp", "match", "cfix"], """
     where rank <= 10""")
 O["snk3_origin_report"] = (["psum", "hb", "heat", "ptrack", "win"], f"""
     select slick_id, {rd('lat_c', 'lon_c', n=4)}, n_particles, round(spread_km, 2) as spread_km,
-      {rd('lat_min', 'lat_max', 'lon_min', 'lon_max', n=4)}, n_cells, n_nodes, {rd('earliest', 'most_likely', 'latest', n=2)}, bearing as slick_bearing_deg, 64 as bins
+      {rd('lat_min', 'lat_max', 'lon_min', 'lon_max', n=5)}, n_cells, n_nodes, {rd('earliest', 'most_likely', 'latest', n=2)}, bearing as slick_bearing_deg, 64 as bins
     from psum join hb using (slick_id) join (select slick_id, count(*) as n_cells from heat group by all) using (slick_id)
     join (select slick_id, count(*) as n_nodes from ptrack group by all) using (slick_id) join win using (slick_id)""")
 O["snk4_curated_csv"] = (["cur"], "select name, lat, lon, year, guess as vessel_guess, is_oil, is_vessel, ais_era, priority from cur")
@@ -573,14 +551,14 @@ O["jn9_decode_mask"] = (["rgb"], f"""
       select scene_id, row, col, min(pow(r-x, 2)+pow(g-y, 2)+pow(b-z, 2)) as d, arg_min(k, (pow(r-x, 2)+pow(g-y, 2)+pow(b-z, 2), k)) as k
       from rgb, (values {_pal}) p(k, x, y, z) group by scene_id, row, col)""")
 O["jn10_grid_current_lookup"] = (["origin_sample", "grid", "site"], """
-    select slick_id, sample_id, round(sum(u*w), 5) as u, round(sum(v*w), 5) as v from (
-      select q.slick_id, q.sample_id, g.u, g.v, (case when g.yi = y0 then 1-(fy-y0) else fy-y0 end)*(case when g.xi = x0 then 1-(fx-x0) else fx-x0 end) as w
+    select slick_id, sample_id, round(sum(u*w), 8) as u, round(sum(v*w), 8) as v from (
+      select q.slick_id, q.sample_id, q.rid, g.u, g.v, (case when g.yi = y0 then 1-(fy-y0) else fy-y0 end)*(case when g.xi = x0 then 1-(fx-x0) else fx-x0 end) as w
       from (select *, least(floor(fy), 10)::bigint as y0, least(floor(fx), 10)::bigint as x0 from (
-        select origin_id as slick_id, sample_id, arg_min(k, (abs(tc-43200e0+21600e0*k - t), k)) as ti,
+        select origin_id as slick_id, sample_id, rid, arg_min(k, (abs(tc-43200e0+21600e0*k - t), k)) as ti,
           any_value(least(11e0, greatest(0e0, (lat-(lat0-2e0))/(4e0/11)))) as fy, any_value(least(11e0, greatest(0e0, (lon-(lon0-2e0))/(4e0/11)))) as fx
-        from (select distinct * from origin_sample) join site on site_id = origin_id, range(4) s(k) group by origin_id, sample_id)) q
+        from (select *, row_number() over () as rid from origin_sample) join site on site_id = origin_id, range(4) s(k) group by origin_id, sample_id, rid)) q
       join grid g on g.slick_id = q.slick_id and g.ti = q.ti and g.yi between y0 and y0+1 and g.xi between x0 and x0+1)
-    group by slick_id, sample_id""")
+    group by slick_id, sample_id, rid""")
 O["jn11_match_instances"] = (["matches"], "select scene_id, g, p, round(iou, 6) as iou from matches")
 O["jn12_case_truth_rank"] = (["truthrank"], "select origin_id, truth_mmsi, rank, round(attribution_pct, 3) as attribution_pct, n_candidates from truthrank")
 O["jn13_origin_error_km"] = (["osum", "truth"], f"select origin_id, round({hav('lat_c', 'lon_c', 'true_lat', 'true_lon')}, 5) as error_km from osum join truth using (origin_id)")
@@ -607,7 +585,6 @@ O["agg13_particle_spread"] = (["origin_sample"], """
     from (select *, avg(lat) over (partition by origin_id) as lat_c, avg(lon) over (partition by origin_id) as lon_c from origin_sample) group by origin_id, lat_c, lon_c""")
 O["agg14_time_window"] = (["win"], f"select slick_id, {rd('earliest', 'most_likely', 'latest', n=3)} from win")
 O["agg15_confusion_matrix"] = (["cm"], "select * from cm")
-_iou = ", ".join(f"round(sum(n) filter (truth={i} and pred={i})/nullif(sum(n) filter (truth={i} or pred={i}), 0), 6) as iou_{c}" for i, c in enumerate(CLASSES))
 _iou = ", ".join(f"round(i{i}, 6) as iou_{c}" for i, c in enumerate(CLASSES))
 _raw = ", ".join(f"coalesce(sum(n) filter (truth={i} and pred={i}), 0)/nullif(sum(n) filter (truth={i} or pred={i}), 0) as i{i}" for i in range(5))
 O["agg16_iou_report"] = (["cm"], f"""
@@ -749,7 +726,7 @@ O["sc26_augment_flip_rot"] = (["pixel"], f"""
     select scene_id, (case k when 0 then r when 1 then 47-c when 2 then 47-r else c end) as row, (case k when 0 then c when 1 then r when 2 then 47-c else 47-r end) as col, round(value, 6) as value
     from (select scene_id, value, case when {_u(11)} < 5e-1 then 47-col else col end as c, case when {_u(12)} < 5e-1 then 47-row else row end as r, floor({_u(13)}*4)::int as k from pixel)""")
 O["sc27_resize_scene"] = (["pixel", "mask"], """
-    select scene_id, r as row, c as col, round(v, 6) as value, m.cls from (
+    select scene_id, r as row, c as col, round(v, 11) as value, m.cls from (
       select scene_id, r, c, sum(value*(1-abs(y-row))*(1-abs(x-col))) as v from (
         select *, least(47e0, greatest(0e0, (r+5e-1)*48/32e0-5e-1)) as y, least(47e0, greatest(0e0, (c+5e-1)*48/32e0-5e-1)) as x from range(32) a(r), range(32) b(c)) t
       join pixel p on p.row between floor(y) and floor(y)+1 and p.col between floor(x) and floor(x)+1 group by scene_id, r, c) z

@@ -69,7 +69,7 @@ def behaviour_features(fixes: DataFrame, candidates: DataFrame, samples: DataFra
         F.coalesce(F.avg(F.when(s, F.exp(-F.coalesce(d, F.lit(1e6)) / PROX_KM))), F.lit(0.0))
         .alias("prox_score"),
         F.least(F.coalesce(F.min(d), F.lit(NO_DISTANCE_KM)), F.lit(NO_DISTANCE_KM)).alias("min_dist_km"),
-        F.coalesce(F.avg(F.least(d, F.lit(MEAN_CAP_KM))), F.lit(NO_DISTANCE_KM)).alias("mean_dist_km"),
+        F.coalesce(F.avg(F.when(d.isNotNull(), F.least(d, F.lit(MEAN_CAP_KM)))), F.lit(NO_DISTANCE_KM)).alias("mean_dist_km"),
         share(d_fix <= radius_km, win).alias("dwell_frac"),
         F.least(F.min(F.when(s, nearest_dt())) / 60.0, F.lit(MINUTES_CAP)).alias("time_gap_min"),
         share(F.col("sog").between(2.0, 9.0), win & F.col("sog").isNotNull()).alias("slow_steaming"),

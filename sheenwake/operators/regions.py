@@ -34,11 +34,13 @@ def region_measures(labelled: DataFrame, scenes: DataFrame) -> DataFrame:
         F.count("*").alias("area_px"), F.avg("row").alias("row_c"), F.avg("col").alias("col_c"),
         F.var_pop(F.col("row").cast("double")).alias("vr"), F.var_pop(F.col("col").cast("double")).alias("vc"),
         F.covar_pop(F.col("row").cast("double"), F.col("col").cast("double")).alias("cv"))
+    # The axis of a symmetric region must not hang on the last bit of its covariance.
+    m = m.withColumn("cv", F.when(F.abs("cv") < 1e-9, 0.0).otherwise(F.col("cv")))
     half = (F.col("vr") - F.col("vc")) / 2
     mean, gap = (F.col("vr") + F.col("vc")) / 2, F.sqrt(half * half + F.col("cv") * F.col("cv"))
     m = m.withColumns({"l1": mean + gap, "l2": F.greatest(mean - gap, F.lit(0.0))})
     # A region without a longest axis is given the fixed diagonal one.
-    round_one = (F.abs(half) < 1e-12) & (F.abs("cv") < 1e-12)
+    round_one = (F.abs(half) < 1e-9) & (F.col("cv") == 0)
     angle = F.when(round_one, -math.pi / 4).otherwise(0.5 * F.atan2(2 * F.col("cv"), 2 * half))
     px = F.col("pixel_size_m")
     major, minor = 4 * F.sqrt("l1") * px, 4 * F.sqrt("l2") * px

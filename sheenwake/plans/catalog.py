@@ -118,7 +118,7 @@ def snk3_origin_report(c):
          "track": drift.origin_track(cloud), "window": drift.time_window(c.t("slick_drift"))}
     x = drift.origin_report(h, c.t("slick_drift"))
     return x.select("slick_id", r("lat_c", 4), r("lon_c", 4), "n_particles", r("spread_km", 2),
-                    r("lat_min", 4), r("lat_max", 4), r("lon_min", 4), r("lon_max", 4),
+                    r("lat_min", 5), r("lat_max", 5), r("lon_min", 5), r("lon_max", 5),
                     F.size("heat_cells").cast("long").alias("n_cells"), F.size("track").cast("long").alias("n_nodes"),
                     r("earliest", 2), r("most_likely", 2), r("latest", 2), "slick_bearing_deg", "bins")
 
@@ -293,7 +293,7 @@ def jn9_decode_mask(c):
 def jn10_grid_current_lookup(c):
     p = c.t("origin_sample").select(F.col("origin_id").alias("slick_id"), "sample_id", "t", "lat", "lon")
     x = drift.grid_current_lookup(p, readers.read_current_grid(c.t("current_grid")))
-    return x.select("slick_id", "sample_id", r("u", 5), r("v", 5))
+    return x.select("slick_id", "sample_id", r("u", 8), r("v", 8))
 
 
 @query
@@ -731,7 +731,7 @@ def sc26_augment_flip_rot(c):
 def sc27_resize_scene(c):
     x = raster.resize_scene(c.t("pixel"), c.t("scene"), 32)
     y = raster.resize_scene(c.t("mask"), c.t("scene"), 32, labels=True)
-    return x.join(y, ["scene_id", "row", "col"]).select("scene_id", "row", "col", r("value"), "cls")
+    return x.join(y, ["scene_id", "row", "col"]).select("scene_id", "row", "col", r("value", 11), "cls")
 
 
 # ------------------------------------------------------------------ trajectories
