@@ -19,13 +19,23 @@ def bucket_of(t, bucket_s: float) -> Column:
     return F.floor(col(t) / float(bucket_s))
 
 
-def _bucket_carry(marked: DataFrame, keys: list[str], fix: Column) -> DataFrame:
-    """Per (keys, bucket): last fix of earlier buckets and first fix of later ones.
+def extreme_fix(by, fields: list[str], where: Column | None = None) -> Column:
+    """Aggregate: struct of ``fields`` of the first (F.min_by) or last (F.max_by) fix.
 
-    ``fix`` is a struct whose first field is the time, null on rows that are not fixes.
+    Field by field, so that the buffer is plain numbers and the aggregate can hash; an
+    aggregate over structs would sort all fixes first. Times of a track are unique.
     """
+    t = F.col("t") if where is None else F.when(where, F.col("t"))
+    got = F.struct(*[by(F.col(c), t).alias(c) for c in fields])
+    return F.when(F.count(t) > 0, got)
+
+
+def _bucket_carry(marked: DataFrame, keys: list[str], fields: list[str],
+                  where: Column | None = None) -> DataFrame:
+    """Per (keys, bucket): last fix of earlier buckets and first fix of later ones."""
     ends = (marked.groupBy(*keys, "bucket")
-            .agg(F.min(fix).alias("head"), F.max(fix).alias("tail")))
+            .agg(extreme_fix(F.min_by, fields, where).alias("head"),
+                 extreme_fix(F.max_by, fields, where).alias("tail")))
     up = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     down = (Window.partitionBy(*keys).orderBy(F.desc("bucket"))
             .rowsBetween(Window.unboundedPreceding, -1))
@@ -38,13 +48,24 @@ def with_neighbours(df: DataFrame, keys: list[str], fields: list[str],
     """Every fix with ``prev``: the struct of ``fields`` (time first) of the fix before it."""
     fix = F.struct(*fields)
     marked = df.withColumn("bucket", bucket_of("t", bucket_s))
-    carry = _bucket_carry(marked, keys, fix).drop("after")
+    carry = _bucket_carry(marked, keys, fields).drop("after")
     w = Window.partitionBy(*keys, "bucket").orderBy("t")
     return (marked.withColumn("prev", F.lag(fix).over(w))
             .join(carry, [*keys, "bucket"], "left")
             .withColumn("prev", F.coalesce("prev", "before")).drop("before", "bucket"))
 
 
+def numbered(df: DataFrame, keys: list[str], bucket_s: float, name: str = "rn_") -> DataFrame:
+    """Rows of a track numbered from 1 in time order, counted bucket by bucket."""
+    x = df.withColumn("bucket", bucket_of("t", bucket_s))
+    n = x.groupBy(*keys, "bucket").agg(F.count("*").alias("c_"))
+    w = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    start = n.select(*keys, "bucket", F.coalesce(F.sum("c_").over(w), F.lit(0)).alias("start_"))
+    inner = Window.partitionBy(*keys, "bucket").orderBy("t")
+    return (x.join(start, [*keys, "bucket"])
+            .withColumn(name, F.col("start_") + F.row_number().over(inner)).drop("start_", "bucket"))
+
+
 def asof_rows(fixes: DataFrame, samples: DataFrame, keys: list[str], fields: list[str],
               bucket_s: float = 3600.0) -> DataFrame:
     """Fixes and samples in one table, each with ``prev`` and ``next`` fix.
@@ -58,7 +79,7 @@ def asof_rows(fixes: DataFrame, samples: DataFrame, keys: list[str], fields: lis
     both = (fixes.withColumn("is_sample", F.lit(False))
             .unionByName(samples.withColumn("is_sample", F.lit(True)), allowMissingColumns=True)
             .withColumn("bucket", bucket_of("t", bucket_s)).withColumn("fix", fix))
-    carry = _bucket_carry(both, keys, F.col("fix"))
+    carry = _bucket_carry(both, keys, fields, ~F.col("is_sample"))
     part = Window.partitionBy(*keys, "bucket")
     up = (part.orderBy("t", "is_sample").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # Downwards a sample meets an equal-time fix first; a fix looks strictly past itself.

@@ -1,14 +1,16 @@
-"""The fourteen vessel features against an origin cloud, in one pass over as-of rows."""
+"""The fourteen vessel features against an origin cloud."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.evidence import FEATURES
 from ..functions.geo import axis_alignment, clamp, circular_variance, haversine_km
 from ..functions.vessels import size_score, vtype_prior
+from ..session import cut_lineage
 from .ais import GAP_S, vessel_statics
-from .asof import asof_rows, inside_gap, interpolated, nearest_dt, nearest_value
+from .asof import (bucket_of, extreme_fix, inside_gap, interpolated, nearest_dt,
+                   nearest_value, with_neighbours)
 from .origins import RADIUS_KM
 
 # Proximity length (km), feature window (h), stand-in and cap of distances
@@ -17,104 +19,133 @@ PROX_KM, WINDOW_H = 5.0, 3.0
 NO_DISTANCE_KM, MEAN_CAP_KM, MINUTES_CAP, NO_SOG_KN = 500.0, 200.0, 1440.0, 6.0
 
 KEYS = ["origin_id", "mmsi"]
+BUCKET_S = 3600.0
 
 
-def vessel_samples(candidates: DataFrame, samples: DataFrame, salts: int = 8) -> DataFrame:
-    """Every sample of an origin for every candidate of it.
+def segments(fixes: DataFrame, bucket_s: float = BUCKET_S) -> DataFrame:
+    """Tracks as steps (keys, prev, next): from each fix to its successor.
 
-    One origin may hold a large share of the samples, so the samples are spread over
-    ``salts`` copies of the candidate list.
+    The first step of a track has no ``prev`` and the last no ``next``.
     """
-    left = samples.withColumn("salt", F.pmod(F.hash("sample_id"), F.lit(salts)))
-    right = candidates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, ["origin_id", "salt"]).drop("salt")
-
-
-def sample_rows(fixes: DataFrame, candidates: DataFrame, samples: DataFrame,
-                bucket_s: float = 3600.0) -> DataFrame:
-    """Fixes of the candidates and their origins' samples, with neighbours and distance."""
-    fx = (fixes.join(candidates.select(*KEYS), KEYS, "left_semi")
-          .select(*KEYS, "t", "lat", "lon", "sog", "cog", "lat_c", "lon_c", "t0", "t1"))
-    sm = vessel_samples(candidates.select(*KEYS), samples).select(
-        *KEYS, "sample_id", "t", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    rows = asof_rows(fx, sm, KEYS, ["t", "lat", "lon", "sog", "cog"], bucket_s)
-    inside = F.col("prev").isNotNull() & F.col("next").isNotNull()
+    fields = ["t", "lat", "lon", "sog", "cog"]
+    keep = [*KEYS, "prev", F.struct(*fields).alias("next"), "lat_c", "lon_c", "t0", "t1"]
+    steps = with_neighbours(fixes, KEYS, fields, bucket_s).select(*keep)
+    tail = fixes.groupBy(*KEYS).agg(extreme_fix(F.max_by, fields).alias("prev"),
+                                    *[F.first(c).alias(c) for c in ("lat_c", "lon_c", "t0", "t1")])
+    none = F.lit(None).cast(steps.schema["next"].dataType)
+    return steps.unionByName(tail.withColumn("next", none))
+
+
+def sample_positions(steps: DataFrame, samples: DataFrame, bucket_s: float = BUCKET_S,
+                     salts: int = 4) -> DataFrame:
+    """Every sample of an origin against every vessel near it, on the step it falls in.
+
+    Steps are listed under each time bucket of the origin's span they touch, so samples
+    meet them in an equality join on (origin, bucket) and the product of samples and
+    vessels is never shuffled: it is folded where it arises. A crowded origin is spread
+    over ``salts`` copies of its steps.
+    """
+    lo = F.greatest(F.coalesce("prev.t", "t0"), F.col("t0"))
+    hi = F.least(F.coalesce("next.t", "t1"), F.col("t1"))
+    keyed = (steps.where(lo <= hi)
+             .withColumn("bucket", F.explode(F.sequence(bucket_of(lo, bucket_s), bucket_of(hi, bucket_s))))
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+             .select(*KEYS, "prev", "next", "bucket", "salt"))
+    s = samples.select("origin_id", "sample_id", "t", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"),
+                       bucket_of("t", bucket_s).alias("bucket"),
+                       F.pmod(F.hash("sample_id"), F.lit(salts)).alias("salt"))
+    late = F.coalesce("prev.t", F.lit(float("-inf")))
+    soon = F.coalesce("next.t", F.lit(float("inf")))
+    x = s.join(keyed, ["origin_id", "bucket", "salt"]).where(
+        (F.col("t") >= late) & (F.col("t") < soon)).drop("bucket", "salt")
+    # On the very last fix there is no next one, yet the track still speaks.
+    inside = F.col("prev").isNotNull() & (F.col("next").isNotNull() | (F.col("t") == F.col("prev.t")))
     d = haversine_km(interpolated("lat"), interpolated("lon"), "s_lat", "s_lon")
-    return rows.withColumn("d", F.when(F.col("is_sample") & inside, d))
+    return x.withColumn("d", F.when(inside, d))
+
+
+def nearness() -> Column:
+    """Order of samples by distance, then by id, as one plain number.
+
+    Distances are taken to a tenth of a nanometre. A struct would order the same, but an
+    aggregate over structs sorts every row of the product instead of hashing it.
+    """
+    km = (F.col("d") * 1e13).cast("decimal(18,0)")
+    return km * F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.col("sample_id").cast("decimal(19,0)")
 
 
-def behaviour_features(fixes: DataFrame, candidates: DataFrame, samples: DataFrame,
-                       origins: DataFrame, radius_km: float = RADIUS_KM,
-                       bucket_s: float = 3600.0) -> DataFrame:
-    """All features that need the track: one aggregate over fixes and samples together."""
-    rows = sample_rows(fixes, candidates, samples, bucket_s)
-    s, f = F.col("is_sample"), ~F.col("is_sample")
+def sample_features(at: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
+    """What the samples say of each vessel: distances, timing, gaps, closest approach."""
     d = F.col("d")
+    near = nearness()
+    cpa = F.struct(F.min_by(nearest_value("cog"), near).alias("cog"),
+                   F.min_by(nearest_value("sog"), near).alias("sog"))
+    over = F.when(inside_gap(GAP_S) & d.isNotNull() & (d <= radius_km), 1.0).otherwise(0.0)
+    return at.groupBy(*KEYS).agg(
+        F.avg(F.exp(-F.coalesce(d, F.lit(1e6)) / PROX_KM)).alias("prox_score"),
+        F.least(F.coalesce(F.min(d), F.lit(NO_DISTANCE_KM)), F.lit(NO_DISTANCE_KM)).alias("min_dist_km"),
+        F.coalesce(F.avg(F.when(d.isNotNull(), F.least(d, F.lit(MEAN_CAP_KM)))), F.lit(NO_DISTANCE_KM))
+        .alias("mean_dist_km"),
+        F.least(F.min(nearest_dt()) / 60.0, F.lit(MINUTES_CAP)).alias("time_gap_min"),
+        F.avg(over).alias("gap_over_origin"), cpa.alias("cpa"))
+
+
+def track_features(steps: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
+    """What the fixes say of each vessel: dwelling, slow steaming, loitering, silences."""
     pad = WINDOW_H * 3600.0
-    win = f & F.col("t").between(F.col("t0") - pad, F.col("t1") + pad)
-    d_fix = haversine_km("lat", "lon", "lat_c", "lon_c")
+    t, g0, g1 = F.col("next.t"), F.col("prev.t"), F.col("next.t")
+    sog = F.col("next.sog")
+    win = t.between(F.col("t0") - pad, F.col("t1") + pad)
+    d_fix = haversine_km("next.lat", "next.lon", "lat_c", "lon_c")
     share = lambda cond, of: F.coalesce(
         F.avg(F.when(of, F.when(cond, 1.0).otherwise(0.0))), F.lit(0.0))
-
-    # A fix's ``next`` is its successor: the pair is a gap when far apart.
-    g0, g1 = F.col("t"), F.col("next.t")
-    gap = f & (g1 - g0 > GAP_S)
+    gap = g1 - g0 > GAP_S
     in_win = gap & (g1 > F.col("t0") - pad) & (g0 < F.col("t1") + pad)
     dark_s = F.greatest(F.lit(0.0), F.least(g1, F.col("t1")) - F.greatest(g0, F.col("t0")))
-
-    slow = win & (F.col("sog") < 5.0)
-    cpa = F.min_by(F.struct(nearest_value("cog").alias("cog"), nearest_value("sog").alias("sog")),
-                   F.when(d.isNotNull(), F.struct(d, F.col("sample_id"))))
-    agg = rows.groupBy(*KEYS).agg(
-        F.coalesce(F.avg(F.when(s, F.exp(-F.coalesce(d, F.lit(1e6)) / PROX_KM))), F.lit(0.0))
-        .alias("prox_score"),
-        F.least(F.coalesce(F.min(d), F.lit(NO_DISTANCE_KM)), F.lit(NO_DISTANCE_KM)).alias("min_dist_km"),
-        F.coalesce(F.avg(F.when(d.isNotNull(), F.least(d, F.lit(MEAN_CAP_KM)))), F.lit(NO_DISTANCE_KM)).alias("mean_dist_km"),
+    agg = steps.groupBy(*KEYS).agg(
+        F.count("next").alias("n_fixes"),
         share(d_fix <= radius_km, win).alias("dwell_frac"),
-        F.least(F.min(F.when(s, nearest_dt())) / 60.0, F.lit(MINUTES_CAP)).alias("time_gap_min"),
-        share(F.col("sog").between(2.0, 9.0), win & F.col("sog").isNotNull()).alias("slow_steaming"),
-        circular_variance("cog", slow).alias("cog_var"),
-        share(slow, win & F.col("sog").isNotNull()).alias("slow_share"),
-        F.max(F.when(win, F.col("sog").isNull())).alias("sog_missing"),
+        share(sog.between(2.0, 9.0), win & sog.isNotNull()).alias("slow_steaming"),
+        circular_variance("next.cog", win & (sog < 5.0)).alias("cog_var"),
+        share(sog < 5.0, win & sog.isNotNull()).alias("slow_share"),
+        F.max(F.when(win, sog.isNull())).alias("sog_missing"),
         F.least(F.coalesce(F.max(F.when(in_win, g1 - g0)) / 60.0, F.lit(0.0)), F.lit(MINUTES_CAP))
         .alias("ais_gap_max_min"),
-        share(inside_gap(GAP_S) & d.isNotNull() & (d <= radius_km), s).alias("gap_over_origin"),
         (F.coalesce(F.sum(F.when(gap, dark_s)), F.lit(0.0))
-         / F.greatest(F.max(F.col("t1") - F.col("t0")), F.lit(1.0))).alias("dark"),
-        cpa.alias("cpa"), F.count(F.when(f, 1)).alias("n_fixes"))
-
-    align = F.coalesce(axis_alignment("cpa.cog", "bearing"), F.lit(0.5))
+         / F.greatest(F.max(F.col("t1") - F.col("t0")), F.lit(1.0))).alias("dark"))
     loiter = F.when(~F.coalesce("sog_missing", F.lit(False)), F.col("cog_var") * F.col("slow_share"))
-    return (agg.join(origins.select("origin_id", "bearing"), "origin_id", "left")
-            .withColumns({"loiter_score": F.coalesce(loiter, F.lit(0.0)),
-                          "dark_frac": clamp("dark", 0, 1), "course_align": align,
-                          "cpa_sog_kn": F.coalesce("cpa.sog", F.lit(NO_SOG_KN))})
-            .drop("cog_var", "slow_share", "sog_missing", "dark", "cpa", "bearing"))
+    return agg.withColumns({"loiter_score": F.coalesce(loiter, F.lit(0.0)), "dark_frac": clamp("dark", 0, 1)}).drop(
+        "cog_var", "slow_share", "sog_missing", "dark")
 
 
 def build_feature_table(fixes: DataFrame, candidates: DataFrame, samples: DataFrame,
                         origins: DataFrame, radius_km: float = RADIUS_KM,
-                        bucket_s: float = 3600.0) -> DataFrame:
+                        bucket_s: float = BUCKET_S) -> DataFrame:
     """(origin_id, mmsi, name, vtype, length, n_fixes) and the fourteen features.
 
     ``fixes`` are the cleaned rows near the origins and carry the origin summary.
     """
-    live = fixes.join(candidates.select(*KEYS), KEYS, "left_semi")
-    out = (behaviour_features(fixes, candidates, samples, origins, radius_km, bucket_s)
-           .join(vessel_statics(live, KEYS), KEYS)
-           .withColumns({"vtype_prior": vtype_prior(), "size_score": size_score()}))
+    live = cut_lineage(fixes.join(candidates.select(*KEYS), KEYS, "left_semi"))
+    steps = segments(live, bucket_s)
+    align = F.coalesce(axis_alignment("cpa.cog", "bearing"), F.lit(0.5))
+    out = (sample_features(sample_positions(steps, samples, bucket_s), radius_km)
+           .join(track_features(steps, radius_km), KEYS).join(vessel_statics(live, KEYS), KEYS)
+           .join(origins.select("origin_id", "bearing"), "origin_id", "left")
+           .withColumns({"vtype_prior": vtype_prior(), "size_score": size_score(), "course_align": align,
+                         "cpa_sog_kn": F.coalesce("cpa.sog", F.lit(NO_SOG_KN))}))
     return out.select(*KEYS, "name", "vtype", "length", "n_fixes", *FEATURES)
 
 
 def track_match(fixes: DataFrame, candidates: DataFrame, track: DataFrame, summary: DataFrame,
-                bucket_s: float = 3600.0) -> DataFrame:
+                bucket_s: float = BUCKET_S) -> DataFrame:
     """(origin, vessel, track_match): how closely a vessel follows the origin track.
 
     ``track`` has (origin_id, node, lat, lon, t). Vessels of origins without a track, or
     with fewer than two fixes, get 0.
     """
     nodes = track.withColumnRenamed("node", "sample_id")
-    rows = sample_rows(fixes, candidates, nodes, bucket_s).where("is_sample")
+    live = fixes.join(candidates.select(*KEYS), KEYS, "left_semi")
+    rows = sample_positions(segments(live, bucket_s), nodes, bucket_s)
     scale = F.greatest(F.greatest(F.col("spread_km") * 0.6, F.lit(5.0)), F.lit(2.0))
     hit = F.coalesce(F.exp(-F.col("d") / F.col("scale")), F.lit(0.0))
     scored = (rows.join(summary.select("origin_id", scale.alias("scale")), "origin_id")
@@ -125,9 +156,11 @@ def track_match(fixes: DataFrame, candidates: DataFrame, track: DataFrame, summa
 
 
 def closest_approach(fixes: DataFrame, candidates: DataFrame, samples: DataFrame,
-                     bucket_s: float = 3600.0) -> DataFrame:
+                     bucket_s: float = BUCKET_S) -> DataFrame:
     """(origin, vessel, sample_id, dist_km, cog, sog) of the nearest sample; first on a tie."""
-    rows = sample_rows(fixes, candidates, samples, bucket_s).where(F.col("d").isNotNull())
-    best = F.min_by(F.struct("sample_id", F.col("d").alias("dist_km"), nearest_value("cog").alias("cog"),
-                             nearest_value("sog").alias("sog")), F.struct("d", "sample_id"))
-    return rows.groupBy(*KEYS).agg(best.alias("b")).select(*KEYS, "b.*")
+    live = fixes.join(candidates.select(*KEYS), KEYS, "left_semi")
+    rows = sample_positions(segments(live, bucket_s), samples, bucket_s).where(F.col("d").isNotNull())
+    near = nearness()
+    return rows.groupBy(*KEYS).agg(
+        F.min_by("sample_id", near).alias("sample_id"), F.min("d").alias("dist_km"),
+        F.min_by(nearest_value("cog"), near).alias("cog"), F.min_by(nearest_value("sog"), near).alias("sog"))

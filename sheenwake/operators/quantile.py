@@ -1,9 +1,10 @@
-"""Exact percentiles per group without holding a group.
+"""Exact percentiles per group without holding a large group.
 
 ``percentile`` keeps every distinct value of a group in one buffer, which a busy origin
-or a full radar scene does not fit. Here a mergeable sketch brackets each wanted rank,
-one conditional count per group says how many values lie below the bracket, and only
-the distinct values inside it (less than a thousandth of the group) are ordered.
+or a full radar scene does not fit. Group sizes are counted first; when all of them are
+small the built-in is used. Otherwise a mergeable sketch brackets each wanted rank, the
+values below the bracket are only counted, and only the distinct values inside it (less
+than a thousandth of the group) are ordered.
 """
 from __future__ import annotations
 
@@ -11,45 +12,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
 #: Rank error of the sketch is 1/ACCURACY; the bracket is four times as wide.
 ACCURACY = 10_000
 SLACK = 4.0 / ACCURACY
 
+#: Largest group the built-in may hold in a buffer.
+SMALL_GROUP = 1_000_000
+
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str,
-                      probs: dict[str, float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
+                      small_group: int = SMALL_GROUP) -> DataFrame:
     """(keys, one column per name in ``probs``), interpolated linearly between ranks.
 
     Null and NaN values are left out; groups without values are absent. ``df`` is read
-    twice, so a costly one should be persisted or end in a shuffle that can be reused.
+    more than once, so a costly one should be written first.
     """
     v = (df.select(*keys, F.col(value).cast("double").alias("v"))
          .where(F.col("v").isNotNull() & ~F.isnan("v")))
-    names = list(probs)
-    marks = [m for q in probs.values() for m in (max(q - SLACK, 0.0), min(q + SLACK, 1.0))]
-    box = v.groupBy(*keys).agg(
-        F.percentile_approx("v", [float(m) for m in marks], ACCURACY).alias("m"))
-    lo = [F.col("m")[2 * i] for i in range(len(names))]
-    hi = [F.col("m")[2 * i + 1] for i in range(len(names))]
-
-    boxed = v.join(box, keys)
-    below = boxed.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.array(*[F.count_if(F.col("v") < b) for b in lo]).alias("below"))
-    inside = (boxed.select(*keys, "v", F.explode(F.filter(F.array(*[
-        F.when((F.col("v") >= a) & (F.col("v") <= b), F.lit(i))
-        for i, (a, b) in enumerate(zip(lo, hi))]), lambda x: x.isNotNull())).alias("i"))
-        .groupBy(*keys, "i", "v").agg(F.count("*").alias("c")))
-
-    w = Window.partitionBy(*keys, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    largest = v.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= small_group:
+        got = v.groupBy(*keys).agg(F.percentile("v", [float(p) for p in probs.values()]).alias("q"))
+        return got.select(*keys, *[F.col("q")[i].alias(n) for i, n in enumerate(probs)])
+    return _by_bracket(v, keys, probs)
+
+
+def _by_bracket(v: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    marks = [float(m) for q in probs.values() for m in (max(q - SLACK, 0.0), min(q + SLACK, 1.0))]
+    box = cut_lineage(v.groupBy(*keys).agg(
+        F.percentile_approx("v", marks, ACCURACY).alias("m"), F.count("*").alias("n")))
+
+    # Per prob: values inside its bracket one by one, those below folded into null.
+    hit = F.filter(F.array(*[
+        F.when(F.col("v") <= F.col("m")[2 * i + 1], F.struct(
+            F.lit(i).alias("i"), F.when(F.col("v") >= F.col("m")[2 * i], F.col("v")).alias("x")))
+        for i in range(len(probs))]), lambda h: h.isNotNull())
+    seen = (v.join(box.select(*keys, "m"), keys).select(*keys, F.explode(hit).alias("h"))
+            .groupBy(*keys, "h.i", "h.x").agg(F.count("*").alias("c")))
+
+    w = Window.partitionBy(*keys, "i").orderBy(F.asc_nulls_first("x")).rowsBetween(
+        Window.unboundedPreceding, 0)
     q = F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("i") + 1)
-    ranked = (inside.join(below, keys)
-              .withColumn("upto", F.element_at("below", F.col("i") + 1) + F.sum("c").over(w))
-              .withColumn("pos", q * (F.col("n") - 1)))
-    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+    ranked = (seen.withColumn("upto", F.sum("c").over(w)).where(F.col("x").isNotNull())
+              .join(box.select(*keys, "n"), keys).withColumn("pos", q * (F.col("n") - 1)))
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("x")))
     picked = ranked.groupBy(*keys, "i").agg(
         at(F.floor("pos")).alias("v0"), at(F.ceil("pos")).alias("v1"),
         F.first(F.col("pos") - F.floor("pos")).alias("f"))
-    picked = picked.withColumn("q", F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("f"))
     return picked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(names)])
+        F.max(F.when(F.col("i") == i, F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("f"))).alias(n)
+        for i, n in enumerate(probs)])

@@ -46,25 +46,28 @@ def decode_mask(rgb: DataFrame) -> DataFrame:
     return rgb.select("scene_id", "row", "col", F.when(far, SEA).otherwise(best["cls"]).alias("cls"))
 
 
-def _shifted(v: str, k: int, w) -> Column:
-    """Value ``k`` places ahead (behind when negative); beyond the edge it is mirrored."""
-    if k < 0:
-        ahead, k = (lambda j: F.lag(v, j).over(w)), -k
-    else:
-        ahead = lambda j: F.lead(v, j).over(w)
-    out = F.when(ahead(k).isNotNull(), ahead(k))
-    for m in range(k - 1, -1, -1):
-        # m places are left before the edge, and the mirror starts with the edge itself.
-        out = out.when(ahead(m).isNotNull(), ahead(2 * m + 1 - k))
-    return out
-
-
 def _box_mean(px: DataFrame, across: str, along: str, cols: list[str], size: int) -> DataFrame:
-    """Means over ``size`` neighbours along one axis; a window is one line of a scene."""
+    """Means over ``size`` neighbours along one axis; a window is one line of a scene.
+
+    Beyond an edge the line is mirrored, the edge pixel itself coming first.
+    """
     w = Window.partitionBy("scene_id", across).orderBy(along)
     h = size // 2
-    return px.withColumns({c: sum((_shifted(c, k, w) for k in range(-h, h + 1) if k),
-                                  F.col(c)) / size for c in cols})
+    name = lambda c, k: c if k == 0 else f"{c}_{'p' if k > 0 else 'n'}{abs(k)}"
+    x = px.withColumns({name(c, k): (F.lead(c, k) if k > 0 else F.lag(c, -k)).over(w)
+                        for c in cols for k in range(-h, h + 1) if k})
+
+    def at(c: str, k: int) -> Column:
+        sign = 1 if k > 0 else -1
+        v = lambda j: F.col(name(c, sign * j))
+        out = F.when(v(abs(k)).isNotNull(), v(abs(k)))
+        for m in range(abs(k) - 1, -1, -1):
+            # m pixels are left before the edge.
+            out = out.when(v(m).isNotNull(), v(2 * m + 1 - abs(k)))
+        return out
+
+    mean = {c: sum((at(c, k) for k in range(-h, h + 1) if k), F.col(c)) / size for c in cols}
+    return x.withColumns(mean).select(*px.columns)
 
 
 def lee_filter(px: DataFrame, size: int = LEE_SIZE, cu: float = LEE_CU) -> DataFrame:
@@ -145,9 +148,11 @@ def blend_tiles(tiles: DataFrame) -> DataFrame:
 
 def argmax_class(prob: DataFrame) -> DataFrame:
     """Class of the largest probability; the lower class on a tie."""
-    best = F.max(F.struct("p", (-F.col("cls")).alias("neg")))
-    return (prob.groupBy("scene_id", "row", "col").agg(best.alias("b"))
-            .select("scene_id", "row", "col", (-F.col("b.neg")).cast("int").alias("cls")))
+    each = [f"p{k}" for k in range(len(CLASSES))]
+    x = prob.groupBy("scene_id", "row", "col").agg(*[
+        F.max(F.when(F.col("cls") == k, F.col("p"))).alias(n) for k, n in enumerate(each)])
+    p = F.array(*[F.col(n) for n in each])
+    return x.select("scene_id", "row", "col", (F.array_position(p, F.array_max(p)) - 1).cast("int").alias("cls"))
 
 
 def score_tiles(px: DataFrame, scenes: DataFrame, load_model: Callable[[], Callable],

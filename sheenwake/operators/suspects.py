@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.evidence import (BIAS, FEATURES, baseline_score, evidence_list, logistic)
+from ..functions.evidence import BIAS, FEATURES, baseline_score, evidence_list, logistic
+from .asof import numbered
 
 KEYS = ["origin_id", "mmsi"]
 
@@ -92,18 +93,16 @@ def join_learned_rank(suspects: DataFrame, learned: DataFrame | None) -> DataFra
     return suspects.join(lr, KEYS, "left")
 
 
-def thin_rows(df: DataFrame, keys: list[str], order: str, every: Column) -> DataFrame:
-    """First row of each run of ``every`` rows, counted in ``order``."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return (df.withColumn("rn_", F.row_number().over(w))
-            .where((F.col("rn_") - 1) % every == 0).drop("rn_"))
+def thin_rows(df: DataFrame, keys: list[str], every: Column, bucket_s: float = 3600.0) -> DataFrame:
+    """First row of each run of ``every`` rows of a track, counted in time order."""
+    return numbered(df, keys, bucket_s).where((F.col("rn_") - 1) % every == 0).drop("rn_")
 
 
 def thin_tracks(fixes: DataFrame, keys: list[str], max_points: int = 400) -> DataFrame:
     """At most about ``max_points`` fixes per track, evenly taken in time order."""
     n = fixes.groupBy(*keys).agg(F.count("*").alias("n_"))
     step = F.greatest(F.floor(F.col("n_") / max_points), F.lit(1))
-    return thin_rows(fixes.join(n, keys), keys, "t", step).drop("n_")
+    return thin_rows(fixes.join(n, keys), keys, step).drop("n_")
 
 
 def suspects_report(suspects: DataFrame, fixes: DataFrame | None = None,

@@ -10,6 +10,7 @@ from ..session import cut_lineage, spread
 from ..sources import demo
 
 KEYS = ["origin_id", "mmsi"]
+RASTERS = {"mask", "pixel", "pred", "prob", "rgb"}
 
 #: Weights standing in for a trained ranker where a fixed model is wanted.
 DEMO_MODEL = {"prox_score": 2.0, "min_dist_km": -0.05, "dwell_frac": 1.5, "vtype_prior": 0.5,
@@ -23,6 +24,11 @@ class Context:
         self.spark, self.sf_dir, self._memo = spark, sf_dir, {}
 
     def t(self, name: str) -> DataFrame:
+        """A demo table; rasters, which a real archive would hold as files, are written once."""
+        if name in RASTERS:
+            if name not in self._memo:
+                self._memo[name] = cut_lineage(demo.table(self.spark, self.sf_dir, name))
+            return self._memo[name]
         return demo.table(self.spark, self.sf_dir, name)
 
     def once(self, name: str) -> DataFrame:
