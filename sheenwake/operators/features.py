@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.evidence import FEATURES
 from ..functions.geo import axis_alignment, clamp, circular_variance, haversine_km
 from ..functions.vessels import size_score, vtype_prior
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .ais import GAP_S, vessel_statics
 from .asof import (bucket_of, extreme_fix, inside_gap, interpolated, nearest_dt,
                    nearest_value, with_neighbours)
@@ -37,7 +37,7 @@ def segments(fixes: DataFrame, bucket_s: float = BUCKET_S) -> DataFrame:
 
 
 def sample_positions(steps: DataFrame, samples: DataFrame, bucket_s: float = BUCKET_S,
-                     salts: int = 4) -> DataFrame:
+                     salts: int = 8) -> DataFrame:
     """Every sample of an origin against every vessel near it, on the step it falls in.
 
     Steps are listed under each time bucket of the origin's span they touch, so samples
@@ -54,6 +54,8 @@ def sample_positions(steps: DataFrame, samples: DataFrame, bucket_s: float = BUC
     s = samples.select("origin_id", "sample_id", "t", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"),
                        bucket_of("t", bucket_s).alias("bucket"),
                        F.pmod(F.hash("sample_id"), F.lit(salts)).alias("salt"))
+    # Few small rows with a product behind each: keep them on all tasks.
+    s = spread(s, "origin_id", "bucket", "salt")
     late = F.coalesce("prev.t", F.lit(float("-inf")))
     soon = F.coalesce("next.t", F.lit(float("inf")))
     x = s.join(keyed, ["origin_id", "bucket", "salt"]).where(
