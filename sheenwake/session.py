@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,24 +26,36 @@ def build_session(master: str | None = None, app: str = "sheenwake", **conf: str
     return b.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local master may fall back to its own.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local master may fall back to a folder of its own; a cluster without the
-    setting is an error, because a machine-local folder dies with its executor.
+    On a cluster the setting is required: a machine-local folder dies with its executor.
     """
-    spark = df.sparkSession
+    global _own_folder
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-            "spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = os.path.join(tempfile.mkdtemp(prefix="sheenwake-"), "checkpoints")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        if _own_folder is None:
+            _own_folder = tempfile.mkdtemp(prefix="sheenwake-")
+        folder = _own_folder
+    return folder
+
+
+_own_folder: str | None = None
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    The table survives lost executors, keeps plans of multi-round jobs short, is read by
+    column, and its known size lets small ones be broadcast. It also drops the derived
+    constraints that a checkpointed frame carries along and that grow with every round.
+    """
+    path = os.path.join(_shared_folder(df.sparkSession), f"cut-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:

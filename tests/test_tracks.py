@@ -28,7 +28,7 @@ def fixes(spark, rows):
     for i, r in enumerate(rows):
         m, t, la, lo, *rest = r
         sog, cog, vt, ln = (list(rest) + [6.0, 45.0, 80.0, 200.0][len(rest):])
-        full.append((i, m, float(t), la, lo, sog, cog, None, f"V{m}", vt, ln, 30.0, 8.0))
+        full.append((i, m, float(t), float(la), float(lo), sog, cog, None, f"V{m}", vt, ln, 30.0, 8.0))
     return spark.createDataFrame(full, SCHEMA)
 
 
