@@ -40,8 +40,12 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
 
 def _by_bracket(v: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
     marks = [float(m) for q in probs.values() for m in (max(q - SLACK, 0.0), min(q + SLACK, 1.0))]
-    box = cut_lineage(v.groupBy(*keys).agg(
-        F.percentile_approx("v", marks, ACCURACY).alias("m"), F.count("*").alias("n")))
+    box = v.groupBy(*keys).agg(F.percentile_approx("v", marks, ACCURACY).alias("m"),
+                               F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # Below this size a bracket is less than a rank wide, so it is the whole group.
+    whole = F.array(*[F.col(c) for _ in probs for c in ("lo", "hi")])
+    box = cut_lineage(box.withColumn("m", F.when(F.col("n") <= ACCURACY, whole).otherwise(F.col("m")))
+                      .drop("lo", "hi"))
 
     # Per prob: values inside its bracket one by one, those below folded into null.
     hit = F.filter(F.array(*[
