@@ -29,6 +29,7 @@ MAX_CHAR_DISTANCE = 0.32
 MAX_WORD_DISTANCE = 0.37
 LETTERS = [chr(c) for c in range(65, 65 + N_COMMON)]
 ALL = "*"
+REFERENCE = "lang string, chars array<double>, codes map<string,string>, longest int, words array<double>"
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -39,10 +40,15 @@ def _let(name: str, value: str, body: str) -> str:
 def _repeated_words() -> str:
     """Words inside 5-word windows that occur twice or more in array ``_words``.
 
-    Windows are compared by 64-bit hashes. Texts without a repeated window stop at the first test; in the
+    Windows are compared by 64-bit hashes, made from those of words, pairs and fours. Texts without a repeated window stop at the first test; in the
     others equal neighbours of the sorted windows give the repeated positions, whose cover is summed.
     """
-    grams = "transform(sequence(0, size(_words) - 5), i -> xxhash64(slice(_words, i + 1, 5)))"
+    def joined(left, at, right, shift, less):
+        n = f"size(_words) - {less}"
+        return f"zip_with(slice({left}, {at}, {n}), slice({right}, {shift}, {n}), (x, y) -> xxhash64(x, y))"
+
+    grams = _let("h", "transform(_words, w -> xxhash64(w))", _let("p", joined("h", 1, "h", 2, 1), _let(
+        "q", joined("p", 1, "p", 3, 3), joined("q", 1, "h", 5, 4))))
     pairs = "array_sort(transform(g, (h, i) -> named_struct('h', h, 'i', i)))"
     again = ("array_sort(transform(filter(s, (x, j) -> (j > 0 and s[greatest(j - 1, 0)].h = x.h) or "
              "(j < size(s) - 1 and s[least(j + 1, size(s) - 1)].h = x.h)), x -> x.i))")
@@ -75,50 +81,40 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
             .drop("_solid", "_lines", *[f"_rest{n}" for n in range(len(CLASSES))]))
 
 
-def char_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_words`` and ``_chars`` alone, for the references."""
-    return measure(docs, text_col).select(*docs.columns, "_words", "_chars")
-
-
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per language of weight, and one (``*``) for all texts: lang, chars, codes (word to letter), words.
+    """One row per language of weight, and one (``*``) for all texts: lang, chars, codes (word to letter), longest, words.
 
-    chars and words are histograms that sum to 1; an empty table gives no rows.
+    chars and words are histograms that sum to 1. Words are counted once, with a column for every language of
+    weight, and only those common in some language leave the cluster: at most 1 / ``COMMON_SHARE`` for each of 101
+    columns. An empty table gives no rows.
     """
     lang = F.coalesce(F.col(lang_col), F.lit(""))
     names = [r["lang"] for r in docs.groupBy(lang.alias("lang")).agg(F.count("*").alias("n"))
              .withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
              .where("share >= 0.01 and lang not in ('', '*')").collect()]
-    key = F.when(lang.isin(names), lang).otherwise(F.lit(ALL)) if names else F.lit(ALL)
-    t = char_classes(docs.select(F.col(text_col).alias("text"), key.alias("_lang")))
+    key = F.when(lang.isin(names), lang).otherwise(F.lit("")) if names else F.lit("")
+    t = measure(docs.select(F.col(text_col).alias("text"), key.alias("_lang")))
     sums = [F.sum(F.col("_chars")[k]).alias(f"c{k}") for k in range(len(HISTOGRAM))]
-    chars = t.groupBy("_lang").agg(*sums)
-    words = t.select("_lang", F.explode("_words").alias("w")).groupBy("_lang", F.lower("w").alias("w")).agg(
-        F.count("*").alias("n"))
-
-    def with_all(df, values):
-        """Totals of every language and, once more, of all together."""
-        keys = [c for c in df.columns if c != "_lang" and c not in values]
-        whole = df.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values]).withColumn("_lang", F.lit(ALL))
-        return df.where(F.col("_lang") != ALL).unionByName(whole)
-
-    n_chars = [f"c{k}" for k in range(len(HISTOGRAM))]
-    chars = with_all(chars, n_chars)
-    total = sum(F.col(c) for c in n_chars)
-    chars = chars.where(total > 0).select("_lang", F.array(*[F.col(c) / total for c in n_chars]).alias("chars"))
-    counts = with_all(words, ["n"])
-    totals = counts.groupBy("_lang").agg(F.sum("n").alias("total"))
-    common = counts.join(F.broadcast(totals), "_lang").where(F.col("n") >= COMMON_SHARE * F.col("total"))
-    ranked = (common.withColumn("k", F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "w")))
-              .where(F.col("k") <= N_COMMON))
-    listed = ranked.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("k", "w", (F.col("n") / F.col("total")).alias("p")))).alias("l"))
-    letters = F.array(*map(F.lit, LETTERS))
-    shares = F.concat(F.transform("l", lambda x: x["p"]), F.array_repeat(F.lit(0.0), F.lit(N_COMMON) - F.size("l")))
-    return (chars.join(listed, "_lang", "left").withColumn("l", F.coalesce("l", F.array().cast("array<struct<k:int,w:string,p:double>>")))
-            .withColumn("_p", shares)
-            .select(F.col("_lang").alias("lang"), "chars",
-                    F.map_from_arrays(F.transform("l", lambda x: x["w"]), F.slice(letters, F.lit(1), F.size("l"))).alias("codes"),
-                    F.concat("_p", F.array(F.lit(1.0) - F.aggregate("_p", F.lit(0.0), lambda a, x: a + x))).alias("words")))
+    per = {r["_lang"]: list(r[1:]) for r in t.groupBy("_lang").agg(*sums, F.sum("n_words").alias("n")).collect()}
+    if not per:
+        return docs.sparkSession.createDataFrame([], REFERENCE)
+    per[ALL] = [sum(v) for v in zip(*per.values())]
+    columns = {name: f"n{k}" for k, name in enumerate([ALL, *names])}
+    counts = t.select("_lang", F.explode("_words").alias("w")).groupBy("w").agg(
+        F.count("*").alias("n0"), *[F.count_if(F.col("_lang") == name).alias(c) for name, c in columns.items() if name != ALL])
+    common = F.lit(False)
+    for name, c in columns.items():
+        common = common | (F.col(c) >= max(1.0, COMMON_SHARE * (per[name][-1] if name in per else 0)))
+    found = counts.where(common).collect()
+    rows = []
+    for name, c in columns.items():
+        total, chars = per[name][-1], per[name][:-1]
+        top = sorted(((r["w"], r[c]) for r in found if total and r[c] >= COMMON_SHARE * total),
+                     key=lambda x: (-x[1], x[0]))[:N_COMMON]
+        shares = [n / total for _, n in top] + [0.0] * (N_COMMON - len(top))
+        rows.append((name, [x / max(sum(chars), 1.0) for x in chars], dict(zip((w for w, _ in top), LETTERS)),
+                     max((len(w.encode()) for w, _ in top), default=0), [*shares, 1 - sum(shares)]))
+    return docs.sparkSession.createDataFrame(rows, REFERENCE)
 
 
 def js_distance(p: str, q: str) -> str:
@@ -140,7 +136,7 @@ def apply_rules(docs: DataFrame, reference: DataFrame, text_col: str = "text", l
     small = F.broadcast(reference.select(*[F.col(c).alias(f"_ref_{c}") for c in reference.columns]))
     t = measure(docs, text_col).withColumn("_key", key).join(small, F.col("_key") == F.col("_ref_lang"), "left")
     size = "aggregate(_chars, 0D, (s, x) -> s + x)"
-    coded = "array_join(transform(_words, w -> coalesce(_ref_codes[lower(w)], '')), '')"
+    coded = ("array_join(transform(_words, w -> if(octet_length(w) > _ref_longest, '', coalesce(_ref_codes[w], ''))), '')")
     t = t.withColumn("_coded", F.when(F.col("n_words") >= MIN_WORDS, F.expr(coded)))
     n = F.col("n_words").cast("double")
     t = t.withColumn("_hits", F.array(*[(F.length("_coded") - F.length(F.replace(F.col("_coded"), F.lit(c), F.lit("")))) / n

@@ -236,15 +236,15 @@ class Pieces:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as packed 32-bit numbers.
 
-        Words between single spaces are looked up; a text with other runs of spaces is cut as a whole.
+        Words between single spaces are looked up; a text with runs of spaces or with U+2581 is cut as a whole.
         """
         out, open_, new = [], [], set()
-        get = self.chunks.get
+        get, mark = self.chunks.get, SPACE.encode()
         for k, text in enumerate(texts):
             words = text.split(b" ")
             if not text:
                 out.append(b"")
-            elif b"" in words:
+            elif b"" in words or mark in text:
                 cut = self.cut.findall(self.normalise(text.decode("utf-8", "replace")))
                 paths = self.paths(set(cut))
                 out.append(b"".join(map(paths.__getitem__, cut)))
