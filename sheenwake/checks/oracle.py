@@ -595,7 +595,7 @@ O["agg17_oil_lookalike_confusion"] = (["cm"], """
     from (select coalesce(sum(n) filter (truth=1 and pred=2), 0) as a, coalesce(sum(n) filter (truth=2 and pred=1), 0) as b,
       sum(n) filter (truth=1) as c, sum(n) filter (truth=2) as d from cm)""")
 O["agg18_class_pixel_counts"] = (["mask", "scene"], """
-    select cls, count(*) as n from mask where scene_id in (select scene_id from scene order by scene_id limit 200) group by cls""")
+    select cls, count(*) as n from mask where scene_id in (select scene_id from scene) group by cls""")
 O["agg19_region_measures"] = (["meas"], f"""
     select scene_id, label, area_px, round(area_m2, 1) as area_m2, {rd('row_c', 'col_c', 'elongation', n=4)}, {rd('major_m', 'minor_m', 'azimuth', n=3)}, round(eccentricity, 5) as eccentricity from meas""")
 O["agg20_region_contrast"] = (["contrast"], "select scene_id, label, round(mean_backscatter, 6) as mean_backscatter, round(contrast_db, 4) as contrast_db from contrast")

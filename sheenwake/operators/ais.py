@@ -50,15 +50,16 @@ def resolve_columns(columns: list[str]) -> dict[str, str]:
 
 
 def parse_time(df: DataFrame, column: str) -> Column:
-    """UTC seconds from a timestamp, a number (ms above 1e11) or text; bad text is null."""
+    """UTC seconds from a timestamp, a number (ms above 1e11; also as text) or text; bad text is null."""
     kind, c = df.schema[column].dataType, F.col(f"`{column}`")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.unix_micros(c.cast("timestamp")) / 1e6
+    number = F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
+    seconds = F.when(number > 1e11, number / 1000.0).otherwise(number)
     if isinstance(kind, T.NumericType):
-        v = c.cast("double")
-        return F.when(v > 1e11, v / 1000.0).otherwise(v)
+        return seconds
     tries = [F.try_to_timestamp(c)] + [F.try_to_timestamp(c, F.lit(f)) for f in TIME_FORMATS]
-    return F.unix_micros(F.coalesce(*tries)) / 1e6
+    return F.coalesce(seconds, F.unix_micros(F.coalesce(*tries)) / 1e6)
 
 
 def null_sentinels(df: DataFrame) -> DataFrame:

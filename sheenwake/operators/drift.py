@@ -179,22 +179,25 @@ def still_water(grid: DataFrame) -> DataFrame:
 def grid_axes(grid: DataFrame) -> DataFrame:
     """Per slick: corner and spacing of its (regular) grid and its list of time slots."""
     g = grid.groupBy("slick_id").agg(
-        F.min("lat").alias("g_lat"), F.min("lon").alias("g_lon"), F.max("yi").alias("my"),
-        F.max("xi").alias("mx"), F.max("lat").alias("h_lat"), F.max("lon").alias("h_lon"),
+        F.min("lat").alias("g_lat"), F.min("lon").alias("g_lon"), F.min("yi").alias("y0"), F.min("xi").alias("x0"),
+        (F.max("yi") - F.min("yi")).alias("my"), (F.max("xi") - F.min("xi")).alias("mx"), F.max("lat").alias("h_lat"), F.max("lon").alias("h_lon"),
         F.array_sort(F.collect_set(F.struct("t", "ti"))).alias("slots"))
-    return g.select("slick_id", "g_lat", "g_lon", "my", "mx", "slots",
+    return g.select("slick_id", "g_lat", "g_lon", "y0", "x0", "my", "mx", "slots",
                     ((F.col("h_lat") - F.col("g_lat")) / F.col("my")).alias("d_lat"),
                     ((F.col("h_lon") - F.col("g_lon")) / F.col("mx")).alias("d_lon"))
 
 
 def grid_cells(grid: DataFrame) -> DataFrame:
-    """Each cell with the currents of its four corners: (slick_id, ti, yi, xi, u00..v11)."""
-    east = Window.partitionBy("slick_id", "ti", "yi").orderBy("xi")
-    north = Window.partitionBy("slick_id", "ti", "xi").orderBy("yi")
-    c = grid.select("slick_id", "ti", "yi", "xi", F.col("u").alias("u00"), F.col("v").alias("v00"),
-                    F.lead("u").over(east).alias("u01"), F.lead("v").over(east).alias("v01"))
-    up = {f"{k}1{j}": F.lead(f"{k}0{j}").over(north) for k in "uv" for j in "01"}
-    return c.withColumns(up).where(F.col("u11").isNotNull())
+    """Each cell with the currents of its four corners: (slick_id, ti, yi, xi, u00..v11).
+
+    A grid point is a corner of the four cells that touch it; a corner without a point is still water.
+    """
+    roles = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    c = grid.select("slick_id", "ti", "yi", "xi", "u", "v", roles.alias("r")).select(
+        "slick_id", "ti", (F.col("yi") - F.col("r.i")).alias("yi"), (F.col("xi") - F.col("r.j")).alias("xi"), "u", "v", "r")
+    corner = lambda k, i, j: F.coalesce(
+        F.max(F.when((F.col("r.i") == i) & (F.col("r.j") == j), F.col(k))), F.lit(0.0)).alias(f"{k}{i}{j}")
+    return c.groupBy("slick_id", "ti", "yi", "xi").agg(*[corner(k, i, j) for k in "uv" for i in (0, 1) for j in (0, 1)])
 
 
 def grid_current_lookup(points: DataFrame, grid: DataFrame) -> DataFrame:
@@ -208,13 +211,14 @@ def grid_current_lookup(points: DataFrame, grid: DataFrame) -> DataFrame:
     at = (at.withColumns({"ti": slot["ti"], "fy": frac("lat", "g_lat", "d_lat", "my"),
                           "fx": frac("lon", "g_lon", "d_lon", "mx")})
           .withColumns({"yi": low("fy", "my"), "xi": low("fx", "mx")})
-          .withColumns({"fy": F.col("fy") - F.col("yi"), "fx": F.col("fx") - F.col("xi")}))
+          .withColumns({"fy": F.col("fy") - F.col("yi"), "fx": F.col("fx") - F.col("xi"),
+                        "yi": F.col("yi") + F.col("y0"), "xi": F.col("xi") + F.col("x0")}))
 
     def bilinear(k: str) -> Column:
         row = lambda i: (1 - F.col("fx")) * F.col(f"{k}{i}0") + F.col("fx") * F.col(f"{k}{i}1")
-        return (1 - F.col("fy")) * row(0) + F.col("fy") * row(1)
+        return F.coalesce((1 - F.col("fy")) * row(0) + F.col("fy") * row(1), F.lit(0.0))
 
-    return (at.join(grid_cells(grid), ["slick_id", "ti", "yi", "xi"])
+    return (at.join(grid_cells(grid), ["slick_id", "ti", "yi", "xi"], "left")
             .select(*points.columns, bilinear("u").alias("u"), bilinear("v").alias("v")))
 
 

@@ -147,7 +147,10 @@ def track_match(fixes: DataFrame, candidates: DataFrame, track: DataFrame, summa
     """
     nodes = track.withColumnRenamed("node", "sample_id")
     live = fixes.join(candidates.select(*KEYS), KEYS, "left_semi")
-    rows = sample_positions(segments(live, bucket_s), nodes, bucket_s)
+    # Nodes may lie outside the cloud's span, and each of them counts in the mean.
+    span = nodes.groupBy("origin_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    steps = segments(live, bucket_s).drop("t0", "t1").join(span, "origin_id")
+    rows = sample_positions(steps, nodes, bucket_s)
     scale = F.greatest(F.greatest(F.col("spread_km") * 0.6, F.lit(5.0)), F.lit(2.0))
     hit = F.coalesce(F.exp(-F.col("d") / F.col("scale")), F.lit(0.0))
     scored = (rows.join(summary.select("origin_id", scale.alias("scale")), "origin_id")

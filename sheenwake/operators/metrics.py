@@ -64,9 +64,11 @@ def oil_lookalike_confusion(cm: DataFrame, keys: list[str] | None = None) -> Dat
                     rate("lookalike_pixels_called_oil", "look").alias("false_oil_rate"))
 
 
-def class_pixel_counts(mask: DataFrame, scenes: DataFrame, max_items: int = 200) -> DataFrame:
-    """Pixels per class over the first ``max_items`` scenes."""
-    first = scenes.select("scene_id").orderBy("scene_id").limit(max_items)
+def class_pixel_counts(mask: DataFrame, scenes: DataFrame, max_items: int | None = None) -> DataFrame:
+    """Pixels per class over all scenes, or the first ``max_items`` of them where that is asked for."""
+    first = scenes.select("scene_id")
+    if max_items is not None:
+        first = first.orderBy("scene_id").limit(max_items)
     return (mask.join(first, "scene_id", "left_semi").groupBy("cls")
             .agg(F.count("*").alias("n")))
 
@@ -187,10 +189,10 @@ def agreement_rate(suspects: DataFrame, other: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("compared"), F.avg(same).alias("agreement")))
 
 
-def run_counts(fixes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(origin_id, n_screened, n_candidates): vessels looked at and vessels kept."""
+def run_counts(fixes: DataFrame, candidates: DataFrame, origins: DataFrame) -> DataFrame:
+    """(origin_id, n_screened, n_candidates) of every origin: vessels looked at and vessels kept."""
     seen = (fixes.select("origin_id", "mmsi").distinct().groupBy("origin_id")
             .agg(F.count("*").alias("n_screened")))
     kept = candidates.groupBy("origin_id").agg(F.count("*").alias("n_candidates"))
-    return (seen.join(kept, "origin_id", "left")
-            .select("origin_id", "n_screened", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates")))
+    return (origins.select("origin_id").distinct().join(seen, "origin_id", "left").join(kept, "origin_id", "left")
+            .select("origin_id", F.coalesce("n_screened", F.lit(0)).alias("n_screened"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates")))

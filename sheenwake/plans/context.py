@@ -61,7 +61,7 @@ class Context:
         return suspects.score_learned(self.once("features"), DEMO_MODEL)
 
     def _counts(self):
-        return metrics.run_counts(self.once("clean"), self.once("cand"))
+        return metrics.run_counts(self.once("clean"), self.once("cand"), self.once("summary"))
 
     def _track(self):
         cloud = self.t("origin_sample").withColumnRenamed("sample_id", "particle_id")

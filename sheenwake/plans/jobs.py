@@ -36,7 +36,7 @@ def attribute(ais: DataFrame, samples: DataFrame, origin: DataFrame, track: Data
     Returns suspects with counts, candidates and cleaned fixes. The transparent score
     always leads; a learned order is only shown next to it.
     """
-    fixes = ais if canonical else read_ais(ais)
+    fixes = ais if canonical else read_ais(ais, keep=[order] if order else None)
     summary = cut_lineage(origins.origin_summary(samples, radius_km=radius_km))
     clean = near_and_clean(fixes, summary, order, lookback_h)
     cand = cut_lineage(origins.candidate_vessels(clean, radius_km))
@@ -50,7 +50,7 @@ def attribute(ais: DataFrame, samples: DataFrame, origin: DataFrame, track: Data
     order_by_model = suspects.score_learned(table, learned) if learned else None
     ranked = suspects.join_learned_rank(ranked, order_by_model)
     return {"suspects": ranked, "features": table, "candidates": cand, "fixes": clean,
-            "summary": summary, "counts": metrics.run_counts(clean, cand)}
+            "summary": summary, "counts": metrics.run_counts(clean, cand, summary)}
 
 
 def attribute_points(ais: DataFrame, points: DataFrame, n: int = 200, sigma_km: float = 5.0,

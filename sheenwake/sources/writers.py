@@ -12,13 +12,16 @@ def with_day(fixes: DataFrame) -> DataFrame:
 def write_ais_archive(fixes: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     """Canonical reports as Parquet, one folder per UTC day, sorted by place within files.
 
+    Days that are written again are replaced; other days of the archive stay.
+
     Rows go to a day's writers by a hash of vessel and hour, so a busy day or vessel is
     several files; sorting lets the footers prune by position.
     """
     (with_day(fixes)
      .repartition("day", F.pmod(F.hash("mmsi", F.floor(F.col("t") / 3600)), F.lit(16)))
      .sortWithinPartitions("day", F.floor("lat"), F.floor("lon"), "t")
-     .write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("maxRecordsPerFile", rows_per_file)
      .partitionBy("day").parquet(path))
 
 

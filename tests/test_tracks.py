@@ -235,3 +235,39 @@ def test_readers_and_archive(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in plan and "GreaterThanOrEqual(lat" in plan
     with pytest.raises(ValueError):
         ais.normalise_ais(df.drop("lat"))
+
+
+def test_numbers_as_text(spark):
+    from sheenwake.operators.ais import parse_time
+
+    df = spark.createDataFrame([("1704067200",), ("1704067200000",), ("2024-01-01T00:00:00Z",), ("x",), (None,)], "t string")
+    assert [r[0] for r in df.select(parse_time(df, "t")).collect()] == [1704067200.0] * 3 + [None] * 2
+
+
+def test_archive_keeps_other_days(spark, tmp_path):
+    from sheenwake.sources import writers
+
+    path = str(tmp_path / "ais")
+    for day in (0, 1, 1):
+        df = spark.createDataFrame([(1, 86400.0 * day + 5, 1.0, 2.0)], "mmsi long, t double, lat double, lon double")
+        writers.write_ais_archive(df, path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_counts_of_an_origin_without_reports(spark):
+    from sheenwake.operators.metrics import run_counts
+
+    fixes = spark.createDataFrame([(1, 5)], "origin_id long, mmsi long")
+    got = run_counts(fixes, fixes, spark.createDataFrame([(1,), (2,)], "origin_id long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1), (2, 0, 0)]
+
+
+def test_grid_with_an_absent_point(spark):
+    from sheenwake.operators.drift import grid_current_lookup
+
+    full = [(1, 0.0, 0, y, x, float(y), float(x), 0.1 * (y + 5), 0.01 * x) for y in range(5, 8) for x in range(3)]
+    rows = [(s, t, ti, y, x, la, lo, u, v) for s, t, ti, y, x, la, lo, u, v in full if (y, x) != (6, 1)]
+    cols = "slick_id long, t double, ti int, yi int, xi int, lat double, lon double, u double, v double"
+    points = spark.createDataFrame([(1, 0.0, 5.5, 0.5), (1, 0.0, 7.0, 2.0)], "slick_id long, t double, lat double, lon double")
+    got = [r["u"] for r in grid_current_lookup(points, spark.createDataFrame(rows, cols)).orderBy("lat").collect()]
+    assert abs(got[0] - (1.0 + 1.0 + 1.1 + 0.0) / 4) < 1e-9 and abs(got[1] - 1.2) < 1e-9
