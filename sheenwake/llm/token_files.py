@@ -3,8 +3,8 @@
 The ids of a run of documents are one stream, cut into rows of ``length`` ids; the last row is filled with
 the end id and its mask is zero there. A file in the Arrow file format holds such rows as a column of
 fixed-size lists with their masks, ``ROWS`` to a batch, uncompressed: row r lies in batch r // ROWS at a
-known offset, so a memory-mapped reader returns any row without copying. Next to each data file lies
-an index file: the id, first position and length of every document in it.
+known offset, so a memory-mapped reader returns any row without copying. Ids are as narrow as
+the vocabulary allows and masks take one bit. Next to each data file lies an index file: the id, first position and length of every document in it.
 
 Documents are dealt to files by ranges of their id (and a hash of the text, so that a repeated id cannot
 overfill one file) and sorted in each. Every file is written under a temporary name and then renamed,
@@ -16,6 +16,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +38,15 @@ KEPT_WORDS = 700_000
 
 
 class Encoder:
-    """Ids by the tokenizers library, looked up for pieces met before.
+    """Ids by the tokenizers library, looked up for words met before.
 
-    A text is cut where the library's own splitting cuts in any case: before a space that precedes
-    text, and around other white space. Texts with control characters that are white space to one
-    side alone go to the library whole.
+    The library itself splits at a line feed and in front of a space where these stand alone between
+    other characters, so a text is cut there into words, each with its space. A text with other white space in
+    such places, or with control characters that are white space to one side alone, goes to the library whole.
+    ``code`` is the narrowest array type that holds every id of the vocabulary.
     """
 
-    CUT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-    ODD = re.compile("[\x1c-\x1f\x85]")
+    ODD = re.compile(r"^\s|\s$|[\x1c-\x1f\x85]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,32 +54,49 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.known: dict[str, bytes] = {}
+        self.starts: dict[str, bytes] = {}
+        self.line = self.library(["\n"])[0]
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, kept: dict[str, bytes], words: set[str], front: str) -> None:
+        """Keep the ids of words with ``front`` before them; those that must not be cut off are left out."""
+        order = [w for w in words if w and not self.ODD.search(w)]
+        if len(kept) + len(order) > KEPT_WORDS:
+            kept.clear()
+        kept.update(zip(order, self.library([front + w for w in order])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed 32-bit ids of each text."""
-        get, out, open_, new = self.known.get, [b""] * len(texts), [], set()
+        """Packed ids of each text."""
+        known, starts, out, open_, new, new_starts = self.known.get, self.starts.get, [b""] * len(texts), [], set(), set()
         for k, text in enumerate(texts):
-            if self.ODD.search(text):
-                out[k] = self.library([text])[0]
-                continue
-            parts = self.CUT.findall(text)
-            found = list(map(get, parts))
-            if None in found:
-                new.update(p for p, f in zip(parts, found) if f is None)
-                open_.append((k, parts, found))
+            lines = [line.split(" ") for line in text.split("\n")] if text else []
+            found = [[starts(words[0]), *map(known, words[1:])] for words in lines]
+            missing = False
+            for words, ids in zip(lines, found):
+                if None in ids:
+                    missing = True
+                    new.update(w for w, i in zip(words[1:], ids[1:]) if i is None)
+                    if ids[0] is None:
+                        new_starts.add(words[0])
+            if missing:
+                open_.append((k, lines, found))
             else:
-                out[k] = b"".join(found)
+                out[k] = self.line.join(map(b"".join, found))
         if open_:
-            if len(self.known) + len(new) > KEPT_WORDS:
-                self.known.clear()
-            order = sorted(new)
-            self.known.update(zip(order, self.library(order)))
-            for k, parts, found in open_:
-                out[k] = b"".join([get(p) if f is None else f for p, f in zip(parts, found)])
+            self.learn(self.known, new, " ")
+            self.learn(self.starts, new_starts, "")
+            for k, lines, found in open_:
+                for words, ids in zip(lines, found):
+                    if ids[0] is None:
+                        ids[0] = starts(words[0])
+                    if None in ids:
+                        ids[1:] = [known(w) if i is None else i for w, i in zip(words[1:], ids[1:])]
+                whole = any(None in ids for ids in found)
+                out[k] = self.library([texts[k]])[0] if whole else self.line.join(map(b"".join, found))
         return out
 
 
@@ -101,10 +119,10 @@ def _commit(fs: pafs.FileSystem, path: str, write) -> None:
 class Rows:
     """Writes a stream of ids as fixed-size rows with masks."""
 
-    def __init__(self, sink, length: int, rows: int):
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    def __init__(self, sink, length: int, rows: int, kind: np.dtype):
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.writer = ipc.new_file(sink, self.schema)
-        self.length, self.rows, self.left = length, rows, np.empty(0, np.uint32)
+        self.length, self.rows, self.left = length, rows, np.empty(0, kind)
 
     def add(self, ids: np.ndarray) -> None:
         self.left = np.concatenate([self.left, ids])
@@ -114,14 +132,14 @@ class Rows:
         self.left = self.left[len(self.left) // whole * whole:]
 
     def _write(self, ids: np.ndarray, n: int) -> None:
-        mask = (np.arange(len(ids)) < n).astype(np.uint8)
+        mask = np.arange(len(ids)) < n
         self.writer.write_batch(pa.record_batch(
             [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)], schema=self.schema))
 
     def close(self) -> None:
         n = len(self.left)
         if n:
-            self._write(np.concatenate([self.left, np.full(-n % self.length, END, np.uint32)]), n)
+            self._write(np.concatenate([self.left, np.full(-n % self.length, END, self.left.dtype)]), n)
         self.writer.close()
 
 
@@ -153,17 +171,18 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         ids, starts, sizes, at = [], [], [], 0
         draft = f"{name}.{uuid.uuid4().hex}.draft"
         with fs.open_output_stream(draft) as sink:
-            out = Rows(sink, length, rows)
+            made = encoder(path)
+            kind = np.dtype(made.code)
+            out, end = Rows(sink, length, rows, kind), np.array([END], kind).tobytes()
             for batch in batches:
                 texts = [t.decode("utf-8", "replace") for t in raw(batch.column(1))]
-                end = np.array([END], np.uint32).tobytes()
                 for k in range(0, len(texts), 200):
-                    parts = [p + end for p in encoder(path).encode(texts[k:k + 200])]
+                    parts = [p + end for p in made.encode(texts[k:k + 200])]
                     for p in parts:
                         starts.append(at)
-                        sizes.append(len(p) // 4)
-                        at += len(p) // 4
-                    out.add(np.frombuffer(b"".join(parts), np.uint32))
+                        sizes.append(len(p) // kind.itemsize)
+                        at += len(p) // kind.itemsize
+                    out.add(np.frombuffer(b"".join(parts), kind))
                 ids.append(batch.column(0))
             out.close()
         if not starts:
@@ -202,17 +221,18 @@ class TokenFile:
         self.rows = self.reader.get_batch(0).num_rows if self.batches else 0
         self._batch = (-1, None)
 
-    def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and masks of batch ``k`` as two-dimensional arrays."""
+    def batch(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids of batch ``k`` as a two-dimensional array, and its masks, one bit an id, end to end."""
         if self._batch[0] != k:
-            b = self.reader.get_batch(k)
-            self._batch = (k, tuple(c.flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length) for c in b.columns))
+            ids, mask = (c.flatten() for c in self.reader.get_batch(k).columns)
+            self._batch = (k, (ids.to_numpy(zero_copy_only=True).reshape(-1, self.length), mask))
         return self._batch[1]
 
-    def row(self, r: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence ``r`` and its mask."""
+    def row(self, r: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Sequence ``r`` and its mask, both views."""
         ids, mask = self.batch(r // self.rows)
-        return ids[r % self.rows], mask[r % self.rows]
+        r %= self.rows
+        return ids[r], mask.slice(r * self.length, self.length)
 
     def span(self, start: int, n: int) -> np.ndarray:
         """``n`` ids from a position of the stream."""
