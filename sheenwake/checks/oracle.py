@@ -213,9 +213,11 @@ V["susp"] = (["feat", "evid"], f"""
 V["learned"] = (["feat"], f"""
     select origin_id, mmsi, row_number() over (partition by origin_id order by
       {' + '.join(f'{num(w)}*{k}' for k, w in DEMO_MODEL.items())} desc, mmsi)::int as learned_rank from feat""")
-V["counts"] = (["clean", "cand"], """
-    select origin_id, count(distinct mmsi) as n_screened, coalesce(any_value(k), 0) as n_candidates
-    from clean left join (select origin_id, count(*) as k from cand group by origin_id) using (origin_id) group by origin_id""")
+V["counts"] = (["clean", "cand", "origin_sample"], """
+    select o.origin_id, coalesce(n, 0) as n_screened, coalesce(k, 0) as n_candidates
+    from (select distinct origin_id from origin_sample) o
+    left join (select origin_id, count(distinct mmsi) as n from clean group by origin_id) c using (origin_id)
+    left join (select origin_id, count(*) as k from cand group by origin_id) d using (origin_id)""")
 
 
 def track_sql(src: str, key: str) -> str:
