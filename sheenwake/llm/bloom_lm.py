@@ -16,7 +16,7 @@ their words for the base score, are written to the shared folder.
 
 Broadcasting: segments are sent to the workers in waves of at most ``WAVE_BYTES``. Each wave adds what it
 knows of every token; after the last one all counts are there. Where all fits in one wave, as in small
-corpora, there is one pass; otherwise the tokens' counts travel from wave to wave as a packed column.
+corpora, there is one pass; otherwise the tokens' levels travel from wave to wave as a packed column.
 """
 from __future__ import annotations
 
@@ -35,10 +35,10 @@ from .common import kept, lower_words, mix, raw, remainder
 
 END, START = b"\n", b" "
 STEP = 1.5
-HASHES = 8
+HASHES = 6
 RUN = 2_000_000
 CHARS_A_SEGMENT = 4_000_000
-WAVE_BYTES = 192_000_000
+WAVE_BYTES = 128_000_000
 KEPT_WORDS = 600_000
 TUNING_DOCS = 400
 WEIGHTS = (0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -216,7 +216,7 @@ def build_segments(counts: DataFrame) -> DataFrame:
             size, bits = fill(np.r_[words, pairs], np.r_[n, m])
             yield pa.RecordBatch.from_pylist([{
                 "segment": segment, "tokens": int(n.sum()), "words": len(words), "cells": size, "bits": bits,
-                "word_keys": words.tobytes(), "word_counts": n.tobytes()}], schema=pa.schema([
+                "word_keys": words.tobytes(), "word_counts": np.minimum(n, 2**32 - 1).astype(np.uint32).tobytes()}], schema=pa.schema([
                     ("segment", pa.int32()), ("tokens", pa.int64()), ("words", pa.int64()), ("cells", pa.int64()),
                     ("bits", pa.binary()), ("word_keys", pa.binary()), ("word_counts", pa.binary())]))
 
@@ -228,31 +228,37 @@ def build_segments(counts: DataFrame) -> DataFrame:
 class Wave:
     """What one broadcast brings: filters and exact word counts of some segments."""
 
-    def __init__(self, rows: list[tuple], segments: int):
+    def __init__(self, rows: list[tuple], segments: int, room: float, reach: tuple[int, int]):
+        self.room, self.segments, self.reach = room, np.uint64(segments), reach
         self.filter = Filter(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.uint64),
                              [r[2] for r in rows], segments)
         keys = np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows] + [np.empty(0, np.uint64)])
         order = np.argsort(keys)
         self.keys = keys[order]
-        self.counts = np.concatenate([np.frombuffer(r[4], np.int64) for r in rows] + [np.empty(0, np.int64)])[order]
+        self.counts = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows] + [np.empty(0, np.uint32)])[order]
         self.words, self.known = Words(), None
 
     def look_up(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(sizes, word level, word count, front word level, bigram level) of all tokens, as far as known here."""
+        """Of all tokens, as far as known here: sizes of the texts, whether the training texts hold the word,
+        its exact log10 share, its level, the level of the word in front, the level of the bigram.
+        """
         numbers, sizes = self.words.tokens(texts)
         if self.known is None or len(self.known[0]) > len(self.words.hash):
-            self.known = (np.empty(0, np.uint8), np.empty(0, np.int64))
+            self.known = (np.empty(0, np.uint8), np.empty(0, bool), np.empty(0))
         new = self.words.hash[len(self.known[0]):]
         if len(new):
             at = np.minimum(np.searchsorted(self.keys, new), max(len(self.keys) - 1, 0))
             hit = self.keys[at] == new if len(self.keys) else np.zeros(len(new), bool)
-            count = np.where(hit, self.counts[at] if len(self.keys) else 0, 0)
-            self.known = (np.r_[self.known[0], self.filter.levels(new)], np.r_[self.known[1], count])
+            count = np.where(hit, self.counts[at].astype(np.int64) if len(self.keys) else 0, 0)
+            part = new % self.segments
+            mine = (part >= self.reach[0]) & (part < self.reach[1])
+            share = np.where(mine, np.log10((count + 0.5) / self.room), 0.0)
+            self.known = tuple(np.r_[a, b] for a, b in zip(self.known, (self.filter.levels(new), hit, share)))
         h = self.words.hash[numbers]
         level = self.known[0][numbers]
         front = np.r_[np.uint8(0), level[:-1]]
         front[np.cumsum(sizes) - sizes] = 0
-        return sizes, level, self.known[1][numbers], front, self.filter.levels(pair_keys(_before(h, sizes), h))
+        return sizes, self.known[1][numbers], self.known[2][numbers], level, front, self.filter.levels(pair_keys(_before(h, sizes), h))
 
 
 def _logs(word, front, pair, first, shape, weight: float, own: float = 0.0) -> np.ndarray:
@@ -269,7 +275,8 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(sizes) - sizes) if len(sizes) else np.empty(0)
 
 
-PACKED = np.dtype([("level", "u1"), ("front", "u1"), ("pair", "u1"), ("count", "<i8")])
+HEAD = np.dtype([("known", "<i8"), ("base", "<f8")])
+PACKED = np.dtype([("level", "u1"), ("front", "u1"), ("pair", "u1")])
 
 
 class Model:
@@ -290,41 +297,62 @@ class Model:
             self.waves[-1].append(segment)
             room -= size
         self.weight = 0.0
+        #: Counts and smoothing together, which the share of a word is taken of.
+        self.room = self.tokens + 0.5 * (self.words + 1)
+        self.sent: tuple | None = None
 
     def _send(self, wave: list[int]):
+        """Getter of a wave on the workers; the wave sent last is used again, the one before is let go."""
+        if self.sent is None or self.sent[0] != wave:
+            self.sent = None
+            self.sent = (wave, self._broadcast(wave))
+        return self.sent[1]
+
+    def _broadcast(self, wave: list[int]):
         rows = (self.segments.where(F.col("segment").between(wave[0], wave[-1]))
-                .select("segment", "cells", "bits", "word_keys", "word_counts").collect())
-        held = self.segments.sparkSession.sparkContext.broadcast(
-            [(r[0], r[1], bytes(r[2]), bytes(r[3]), bytes(r[4])) for r in rows])
-        number, key = self.number, uuid.uuid4().hex
-        return lambda: kept_wave(key, held, number)
+                .select("segment", "cells", "bits", "word_keys", "word_counts").toLocalIterator())
+        held = self.segments.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+        # a wave answers for all segments up to the next one's first, those without any n-gram too
+        at = self.waves.index(wave)
+        reach = (wave[0] if at else 0, self.waves[at + 1][0] if at + 1 < len(self.waves) else self.number)
+        number, room, key = self.number, self.room, uuid.uuid4().hex
+        return lambda: kept_wave(key, lambda: Wave(held.value, number, room, reach))
 
     def look_up(self, docs: DataFrame, text_col: str, finish, out_type: str) -> DataFrame:
-        """``docs`` with ``_lm``: what ``finish(sizes, level, count, front, pair)`` returns for each text."""
+        """``docs`` with ``_lm``: what ``finish(sizes, known, base, level, front, pair)`` returns for each text.
+
+        known and base are sums over the tokens of a text, the others are levels of each token.
+        """
+        room = self.room
         waves = self.waves or [[]]
         result = _parse_datatype_string(out_type)
         arrow_type = to_arrow_type(result)
         docs = docs.withColumn("_lm", F.lit(None).cast("binary"))
         for n, wave in enumerate(waves):
-            get = self._send(wave) if wave else (lambda: Wave([], 1))
+            get = self._send(wave) if wave else (lambda: Wave([], 1, room, (0, 1)))
             last = n == len(waves) - 1
 
             def run(text: pa.Array, state: pa.Array, get=get, last=last, first=n == 0) -> pa.Array:
                 table, texts, out = get(), raw(text), []
                 before = None if first else state.to_pylist()
                 for k in range(0, len(texts), 200):
-                    sizes, level, count, front, pair = table.look_up(texts[k:k + 200])
+                    sizes, hit, share, *each = table.look_up(texts[k:k + 200])
+                    known, base = _sums(hit.astype(np.int64), sizes), _sums(share, sizes)
                     if not first:
-                        old = np.frombuffer(b"".join(before[k:k + 200]), PACKED)
-                        level, count, front, pair = (x + old[c] for x, c in zip(
-                            (level, count, front, pair), ("level", "count", "front", "pair")))
+                        part = before[k:k + 200]
+                        head = np.frombuffer(b"".join(p[:HEAD.itemsize] for p in part), HEAD)
+                        old = np.frombuffer(b"".join(p[HEAD.itemsize:] for p in part), PACKED)
+                        known, base = known + head["known"], base + head["base"]
+                        each = [x + old[c] for x, c in zip(each, PACKED.names)]
                     if last:
-                        out += finish(sizes, level, count, front, pair)
+                        out += finish(sizes, known, base, *each)
                     else:
-                        rows = np.empty(len(level), PACKED)
-                        rows["level"], rows["count"], rows["front"], rows["pair"] = level, count, front, pair
+                        rows, head = np.empty(len(each[0]), PACKED), np.empty(len(sizes), HEAD)
+                        for c, x in zip(PACKED.names, each):
+                            rows[c] = x
+                        head["known"], head["base"] = known, base
                         ends = np.cumsum(sizes)
-                        out += [rows[e - s:e].tobytes() for s, e in zip(sizes, ends)]
+                        out += [h.tobytes() + rows[e - s:e].tobytes() for h, s, e in zip(head, sizes, ends)]
                 return pa.array(out, arrow_type if last else pa.binary())
 
             step = F.arrow_udf(_two(run), result if last else "binary")
@@ -340,12 +368,12 @@ def _two(run):
     return call
 
 
-def kept_wave(key: str, held, number: int) -> Wave:
+def kept_wave(key: str, make) -> Wave:
     """The tables of a broadcast, laid out once a worker; those of an earlier wave are let go."""
     box = kept(("wave",), dict)
     if key not in box:
         box.clear()
-        box[key] = Wave(held.value, number)
+        box[key] = make()
     return box[key]
 
 
@@ -357,12 +385,14 @@ def train(docs: DataFrame, text_col: str = "text", chars_a_segment: int = CHARS_
     model = Model(table, segments, size[1])
     shape = (model.tokens, model.words, model.texts)
 
-    def finish(sizes, level, count, front, pair):
+    def finish(sizes, known, base, level, front, pair):
         first = np.cumsum(sizes) - sizes
         each = [_sums(_logs(level, front, pair, first, shape, w, 1.0), sizes) for w in WEIGHTS]
         return np.array(each).T.tolist()
 
-    some = docs.select(F.col(text_col).alias("_text")).orderBy(F.xxhash64("_text"), "_text").limit(TUNING_DOCS)
+    code = F.xxhash64(text_col)
+    codes = [r[0] for r in docs.select(code.alias("h")).distinct().orderBy("h").limit(TUNING_DOCS).collect()]
+    some = docs.where(code.isin(codes)).select(F.col(text_col).alias("_text")).dropDuplicates()
     rows = model.look_up(some, "_text", finish, "array<double>").select("_lm").collect()
     if rows:
         model.weight = WEIGHTS[int(np.argmax(np.sum([r[0] for r in rows], axis=0)))]
@@ -377,11 +407,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     shape, weight = (model.tokens, model.words, model.texts), model.weight
 
-    def finish(sizes, level, count, front, pair):
+    def finish(sizes, known, base, level, front, pair):
         first = np.cumsum(sizes) - sizes
-        base = np.log10((count + 0.5) / (shape[0] + 0.5 * (shape[1] + 1)))
-        cols = (sizes, _sums((count > 0).astype(np.int64), sizes), _sums(base, sizes),
-                _sums(_logs(level, front, pair, first, shape, weight), sizes))
+        cols = (sizes, known, base, _sums(_logs(level, front, pair, first, shape, weight), sizes))
         return [dict(zip(("n", "k", "b", "s"), row)) for row in zip(*(c.tolist() for c in cols))]
 
     x: Column = F.col("_lm")
