@@ -35,11 +35,11 @@ from .common import kept, lower_words, mix, raw, remainder
 
 END, START = b"\n", b" "
 STEP = 1.5
-HASHES = 6
+HASHES = 8
 RUN = 2_000_000
 CHARS_A_SEGMENT = 4_000_000
-WAVE_BYTES = 128_000_000
-KEPT_WORDS = 600_000
+WAVE_BYTES = 96_000_000
+KEPT_WORDS = 150_000
 TUNING_DOCS = 400
 WEIGHTS = (0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
