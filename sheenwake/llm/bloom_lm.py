@@ -40,6 +40,8 @@ RUN = 2_000_000
 CHARS_A_SEGMENT = 4_000_000
 WAVE_BYTES = 96_000_000
 KEPT_WORDS = 150_000
+#: Slots of a worker's table of the bigrams read last, a power of two.
+MEMO = 1 << 20
 TUNING_DOCS = 400
 WEIGHTS = (0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
@@ -78,21 +80,36 @@ def _cells(keys: np.ndarray, level: int, size: np.ndarray | int):
 
 
 class Filter:
-    """Log-frequency Bloom filters of some segments, laid end to end."""
+    """Log-frequency Bloom filters of some segments, laid end to end in ``bits`` and read where they lie."""
 
-    def __init__(self, segments: np.ndarray, sizes: np.ndarray, bits: list[bytes], count: int):
+    def __init__(self, segments: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, bits: bytes, count: int):
         self.count = np.uint64(count)
         self.size = np.ones(count, np.uint64)
         self.start = np.full(count, -1, np.int64)
-        lengths = np.array([len(b) for b in bits], np.int64)
         self.start[segments] = (np.cumsum(lengths) - lengths) * 8
         self.size[segments] = sizes
-        self.bits = np.frombuffer(b"".join(bits), np.uint8)
+        self.bits = np.frombuffer(bits, np.uint8)
+        self.memo_keys = np.zeros(MEMO, np.uint64)
+        self.memo_keys[0] = 1  # key 1 has another slot, so that key 0 is not taken for known
+        self.memo_levels = np.zeros(MEMO, np.uint8)
 
     def here(self, keys: np.ndarray) -> np.ndarray:
         """Which keys belong to segments of this filter."""
         return self.start[(keys % self.count).astype(np.int64)] >= 0
 
+    def remembered(self, keys: np.ndarray) -> np.ndarray:
+        """``levels``, with those of keys met lately taken from a table of fixed size."""
+        slot = (keys & np.uint64(MEMO - 1)).astype(np.int64)
+        out = self.memo_levels[slot]
+        miss = np.flatnonzero(self.memo_keys[slot] != keys)
+        if len(miss):
+            new, at = keys[miss], slot[miss]
+            out[miss] = level = self.levels(new)
+            self.memo_keys[at] = new
+            own = self.memo_keys[at] == new
+            self.memo_levels[at[own]] = level[own]
+        return out
+
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key, 0 where it is not in; keys of other segments are 0."""
         out = np.zeros(len(keys), np.uint8)
@@ -228,15 +245,22 @@ def build_segments(counts: DataFrame) -> DataFrame:
 class Wave:
     """What one broadcast brings: filters and exact word counts of some segments."""
 
-    def __init__(self, rows: list[tuple], segments: int, room: float, reach: tuple[int, int]):
+    def __init__(self, packed: tuple, segments: int, room: float, reach: tuple[int, int]):
         self.room, self.segments, self.reach = room, np.uint64(segments), reach
-        self.filter = Filter(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.uint64),
-                             [r[2] for r in rows], segments)
+        numbers, cells, lengths, bits, keys, counts = packed
+        self.filter = Filter(numbers, cells, lengths, bits, segments)
+        self.keys, self.counts = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32)
+        self.words, self.known = Words(), None
+
+    @staticmethod
+    def pack(rows: list[tuple]) -> tuple:
+        """Segments (number, cells, bits, word keys, word counts) as few long arrays, which workers use uncopied."""
         keys = np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows] + [np.empty(0, np.uint64)])
+        counts = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows] + [np.empty(0, np.uint32)])
         order = np.argsort(keys)
-        self.keys = keys[order]
-        self.counts = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows] + [np.empty(0, np.uint32)])[order]
-        self.words, self.known = Words(), None
+        return (np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.uint64),
+                np.array([len(r[2]) for r in rows], np.int64), b"".join(r[2] for r in rows),
+                keys[order].tobytes(), counts[order].tobytes())
 
     def look_up(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """Of all tokens, as far as known here: sizes of the texts, whether the training texts hold the word,
@@ -258,7 +282,7 @@ class Wave:
         level = self.known[0][numbers]
         front = np.r_[np.uint8(0), level[:-1]]
         front[np.cumsum(sizes) - sizes] = 0
-        return sizes, self.known[1][numbers], self.known[2][numbers], level, front, self.filter.levels(pair_keys(_before(h, sizes), h))
+        return sizes, self.known[1][numbers], self.known[2][numbers], level, front, self.filter.remembered(pair_keys(_before(h, sizes), h))
 
 
 def _logs(word, front, pair, first, shape, weight: float, own: float = 0.0) -> np.ndarray:
@@ -311,7 +335,7 @@ class Model:
     def _broadcast(self, wave: list[int]):
         rows = (self.segments.where(F.col("segment").between(wave[0], wave[-1]))
                 .select("segment", "cells", "bits", "word_keys", "word_counts").toLocalIterator())
-        held = self.segments.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+        held = self.segments.sparkSession.sparkContext.broadcast(Wave.pack([tuple(r) for r in rows]))
         # a wave answers for all segments up to the next one's first, those without any n-gram too
         at = self.waves.index(wave)
         reach = (wave[0] if at else 0, self.waves[at + 1][0] if at + 1 < len(self.waves) else self.number)
@@ -329,7 +353,7 @@ class Model:
         arrow_type = to_arrow_type(result)
         docs = docs.withColumn("_lm", F.lit(None).cast("binary"))
         for n, wave in enumerate(waves):
-            get = self._send(wave) if wave else (lambda: Wave([], 1, room, (0, 1)))
+            get = self._send(wave) if wave else (lambda: Wave(Wave.pack([]), 1, room, (0, 1)))
             last = n == len(waves) - 1
 
             def run(text: pa.Array, state: pa.Array, get=get, last=last, first=n == 0) -> pa.Array:

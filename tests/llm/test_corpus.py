@@ -172,8 +172,10 @@ def test_bloom_levels():
     keys = common.mix(np.arange(20_000, dtype=np.uint64) * np.uint64(2654435761))
     counts = np.random.default_rng(1).geometric(0.3, 20_000) ** 3
     size, bits = bloom_lm.fill(keys, counts)
-    table = bloom_lm.Filter(np.array([0]), np.array([size], np.uint64), [bits], 1)
+    table = bloom_lm.Filter(np.array([0]), np.array([size], np.uint64), np.array([len(bits)]), bits, 1)
     want, got = bloom_lm.levels(counts), table.levels(keys)
+    for some in (keys, keys[::-1], np.r_[keys, keys, np.uint64(0)]):
+        assert (table.remembered(some) == table.levels(some)).all()
     assert (got >= want).all() and (got == want).mean() > 0.98
     assert (table.levels(common.mix(np.arange(10**6, 10**6 + 50_000, dtype=np.uint64))) > 0).mean() < 0.01
 
