@@ -36,7 +36,7 @@ from .common import kept, lower_words, mix, raw, remainder
 END, START = b"\n", b" "
 STEP = 1.5
 HASHES = 8
-RUN = 2_000_000
+RUN = 1_000_000
 CHARS_A_SEGMENT = 4_000_000
 WAVE_BYTES = 96_000_000
 KEPT_WORDS = 150_000
@@ -187,22 +187,25 @@ def count_ngrams(docs: DataFrame, text_col: str, segments: int) -> DataFrame:
 
         def flush():
             for order in (1, 2):
-                keys, counts = np.unique(np.concatenate([h[order - 1] for h in held]), return_counts=True)
-                part = (keys % np.uint64(segments)).astype(np.int64)
+                keys = np.concatenate([h[order - 1] for h in held])
+                keys.sort()
+                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                counts = np.diff(first, append=len(keys)).astype(np.uint32)
+                keys = keys[first]
+                part = (keys % np.uint64(segments)).astype(np.int32)
                 by = np.argsort(part, kind="stable")
-                keys, counts, part = keys[by], counts[by].astype(np.int64), part[by]
+                keys, counts, part = keys[by], counts[by], part[by]
                 ends = np.searchsorted(part, np.arange(segments + 1))
                 filled = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(filled, pa.int32()), pa.array([order] * len(filled), pa.int32()),
                      pa.array([keys[ends[k]:ends[k + 1]].tobytes() for k in filled], pa.binary()),
-                     pa.array([counts[ends[k]:ends[k + 1]].astype(np.uint32).tobytes() for k in filled], pa.binary())],
+                     pa.array([counts[ends[k]:ends[k + 1]].tobytes() for k in filled], pa.binary())],
                     ["segment", "ngram_order", "keys", "counts"])
 
         for batch in batches:
-            texts = raw(batch.column(0))
-            for k in range(0, len(texts), 500):
-                numbers, sizes = table.tokens(texts[k:k + 500])
+            for k in range(0, batch.num_rows, 500):
+                numbers, sizes = table.tokens(raw(batch.column(0).slice(k, 500)))
                 h = table.hash[numbers]
                 held.append((h, pair_keys(_before(h, sizes), h)))
                 size += len(h)
@@ -225,7 +228,8 @@ def _merge(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
 def build_segments(counts: DataFrame) -> DataFrame:
     """One row a segment: tokens, distinct words, filter, and the words' exact counts."""
     def run(batches):
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        # row by row, so that no more than a segment is copied out of a batch at once
+        rows = (tuple(c[k].as_py() for c in b.columns) for b in batches for k in range(b.num_rows))
         for segment, group in itertools.groupby(rows, key=lambda r: r[0]):
             group = list(group)
             words, n = _merge([r for r in group if r[1] == 1])
@@ -357,13 +361,12 @@ class Model:
             last = n == len(waves) - 1
 
             def run(text: pa.Array, state: pa.Array, get=get, last=last, first=n == 0) -> pa.Array:
-                table, texts, out = get(), raw(text), []
-                before = None if first else state.to_pylist()
-                for k in range(0, len(texts), 200):
-                    sizes, hit, share, *each = table.look_up(texts[k:k + 200])
+                table, out = get(), []
+                for k in range(0, len(text), 200):
+                    sizes, hit, share, *each = table.look_up(raw(text.slice(k, 200)))
                     known, base = _sums(hit.astype(np.int64), sizes), _sums(share, sizes)
                     if not first:
-                        part = before[k:k + 200]
+                        part = state.slice(k, 200).to_pylist()
                         head = np.frombuffer(b"".join(p[:HEAD.itemsize] for p in part), HEAD)
                         old = np.frombuffer(b"".join(p[HEAD.itemsize:] for p in part), PACKED)
                         known, base = known + head["known"], base + head["base"]
@@ -397,6 +400,7 @@ def kept_wave(key: str, make) -> Wave:
     box = kept(("wave",), dict)
     if key not in box:
         box.clear()
+        pa.default_memory_pool().release_unused()
         box[key] = make()
     return box[key]
 
