@@ -150,6 +150,13 @@ class Words(dict):
     def __init__(self):
         super().__init__()
         self.hash = np.empty(0, np.uint64)
+        #: How often the numbering began anew; what is kept by number holds for one generation.
+        self.generation = 0
+
+    def clear(self):
+        super().clear()
+        self.hash = self.hash[:0]
+        self.generation += 1
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -161,7 +168,6 @@ class Words(dict):
 
         if len(self) > KEPT_WORDS:
             self.clear()
-            self.hash = self.hash[:0]
         words = [lower_words(t) + [END] for t in texts]
         sizes = np.array([len(w) for w in words], np.int64)
         out = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(sizes.sum()))
@@ -254,7 +260,7 @@ class Wave:
         numbers, cells, lengths, bits, keys, counts = packed
         self.filter = Filter(numbers, cells, lengths, bits, segments)
         self.keys, self.counts = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32)
-        self.words, self.known = Words(), None
+        self.words, self.known, self.generation = Words(), None, 0
 
     @staticmethod
     def pack(rows: list[tuple]) -> tuple:
@@ -271,7 +277,8 @@ class Wave:
         its exact log10 share, its level, the level of the word in front, the level of the bigram.
         """
         numbers, sizes = self.words.tokens(texts)
-        if self.known is None or len(self.known[0]) > len(self.words.hash):
+        if self.known is None or self.generation != self.words.generation:
+            self.generation = self.words.generation
             self.known = (np.empty(0, np.uint8), np.empty(0, bool), np.empty(0))
         new = self.words.hash[len(self.known[0]):]
         if len(new):

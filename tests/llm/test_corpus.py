@@ -168,6 +168,22 @@ def test_language_model(docs, odd, monkeypatch):
     assert bloom_lm.score(odd, bloom_lm.train(odd.limit(0))).count() == len(ODD)
 
 
+def test_word_cache_is_emptied_whole(monkeypatch):
+    import xxhash
+
+    texts = [" ".join(f"w{k}" for k in range(a, b)).encode() for a, b in ((0, 40), (100, 140), (20, 110), (300, 310), (0, 140))]
+    hashes = np.array(sorted(xxhash.xxh64_intdigest(f"w{k}".encode()) for k in range(0, 140, 3)), np.uint64)
+    counts = np.arange(1, len(hashes) + 1, dtype=np.uint32)
+    size, bits = bloom_lm.fill(hashes, counts)
+    packed = bloom_lm.Wave.pack([(0, size, bits, hashes.tobytes(), counts.tobytes())])
+    room = float(counts.sum())
+    want = [bloom_lm.Wave(packed, 1, room, (0, 1)).look_up([t]) for t in texts]
+    monkeypatch.setattr(bloom_lm, "KEPT_WORDS", 5)
+    wave = bloom_lm.Wave(packed, 1, room, (0, 1))
+    for t, w in zip(texts, want):
+        assert all((a == b).all() for a, b in zip(wave.look_up([t]), w))
+
+
 def test_bloom_levels():
     keys = common.mix(np.arange(20_000, dtype=np.uint64) * np.uint64(2654435761))
     counts = np.random.default_rng(1).geometric(0.3, 20_000) ** 3
