@@ -6,8 +6,9 @@ is missing; the level reached stands for the mean count of its range. The bigram
 
     (1 - weight) * (c(w) + 0.5) / (N + 0.5 * (V + 1)) + weight * c(v w) / c(v)
 
-with all three counts from the filter. ``weight`` is the best of a grid on training texts, each token being
-taken out of its own counts. The probabilities use quantised counts and so do not sum to exactly one.
+with all three counts from the filter. ``weight`` is the best of a grid on all training texts, each token being
+taken out of its own counts; ``train_and_score`` tries the grid in the pass that scores the texts. The
+probabilities use quantised counts and so do not sum to exactly one.
 
 Counting: every task counts runs of ``RUN`` tokens, cuts the result by hash into segments and shuffles packed
 arrays; a segment is then merged and filled into a filter of its own. The number of segments follows the
@@ -42,7 +43,6 @@ WAVE_BYTES = 96_000_000
 KEPT_WORDS = 150_000
 #: Slots of a worker's table of the bigrams read last, a power of two.
 MEMO = 1 << 20
-TUNING_DOCS = 400
 WEIGHTS = (0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
 
@@ -306,6 +306,31 @@ def _logs(word, front, pair, first, shape, weight: float, own: float = 0.0) -> n
     return np.log10((1 - weight) * base + weight * rate)
 
 
+class Grid:
+    """Sums of ``_logs`` over texts for some weights; tokens of the same three levels are worked out once."""
+
+    def __init__(self, sizes: np.ndarray, level: np.ndarray, front: np.ndarray, pair: np.ndarray, shape: tuple):
+        self.sizes, self.shape = sizes, shape
+        a = int(max(x.max(initial=0) for x in (level, front, pair))) + 1
+        front = front.astype(np.int32)
+        front[np.cumsum(sizes) - sizes] = a
+        self.code = (front * a + level) * a + pair
+        self.n_codes = (a + 1) * a * a
+        self.met = np.flatnonzero(np.bincount(self.code, minlength=self.n_codes))
+        rest, self.pair = np.divmod(self.met, a)
+        self.front, self.level = np.divmod(rest, a)
+        self.first = np.flatnonzero(self.front == a)
+        self.front[self.first] = 0
+
+    def sums(self, weights: tuple[float, ...], own: float = 0.0) -> np.ndarray:
+        """One row a text, one column a weight."""
+        out, logs = np.empty((len(self.sizes), len(weights))), np.zeros(self.n_codes)
+        for k, w in enumerate(weights):
+            logs[self.met] = _logs(self.level, self.front, self.pair, self.first, self.shape, w, own)
+            out[:, k] = _sums(logs[self.code], self.sizes)
+        return out
+
+
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(sizes) - sizes) if len(sizes) else np.empty(0)
 
@@ -412,28 +437,37 @@ def kept_wave(key: str, make) -> Wave:
     return box[key]
 
 
-def train(docs: DataFrame, text_col: str = "text", chars_a_segment: int = CHARS_A_SEGMENT) -> Model:
-    """Model of all the given texts (null: empty)."""
+def _count(docs: DataFrame, text_col: str, chars_a_segment: int) -> Model:
+    """Model of all the given texts, its weight not chosen yet."""
     size = docs.agg(F.sum(F.length(text_col)), F.count("*")).first()
     segments = max(64, int((size[0] or 0) // chars_a_segment))
     table = cut_lineage(build_segments(count_ngrams(docs, text_col, segments)))
-    model = Model(table, segments, size[1])
+    return Model(table, segments, size[1])
+
+
+def _best(tried: DataFrame, logs: str) -> int:
+    """Place in the grid of the weight whose log probabilities, summed over all rows, are highest."""
+    found = tried.agg(*[F.sum(F.col(logs)[k]) for k in range(len(WEIGHTS))]).first()
+    return int(np.argmax(found)) if found[0] is not None else 0
+
+
+def train(docs: DataFrame, text_col: str = "text", chars_a_segment: int = CHARS_A_SEGMENT) -> Model:
+    """Model of all the given texts (null: empty)."""
+    model = _count(docs, text_col, chars_a_segment)
     shape = (model.tokens, model.words, model.texts)
 
     def finish(sizes, known, base, level, front, pair):
-        first = np.cumsum(sizes) - sizes
-        each = [_sums(_logs(level, front, pair, first, shape, w, 1.0), sizes) for w in WEIGHTS]
-        return np.array(each).T.tolist()
-
-    code = F.xxhash64(text_col)
-    codes = [r[0] for r in docs.select(code.alias("h")).distinct().orderBy("h").limit(TUNING_DOCS).collect()]
-    some = docs.where(code.isin(codes)).select(F.col(text_col).alias("_text")).dropDuplicates()
-    rows = model.look_up(some, "_text", finish, "array<double>").select("_lm").collect()
-    if rows:
-        model.weight = WEIGHTS[int(np.argmax(np.sum([r[0] for r in rows], axis=0)))]
+        return Grid(sizes, level, front, pair, shape).sums(WEIGHTS, 1.0).tolist()
+
+    model.weight = WEIGHTS[_best(model.look_up(docs.select(F.col(text_col).alias("_text")), "_text", finish, "array<double>"), "_lm")]
     return model
 
 
+def _with_scores(docs: DataFrame, lm_score: Column) -> DataFrame:
+    x: Column = F.col("_lm")
+    return docs.withColumns({"n_tokens": x["n"], "n_known": x["k"], "base_score": x["b"], "lm_score": lm_score}).drop("_lm")
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with n_tokens, n_known, base_score and lm_score of every whole text.
 
@@ -447,9 +481,31 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         cols = (sizes, known, base, _sums(_logs(level, front, pair, first, shape, weight), sizes))
         return [dict(zip(("n", "k", "b", "s"), row)) for row in zip(*(c.tolist() for c in cols))]
 
-    x: Column = F.col("_lm")
-    return (model.look_up(docs, text_col, finish, "struct<n:bigint,k:bigint,b:double,s:double>")
-            .withColumns({"n_tokens": x["n"], "n_known": x["k"], "base_score": x["b"], "lm_score": x["s"]}).drop("_lm"))
+    found = model.look_up(docs, text_col, finish, "struct<n:bigint,k:bigint,b:double,s:double>")
+    return _with_scores(found, F.col("_lm")["s"])
+
+
+def train_and_score(docs: DataFrame, training: Column, text_col: str = "text",
+                    chars_a_segment: int = CHARS_A_SEGMENT) -> tuple[DataFrame, Model]:
+    """``score`` by the model of the rows where ``training`` holds, without the text, and that model.
+
+    The waves are sent once: each text gets a score for every weight of the grid and, next to it, its log
+    probabilities with its own counts taken out; those of the training texts choose the weight.
+    """
+    docs = docs.withColumn("_train", training)
+    model = _count(docs.where("_train"), text_col, chars_a_segment)
+    shape = (model.tokens, model.words, model.texts)
+
+    def finish(sizes, known, base, level, front, pair):
+        grid = Grid(sizes, level, front, pair, shape)
+        cols = (sizes, known, base, grid.sums(WEIGHTS), grid.sums(WEIGHTS, 1.0))
+        return [dict(zip(("n", "k", "b", "s", "t"), row)) for row in zip(*(c.tolist() for c in cols))]
+
+    tried = cut_lineage(model.look_up(
+        docs, text_col, finish, "struct<n:bigint,k:bigint,b:double,s:array<double>,t:array<double>>").drop(text_col))
+    best = _best(tried.where("_train").select(F.col("_lm")["t"].alias("t")), "t")
+    model.weight = WEIGHTS[best]
+    return _with_scores(tried, F.col("_lm")["s"][best]).drop("_train"), model
 
 
 def held_out(id_col: str = "doc_id") -> Column:

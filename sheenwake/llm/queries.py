@@ -26,10 +26,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op3_bloom_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = bloom_lm.train(docs.where(~bloom_lm.held_out()))
-    return (bloom_lm.score(docs.withColumn("held_out", bloom_lm.held_out()), model)
-            .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-                    "base_score", F.col("lm_score").alias("score")))
+    found, model = bloom_lm.train_and_score(docs.withColumn("held_out", bloom_lm.held_out()), ~F.col("held_out"))
+    return found.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+        "base_score", F.col("lm_score").alias("score"))
 
 
 def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

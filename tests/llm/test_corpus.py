@@ -168,6 +168,36 @@ def test_language_model(docs, odd, monkeypatch):
     assert bloom_lm.score(odd, bloom_lm.train(odd.limit(0))).count() == len(ODD)
 
 
+def test_weight_rests_on_all_training_texts(spark, docs, monkeypatch):
+    import xxhash
+
+    # 400 texts of the lowest hashes, each of words of its own, and 800 others of one sentence said over and over
+    texts = sorted((f"a{k} b{k} c{k}" for k in range(3000)), key=lambda t: xxhash.xxh64_intdigest(t.encode(), 42) ^ 1 << 63)[:400]
+    last = int(xxhash.xxh64_intdigest(texts[-1].encode(), 42) ^ 1 << 63)
+    said = [t for k in range(8000) if xxhash.xxh64_intdigest((t := f"it was a long road to the sea and back n{k}").encode(), 42) ^ 1 << 63 > last][:800]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts + said)], "doc_id long, text string")
+    model = bloom_lm.train(d)
+    shape = (model.tokens, model.words, model.texts)
+
+    def finish(sizes, known, base, level, front, pair):
+        first = np.cumsum(sizes) - sizes
+        return [[float(bloom_lm._sums(bloom_lm._logs(level, front, pair, first, shape, w, 1.0), sizes)[k]) for w in bloom_lm.WEIGHTS]
+                for k in range(len(sizes))]
+
+    sums = np.sum([r["_lm"] for r in model.look_up(d, "text", finish, "array<double>").collect()], axis=0)
+    assert model.weight == bloom_lm.WEIGHTS[int(np.argmax(sums))] > 0.5
+    for size in (bloom_lm.WAVE_BYTES, 60_000):
+        monkeypatch.setattr(bloom_lm, "WAVE_BYTES", size)
+        own, again = bloom_lm.train_and_score(docs, ~bloom_lm.held_out())
+        other = bloom_lm.train(docs.where(~bloom_lm.held_out()))
+        assert again.weight == other.weight > 0
+        plain = {r["doc_id"]: r for r in bloom_lm.score(docs, other).collect()}
+        got = own.collect()
+        assert len(got) == len(plain)
+        for r in got:
+            assert all(math.isclose(r[c], plain[r["doc_id"]][c], rel_tol=1e-12) for c in ("n_tokens", "n_known", "base_score", "lm_score"))
+
+
 def test_word_cache_is_emptied_whole(monkeypatch):
     import xxhash
 
