@@ -14,9 +14,20 @@ from sheenwake.llm.common import table
 from sheenwake.session import cut_lineage
 
 
-def _anti(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the given ids; rows without an id stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+def _with_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a key of (id, text) that every row has; those without an id come last in its order.
+
+    Rows of equal id and text have one key; two hashes stand for the text, 128 bits together.
+    """
+    lost = F.col("doc_id").isNull()
+    return docs.withColumn("_row", F.struct(
+        lost.alias("lost"), F.coalesce("doc_id", F.lit(0).cast(dict(docs.dtypes)["doc_id"])).alias("id"),
+        F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text").alias("two")))
+
+
+def _anti(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without the given rows; both have ``_row``."""
+    return docs.join(rows.select(F.col("_row").alias("_gone")), F.col("_row") == F.col("_gone"), "left_anti")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,24 +39,28 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id in each group of near copies; rows that repeat it once.
 
-    Rows without an id belong to no group and stay. An id with two texts goes if one of them is a copy
-    of a smaller id's.
+    Rows without an id are compared as well and give way to those with one. Where an id stands on several
+    texts, each text is kept or dropped for itself. Texts without words belong to no group; those without an
+    id all stay.
     """
-    groups = cut_lineage(ngram_join.jaccard_groups(docs))
-    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(
-        F.min("class_id").alias("class_id"), F.count("*").alias("n"))
-    once = _anti(docs, ids.where("class_id <> doc_id"))
-    repeated = ids.where("class_id = doc_id and n > 1").select("doc_id")
-    # the few ids with several rows go apart, so that texts are shuffled for these alone
+    docs = _with_row(docs)
+    groups = cut_lineage(ngram_join.jaccard_groups(docs, "_row"))
+    rows = groups.groupBy("_row").agg(
+        F.min("class_id").alias("class_id"), F.count("*").alias("n"), F.max("n_copies").alias("n_copies"))
+    once = _anti(docs, rows.where("class_id <> _row"))
+    # a text without words is its only copy, however often it occurs
+    repeated = rows.where("class_id = _row and n > 1 and (not _row.lost or n_copies > 1)").select("_row")
+    # the few rows that occur several times go apart, so that texts are shuffled for these alone
     single = _anti(once, repeated)
-    several = once.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(several)
+    several = once.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
+    return single.unionByName(several).drop("_row")
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _anti(docs, found.where("doc_id is not null").select("doc_id").distinct())
+    """Documents without a passage of the benchmark; only the text that holds one goes, with an id or without."""
+    docs = _with_row(docs)
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), "_row")
+    return _anti(docs, found.select("_row").distinct()).drop("_row")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -361,6 +361,27 @@ def test_pipeline(spark, tmp_path):
     assert all(stage(spark, none, folder).count() == 0 for _, stage in corpus_pipeline.STAGES)
 
 
+def test_pipeline_rows_without_own_id(spark, tmp_path):
+    import corpus_pipeline
+
+    random.seed(8)
+    a, b, c, d, item = (" ".join(random.choices([f"w{i}" for i in range(400)], k=60)) for _ in range(5))
+    rows = [(1, a), (None, a), (None, a + " end"), (None, b), (None, b), (None, b + " end"), (7, c), (7, a), (7, c), (None, d),
+            (8, "intro " + item + " end"), (8, d + " " + c), (None, "other " + item), (None, ""), (None, ""), (None, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    assert once.columns == docs.columns
+    got = Counter(map(tuple, once.collect()))
+    kept_b = [r for r in got if r[0] is None and (r[1] or "").startswith(b)]
+    assert len(kept_b) == 1 and got.pop(kept_b[0]) == 1
+    # both texts with the item are copies but for their first and last words
+    assert got == Counter([(1, a), (7, c), (None, d), (8, rows[10][1]), (8, rows[11][1]), (None, ""), (None, ""), (None, None), (9, "")])
+    folder = f"{tmp_path}/in"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    clean = corpus_pipeline.drop_test_items(spark, docs, folder)
+    assert Counter(map(tuple, clean.collect())) == Counter(r for r in rows if item not in (r[1] or ""))
+
+
 def test_whole_queries(spark):
     import __spark_entry__ as entry
 
