@@ -7,14 +7,17 @@ histogram to mean anything is not judged by it: the character test needs ``MIN_C
 word test ``MIN_WORDS`` words. Plain counts (short texts, repeated word windows) go first.
 
 References are learnt from all texts: words with at least ``COMMON_SHARE`` of a language's words, the
-``N_COMMON`` most frequent of them. A language with under one hundredth of the texts, or none, is compared
-with the reference of all texts. So the reference table has at most 101 rows, which bounds its broadcast.
+``N_COMMON`` most frequent of them. Every language has its own, however small its share of the texts; only a
+text without a language is compared with the reference of all texts. A reference of under ``REFERENCE_CHARS``
+characters or ``REFERENCE_WORDS`` words is no histogram: texts are not judged by it.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Java form of a run of spaces; words are what stands between.
 BLANK = r"[\\x20\\x09-\\x0D]+"
 #: Character classes after blanks, in the order in which they are taken out of the text.
@@ -25,11 +28,14 @@ N_COMMON = 24
 COMMON_SHARE = 0.002
 MIN_CHARS = 200
 MIN_WORDS = 50
+REFERENCE_CHARS = 2000
+#: With fewer words in all, a word met once would be common.
+REFERENCE_WORDS = 500
 MAX_CHAR_DISTANCE = 0.32
 MAX_WORD_DISTANCE = 0.37
 LETTERS = [chr(c) for c in range(65, 65 + N_COMMON)]
 ALL = "*"
-REFERENCE = "lang string, chars array<double>, codes map<string,string>, longest int, words array<double>"
+REFERENCE = "lang string, chars array<double>, codes map<string,string>, longest int, words array<double>, n_chars bigint, n_words bigint"
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -81,40 +87,44 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
             .drop("_solid", "_lines", *[f"_rest{n}" for n in range(len(CLASSES))]))
 
 
+def _language(lang_col: str) -> Column:
+    """The language whose reference a row takes, ``*`` where it names none."""
+    return F.when(F.col(lang_col) != "", F.col(lang_col)).otherwise(F.lit(ALL))
+
+
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per language of weight, and one (``*``) for all texts: lang, chars, codes (word to letter), longest, words.
+    """One row per language, and one (``*``) for all texts: lang, chars, codes (word to letter), longest, words, n_chars, n_words.
 
-    chars and words are histograms that sum to 1. Words are counted once, with a column for every language of
-    weight, and only those common in some language leave the cluster: at most 1 / ``COMMON_SHARE`` for each of 101
-    columns. An empty table gives no rows.
+    chars and words are histograms that sum to 1, n_chars and n_words what they were made from. Words are counted
+    by language; a language's row holds its ``N_COMMON`` commonest at most. An empty table gives no rows.
     """
-    lang = F.coalesce(F.col(lang_col), F.lit(""))
-    names = [r["lang"] for r in docs.groupBy(lang.alias("lang")).agg(F.count("*").alias("n"))
-             .withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
-             .where("share >= 0.01 and lang not in ('', '*')").collect()]
-    key = F.when(lang.isin(names), lang).otherwise(F.lit("")) if names else F.lit("")
-    t = measure(docs.select(F.col(text_col).alias("text"), key.alias("_lang")))
+    t = measure(docs.select(F.col(text_col).alias("text"), _language(lang_col).alias("lang")))
     sums = [F.sum(F.col("_chars")[k]).alias(f"c{k}") for k in range(len(HISTOGRAM))]
-    per = {r["_lang"]: list(r[1:]) for r in t.groupBy("_lang").agg(*sums, F.sum("n_words").alias("n")).collect()}
-    if not per:
-        return docs.sparkSession.createDataFrame([], REFERENCE)
-    per[ALL] = [sum(v) for v in zip(*per.values())]
-    columns = {name: f"n{k}" for k, name in enumerate([ALL, *names])}
-    counts = t.select("_lang", F.explode("_words").alias("w")).groupBy("w").agg(
-        F.count("*").alias("n0"), *[F.count_if(F.col("_lang") == name).alias(c) for name, c in columns.items() if name != ALL])
-    common = F.lit(False)
-    for name, c in columns.items():
-        common = common | (F.col(c) >= max(1.0, COMMON_SHARE * (per[name][-1] if name in per else 0)))
-    found = counts.where(common).collect()
-    rows = []
-    for name, c in columns.items():
-        total, chars = per[name][-1], per[name][:-1]
-        top = sorted(((r["w"], r[c]) for r in found if total and r[c] >= COMMON_SHARE * total),
-                     key=lambda x: (-x[1], x[0]))[:N_COMMON]
-        shares = [n / total for _, n in top] + [0.0] * (N_COMMON - len(top))
-        rows.append((name, [x / max(sum(chars), 1.0) for x in chars], dict(zip((w for w, _ in top), LETTERS)),
-                     max((len(w.encode()) for w, _ in top), default=0), [*shares, 1 - sum(shares)]))
-    return docs.sparkSession.createDataFrame(rows, REFERENCE)
+    sizes = cut_lineage(t.groupBy("lang").agg(*sums, F.sum("n_words").alias("n")))
+    counts = cut_lineage(t.select("lang", F.explode("_words").alias("w")).groupBy("lang", "w").agg(F.count("*").alias("k")))
+    # rows without a language count for all texts alone
+    own = F.col("lang") != ALL
+    total = [F.sum(c).alias(c) for c in sizes.columns[1:]]
+    sizes = cut_lineage(sizes.where(own).unionByName(
+        sizes.groupBy().agg(F.lit(ALL).alias("lang"), *total).where("n is not null")))
+    small = sizes.select("lang", F.greatest(F.lit(1.0), COMMON_SHARE * F.col("n")).alias("least"))
+    all_words = counts.groupBy("w").agg(F.sum("k").alias("k")).select(F.lit(ALL).alias("lang"), "w", "k")
+    common = counts.where(own).unionByName(all_words).join(small, "lang").where("k >= least")
+    place = Window.partitionBy("lang").orderBy(F.desc("k"), "w")
+    top = (common.withColumn("at", F.row_number().over(place)).where(F.col("at") <= N_COMMON)
+           .groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "w", "k"))).alias("top")))
+    r = sizes.join(top, "lang", "left").withColumn("top", F.coalesce("top", F.expr(
+        "cast(array() as array<struct<at: int, w: string, k: bigint>>)")))
+    solid = F.expr(" + ".join(c for c in sizes.columns if c[0] == "c"))
+    share = f"concat(transform(top, x -> x.k / n), array_repeat(0D, {N_COMMON} - size(top)))"
+    letters = ", ".join(f"'{c}'" for c in LETTERS)
+    return cut_lineage(r.select(
+        "lang", F.array(*[F.col(f"c{k}") / F.greatest(solid, F.lit(1.0)) for k in range(len(HISTOGRAM))]).alias("chars"),
+        F.expr(f"map_from_arrays(transform(top, x -> x.w), slice(array({letters}), 1, size(top)))").alias("codes"),
+        F.expr("coalesce(array_max(transform(top, x -> octet_length(x.w))), 0)").alias("longest"),
+        F.expr(f"concat(if(n > 0, {share}, array_repeat(0D, {N_COMMON})), "
+               "array(1D - aggregate(top, 0D, (s, x) -> s + x.k / n)))").alias("words"),
+        solid.cast("bigint").alias("n_chars"), F.col("n").alias("n_words")))
 
 
 def js_distance(p: str, q: str) -> str:
@@ -125,24 +135,26 @@ def js_distance(p: str, q: str) -> str:
 
 
 def apply_rules(docs: DataFrame, reference: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with counts, both distances (null below their minimum length) and the verdicts.
+    """``docs`` with counts, both distances and the verdicts.
+
+    A distance is null where the text is below its minimum length, or the language has no reference or one of
+    too little text; it then fails nothing.
 
     Added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance,
     base_failed, kept. Columns of these names are replaced. Rows stay as they are, repeated ones too; a null
-    or empty text fails as too short; an unknown or null language takes the reference of all texts.
+    or empty text fails as too short; a row without a language takes the reference of all texts.
     """
-    names = [r["lang"] for r in reference.select("lang").collect()]
-    key = F.when(F.col(lang_col).isin([n for n in names if n != ALL]), F.col(lang_col)).otherwise(F.lit(ALL))
-    small = F.broadcast(reference.select(*[F.col(c).alias(f"_ref_{c}") for c in reference.columns]))
-    t = measure(docs, text_col).withColumn("_key", key).join(small, F.col("_key") == F.col("_ref_lang"), "left")
+    own = reference.select(*[F.col(c).alias(f"_ref_{c}") for c in reference.columns])
+    t = measure(docs, text_col).withColumn("_key", _language(lang_col)).join(own, F.col("_key") == F.col("_ref_lang"), "left")
     size = "aggregate(_chars, 0D, (s, x) -> s + x)"
     coded = ("array_join(transform(_words, w -> if(octet_length(w) > _ref_longest, '', coalesce(_ref_codes[w], ''))), '')")
-    t = t.withColumn("_coded", F.when(F.col("n_words") >= MIN_WORDS, F.expr(coded)))
+    t = t.withColumn("_coded", F.when(
+        (F.col("n_words") >= MIN_WORDS) & (F.col("_ref_n_words") >= REFERENCE_WORDS), F.expr(coded)))
     n = F.col("n_words").cast("double")
     t = t.withColumn("_hits", F.array(*[(F.length("_coded") - F.length(F.replace(F.col("_coded"), F.lit(c), F.lit("")))) / n
                                         for c in LETTERS], (n - F.length("_coded")) / n))
     t = t.withColumn("char_distance", F.expr(
-        f"if({size} >= {MIN_CHARS}, {js_distance(f'transform(_chars, x -> x / {size})', '_ref_chars')}, null)"))
+        f"if({size} >= {MIN_CHARS} and _ref_n_chars >= {REFERENCE_CHARS}, {js_distance(f'transform(_chars, x -> x / {size})', '_ref_chars')}, null)"))
     t = t.withColumn("word_distance", F.when(F.col("_coded").isNotNull(), F.expr(js_distance("_hits", "_ref_words"))))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     near = ((F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE)

@@ -1,6 +1,7 @@
 """Quality rules, licenses and personal data next to brute force on small tables."""
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -77,6 +78,24 @@ def test_divergence_catches_noise(spark):
     assert not got[99]["kept"] and not got[99]["base_failed"] and got[2]["char_distance"] < 0.2
 
 
+def test_small_language_has_its_own_reference(spark):
+    # 36 clean Russian texts among 5,000 English ones, one of noise, one in a language of its own, one without a language
+    words = "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой".split()
+    english = "the of and to in is you that it he was for on are as with his they at be this have from or one".split()
+    random.seed(2)
+    rows = [(10_000 + k, " ".join(random.choices(english, k=60)), "en") for k in range(5000)]
+    rows += [(2000 + k, " ".join(random.choices(words, k=80)), "ru") for k in range(36)]
+    rows += [(3000, " ".join(f"#{j}$%{j}&*" for j in range(40)), "ru"), (3001, " ".join(f"слово{j}" for j in range(60)), "uk"),
+             (3002, " ".join(f"слово{j}" for j in range(60)), None), (3003, rows[1][1], ""), (3004, " ", "zz")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ref = divergence.references(d)
+    got = {r["doc_id"]: r for r in divergence.apply_rules(d, ref).collect()}
+    assert len(got) == len(rows) and {r["lang"] for r in ref.collect()} == {"en", "ru", "uk", "zz", "*"}
+    assert all(got[2000 + k]["char_distance"] < 0.2 and got[2000 + k]["kept"] for k in range(36))
+    assert not got[3000]["kept"] and not got[3002]["kept"] and got[3003]["kept"] and got[3003]["word_distance"] is not None
+    assert got[3001]["char_distance"] is None and got[3001]["word_distance"] is None and got[3001]["kept"]
+
+
 def plain_licenses(t):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     at, labels = [], set()
