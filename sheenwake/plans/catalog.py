@@ -855,8 +855,8 @@ def job6_score_tiles(c):
 def job7_investigate(c):
     scenes = c.t("scene").join(c.t("slick_drift").select(F.col("slick_id").alias("scene_id"), "t_detect"), "scene_id")
     x = jobs.investigate(scenes, c.t("pixel"), c.t("ais"), c.t("field"), mask=c.t("mask"), prob=c.t("prob"),
-                         order="ord", canonical=True, n_particles=200)
-    return x["report"].select("origin_id", "rank", "mmsi", r("attribution_pct", 2), r("track_match", 3), text("evidence"))
+                         order="ord", canonical=True)
+    return x["report"].select("scene_id", "slick_no", "origin_id", "rank", "mmsi", r("attribution_pct", 2), r("track_match", 3), text("evidence"))
 
 
 @query
@@ -869,7 +869,7 @@ def job8_curate_incidents(c):
 def job9_run_cases(c):
     p = c.t("truth").join(c.t("origin"), "origin_id").select(
         "origin_id", F.col("true_lat").alias("lat"), F.col("true_lon").alias("lon"), F.col("tc").alias("t"), "truth_mmsi")
-    ranks, _ = jobs.run_cases(c.t("ais"), p, n=100, order="ord", canonical=True)
+    ranks, _ = jobs.run_cases(c.t("ais"), p, order="ord", canonical=True)
     return ranks.select("origin_id", "truth_mmsi", "rank", r("attribution_pct", 2), "n_candidates")
 
 

@@ -91,16 +91,19 @@ def hindcast_request(polygons: DataFrame, field: DataFrame, **options) -> dict[s
 def investigate(scenes: DataFrame, pixels: DataFrame, ais: DataFrame, field: DataFrame,
                 load_model: Callable[[], Callable] | None = None, mask: DataFrame | None = None,
                 prob: DataFrame | None = None, load_screener: Callable[[], Callable] | None = None,
-                *, gate: bool = False, threshold: float = 0.10, slick_no: int = 1,
+                *, gate: bool = False, threshold: float = 0.10, slick_no: int | None = None,
                 n_particles: int = drift.N_PARTICLES, forecast_h: float = 24.0,
                 max_hindcast_h: float = 24.0, radius_km: float = origins.RADIUS_KM, top_n: int = 10,
                 order: str | None = None, canonical: bool = False,
                 tile: int = raster.TILE, overlap: int = raster.OVERLAP) -> dict[str, DataFrame]:
     """Screen, detect, run back and forward, and attribute for every scene at once.
 
-    ``scenes`` has (scene_id, height, width, pixel_size_m, lat, lon, t_detect[, wind]); a
-    slick takes its scene's id. The screen is reported and stops a scene only with
-    ``gate``. ``notes`` says for every scene what was found.
+    ``scenes`` has (scene_id, height, width, pixel_size_m, lat, lon, t_detect[, wind]) and ``field``
+    a row per scene, whose id stands in its slick_id. All slicks of a scene are followed; with
+    ``slick_no`` only that one, else the largest. slick_id and origin_id are hashes of
+    (scene_id, slick_no), which stand next to them in drift, forecast, attribution and report.
+    A slick with an outline of under 3 points starts from its centre. The screen is reported and
+    stops a scene only with ``gate``. ``notes`` says for every scene what was found.
     """
     if not all(c in scenes.columns for c in TRANSFORM):
         scenes = scenes.select("*", *place_scene("lat", "lon", "pixel_size_m"))
@@ -120,15 +123,26 @@ def investigate(scenes: DataFrame, pixels: DataFrame, ais: DataFrame, field: Dat
     else:
         found = regions.characterize(mask, scenes, pixels, prob)
     found = cut_lineage(found)
-    picked = regions.pick_slick(found, slick_no)
+    picked = found if slick_no is None else regions.pick_slick(found, slick_no)
 
     lo, age, hi = window_caps(F.coalesce("age_lo_h", F.col("age_h") / 4), F.coalesce("age_h", F.lit(6.0)),
                               F.coalesce("age_hi_h", F.col("age_h") * 4), max_hindcast_h)
+    centre = F.array_repeat(F.struct("lon", "lat"), 3)
     slicks = (picked.join(scenes.select("scene_id", "t_detect"), "scene_id")
-              .select(F.col("scene_id").alias("slick_id"), "t_detect", age.alias("age_h"),
-                      lo.alias("lo_h"), hi.alias("hi_h"), F.col("orientation_deg").alias("bearing"),
-                      "polygon"))
+              .select("scene_id", "slick_no", F.xxhash64("scene_id", "slick_no").alias("slick_id"),
+                      "t_detect", age.alias("age_h"), lo.alias("lo_h"), hi.alias("hi_h"),
+                      F.col("orientation_deg").alias("bearing"),
+                      F.when(F.size("polygon") >= 3, F.col("polygon")).otherwise(centre).alias("polygon")))
     slicks = cut_lineage(slicks)
+    keys = slicks.select("scene_id", "slick_no", "slick_id")
+    slicks = slicks.drop("scene_id", "slick_no")
+    field = (field.withColumnRenamed("slick_id", "scene_id").join(keys, "scene_id")
+             .drop("scene_id", "slick_no"))
+
+    def named(df: DataFrame, key: str) -> DataFrame:
+        """``df`` with the scene and the number of each slick."""
+        return df.join(keys.withColumnRenamed("slick_id", key), key)
+
     back = hindcast_request(slicks, field, n_particles=n_particles)
     seeds = drift.seed_particles(drift.expand_ages(slicks.drop("polygon"), n_particles),
                                  outline_to_footprint(slicks))
@@ -137,14 +151,16 @@ def investigate(scenes: DataFrame, pixels: DataFrame, ais: DataFrame, field: Dat
     cloud, origin = origins.origin_from_drift(back["particles"], slicks)
     track = cut_lineage(back["track"].withColumnRenamed("slick_id", "origin_id"))
     result = attribute(ais, cloud, origin, track, radius_km=radius_km, order=order, canonical=canonical)
+    report = suspects.suspects_report(result["suspects"], result["fixes"], top_n)
     notes = (scenes.select("scene_id").join(found.groupBy("scene_id").agg(
         F.count("*").alias("n_slicks")), "scene_id", "left")
         .select("scene_id", F.coalesce("n_slicks", F.lit(0)).alias("n_slicks"),
                 F.when(F.col("n_slicks").isNull(), "No oil slick detected, so drift and attribution "
                                                    "did not run.").alias("note")))
-    out = {"notes": notes, "slicks": found, "drift": back, "forecast": ahead,
-           "attribution": result, "report": suspects.suspects_report(
-               result["suspects"], result["fixes"], top_n)}
+    out = {"notes": notes, "slicks": found, "drift": {k: named(x, "slick_id") for k, x in back.items()},
+           "forecast": named(ahead, "slick_id"),
+           "attribution": {k: named(x, "origin_id") for k, x in result.items()},
+           "report": named(report, "origin_id")}
     if screen is not None:
         out["screen"] = screen
     return out

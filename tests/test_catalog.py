@@ -57,6 +57,23 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_every_slick_is_followed(spark):
+    from pyspark.sql import functions as F
+    from sheenwake.plans import jobs
+    from sheenwake.plans.context import context
+    c = context(spark, SF)
+    scenes = c.t("scene").join(c.t("slick_drift").select(F.col("slick_id").alias("scene_id"), "t_detect"), "scene_id")
+    x = jobs.investigate(scenes, c.t("pixel"), c.t("ais"), c.t("field"), mask=c.t("mask"), prob=c.t("prob"),
+                         order="ord", canonical=True, n_particles=10)
+    key = ["scene_id", "slick_no"]
+    ids = lambda df: {tuple(r) for r in df.select(*key).distinct().collect()}
+    found = ids(x["slicks"])
+    assert len(found) > len({s for s, _ in found})
+    assert ids(x["drift"]["particles"]) == ids(x["drift"]["spread"]) == ids(x["forecast"]) == ids(x["attribution"]["summary"]) == found
+    assert {r["n"] for r in x["drift"]["particles"].groupBy(*key).agg(F.count("*").alias("n")).collect()} == {10}
+    assert ids(x["report"]) <= found and len(ids(x["report"])) > len({s for s, _ in ids(x["report"])})
+
+
 def test_sinks(spark, tmp_path):
     from sheenwake.plans.context import context
     c = context(spark, SF)
