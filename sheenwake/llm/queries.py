@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import (bloom_lm, decontaminate, divergence, licenses, ngram_join, pii, quality, sentencepiece_fst, severity,
-               token_files)
+from . import (bloom_lm, decontaminate, divergence, licenses, ngram_join, pii, prefix_trie, quality, secrets,
+               sentencepiece_fst, severity, token_files, whitening)
 from .common import remainder, table
 
 
@@ -81,10 +81,38 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("quality_score") >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.share_heads(*prefix_trie.numbered(table(spark, sf_dir, "conversations"))))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    explained = F.array(*[F.lit(float(e / model.trace)) for e in model.values]).cast("array<double>")
+    return (whitening.whiten(rows, model)
+            .select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+            .select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("bigint").alias("n"),
+                    F.col("deviation").try_cast("bigint").alias("deviation"), "whitened",
+                    F.element_at(explained, F.col("at") + 1).alias("explained"),
+                    F.lit(model.identity_error).cast("double").alias("identity_error")))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit(docs))
+
+    def count(kind: str):
+        k = secrets.KINDS.index(kind)
+        return F.size(F.filter("secret_spans", lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.digest(base_only=True).cast("binary"), 256)
+                        .alias("base_sha256"), secrets.digest().alias("spans"), count("novel"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_divergence_rules, op2_benchmark_decontamination, op3_bloom_lm_score, op4_weak_supervision_pii,
            op5_toxicity_severity, op6_token_files, op7_sentencepiece_fst, op8_license_join, op9_ngram_jaccard,
-           op10_pu_quality]
+           op10_pu_quality, op11_conversation_trie, op12_embedding_whitening, op13_secret_scan]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
