@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import kept, raw
 
 # The three rules and the order of their kinds.
@@ -52,6 +53,8 @@ PIECE = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+")
 LEVEL = 3
 DICTIONARY_BYTES = 65_536
 WORDS_HELD = 300_000
+#: Sizes of count to a doubling, by which the dictionary is cut off.
+RANKS = 32
 
 #: Names common in code and settings.
 IDENTIFIERS = """
@@ -112,20 +115,25 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def fit(docs: DataFrame, text_col: str = "text", dictionary_bytes: int = DICTIONARY_BYTES) -> bytes:
     """The dictionary: the commonest words of all texts, then names of code, the most useful last.
 
-    Words of equal count are taken in byte order. ``dictionary_bytes`` bounds it; it is a table of common words by
-    its nature, and a word that is left out only costs a candidate that holds it a few bytes more.
+    The number of words and their bytes are added up by size of count first; the words down to the last size that
+    still fits are then read, so the driver never holds more than ``dictionary_bytes``. That bounds a table of
+    common words by its nature; a word left out only costs a candidate that holds it a few bytes more.
     """
     names = " ".join(IDENTIFIERS).encode()
-    room = max(0, dictionary_bytes - len(names))
-    # words have 5 bytes at least with their space
-    found = word_counts(docs, text_col).where("n > 1").orderBy(F.desc("n"), "word").limit(room // 5)
-    words, size = [], 0
-    for r in found.collect():
-        size += len(r["word"]) + 1
-        if size > room:
+    room = dictionary_bytes - len(names)
+    counts = cut_lineage(word_counts(docs, text_col).where("n > 1").withColumn("rank", F.floor(F.log2("n") * RANKS)))
+    sizes = counts.groupBy("rank").agg(F.sum(F.length("word") + 1).alias("bytes")).orderBy(F.desc("rank")).collect()
+    least = None
+    for r in sizes:  # one row for each of the RANKS sizes of a doubling, 2,000 at the most
+        room -= r["bytes"]
+        if room < 0:
             break
-        words.append(bytes(r["word"]))
-    return b" ".join([*reversed(words), names])
+        least = r["rank"]
+    if least is None:
+        return names
+    found = counts.where(F.col("rank") >= least).select("word", "n").collect()
+    words = [bytes(r["word"]) for r in sorted(found, key=lambda r: (r["n"], bytes(r["word"])))]
+    return b" ".join([*words, names])
 
 
 class Novelty:
