@@ -1,12 +1,17 @@
 """Helpers of the text operators: inputs, words, held-out rows, connected classes."""
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
+import re
 import sys
 from collections.abc import Callable
 from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +32,11 @@ def remainder(id_col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def open_uri(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a URI or a plain path."""
+    return pafs.FileSystem.from_uri(uri if re.match(r"[a-z0-9]+:/", uri) else "file://" + os.path.abspath(uri))
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -35,21 +45,41 @@ def raw(column: pa.Array) -> list[bytes]:
 def kept(key: tuple, make: Callable):
     """The object of this key, made once a worker process and kept between its tasks.
 
-    Code reaches workers by value, so that a module's own globals last for one task only.
+    A worker holds one such object: making another lets go of it first, so that the tables of one stage
+    do not stay in memory through the next. Code reaches workers by value, so that a module's own globals last for one
+    task only.
     """
-    store = sys.modules.setdefault("_sheenwake_worker", ModuleType("_sheenwake_worker")).__dict__
+    store = _store()
     if key not in store:
+        forget()
         store[key] = make()
     return store[key]
 
 
+def forget() -> None:
+    """Let go of what the worker keeps, and hand its memory back to the machine."""
+    store = _store()
+    if store:
+        store.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
+def _store() -> dict:
+    return sys.modules.setdefault("_sheenwake_worker", ModuleType("_sheenwake_worker")).__dict__.setdefault("kept", {})
+
+
 class WordHashes(dict):
     """64-bit hash of every word met; ``hashes[word]`` computes what is new.
 
     The table is emptied when it holds ``limit`` words, so that its memory is bounded.
     """
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 

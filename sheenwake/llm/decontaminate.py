@@ -284,6 +284,10 @@ def _terms(text: pa.Array) -> pa.Array:
     return pa.array([terms(t) for t in raw(text)], pa.list_(pa.binary()))
 
 
+def _reader(index: Index) -> tuple[Index, Words]:
+    return index, Words(index.numbers)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", overlap: float = OVERLAP,
                  shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -299,8 +303,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         held = spark.sparkContext.broadcast(shard)
 
         def run(batches, held=held, key=uuid.uuid4().hex):
-            index = kept(("bm25", key), lambda: Index(*held.value))
-            words = kept(("bm25 words", key), lambda: Words(index.numbers))
+            index, words = kept(("bm25", key), lambda: _reader(Index(*held.value)))
             for batch in batches:
                 at, hits = [], []
                 for row, text in enumerate(raw(batch.column(1))):

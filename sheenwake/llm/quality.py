@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import raw, remainder
+from .common import forget, raw, remainder
 
 #: Marks counted on their own, and those counted together.
 MARKS = b".,!?|;:\"'()-#$%&*"
@@ -163,6 +163,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text",
     """
     @F.arrow_udf("double")
     def value(text: pa.Array) -> pa.Array:
+        forget()  # nothing is kept here, so nothing of the stage before stays either
         x = np.array([features(t) for t in raw(text)]).reshape(-1, N_FEATURES)
         return pa.array(model.score(x))
 
