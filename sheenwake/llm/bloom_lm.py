@@ -15,9 +15,11 @@ arrays; a segment is then merged and filled into a filter of its own. The number
 characters of the input, so a segment stays small and all n-grams are kept. Segments, with exact counts of
 their words for the base score, are written to the shared folder.
 
-Broadcasting: segments are sent to the workers in waves of at most ``WAVE_BYTES``. Each wave adds what it
-knows of every token; after the last one all counts are there. Where all fits in one wave, as in small
-corpora, there is one pass; otherwise the tokens' levels travel from wave to wave as a packed column.
+Broadcasting: segments go to the workers in waves of at most ``WAVE_BYTES``. A wave is one file in the shared
+folder that workers map into memory, so a machine holds it once however many workers read it; where the folder is no
+local path, each worker reads it whole. Each wave adds what it knows of every token; after the last one all
+counts are there. Where all fits in one wave, as in small corpora, there is one pass; otherwise the tokens'
+levels travel from wave to wave as a packed column.
 """
 from __future__ import annotations
 
@@ -26,20 +28,21 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from ..session import cut_lineage
-from .common import kept, lower_words, mix, raw, remainder
+from ..session import _shared_folder, cut_lineage
+from .common import kept, lower_words, mix, open_uri, raw, remainder
 
 END, START = b"\n", b" "
 STEP = 1.5
 HASHES = 8
 RUN = 1_000_000
 CHARS_A_SEGMENT = 4_000_000
-WAVE_BYTES = 96_000_000
+WAVE_BYTES = 256_000_000
 KEPT_WORDS = 150_000
 #: Slots of a worker's table of the bigrams read last, a power of two.
 MEMO = 1 << 20
@@ -80,13 +83,13 @@ def _cells(keys: np.ndarray, level: int, size: np.ndarray | int):
 
 
 class Filter:
-    """Log-frequency Bloom filters of some segments, laid end to end in ``bits`` and read where they lie."""
+    """Log-frequency Bloom filters of some segments, which begin at the byte ``starts`` of ``bits`` and are read there."""
 
-    def __init__(self, segments: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, bits: bytes, count: int):
+    def __init__(self, segments: np.ndarray, sizes: np.ndarray, starts: np.ndarray, bits, count: int):
         self.count = np.uint64(count)
         self.size = np.ones(count, np.uint64)
         self.start = np.full(count, -1, np.int64)
-        self.start[segments] = (np.cumsum(lengths) - lengths) * 8
+        self.start[segments] = starts * 8
         self.size[segments] = sizes
         self.bits = np.frombuffer(bits, np.uint8)
         self.memo_keys = np.zeros(MEMO, np.uint64)
@@ -243,7 +246,7 @@ def build_segments(counts: DataFrame) -> DataFrame:
             size, bits = fill(np.r_[words, pairs], np.r_[n, m])
             yield pa.RecordBatch.from_pylist([{
                 "segment": segment, "tokens": int(n.sum()), "words": len(words), "cells": size, "bits": bits,
-                "word_keys": words.tobytes(), "word_counts": np.minimum(n, 2**32 - 1).astype(np.uint32).tobytes()}], schema=pa.schema([
+                "word_keys": words.tobytes(), "word_counts": n.tobytes()}], schema=pa.schema([
                     ("segment", pa.int32()), ("tokens", pa.int64()), ("words", pa.int64()), ("cells", pa.int64()),
                     ("bits", pa.binary()), ("word_keys", pa.binary()), ("word_counts", pa.binary())]))
 
@@ -252,25 +255,53 @@ def build_segments(counts: DataFrame) -> DataFrame:
         run, "segment int, tokens bigint, words bigint, cells bigint, bits binary, word_keys binary, word_counts binary"))
 
 
+def _lay_out(rows, write) -> np.ndarray:
+    """Write segments (number, cells, bits, word keys, word counts) end to end; where each lies.
+
+    Columns of the result: number, cells, first byte of the bits, first 8-byte place of the keys, words. Keys are
+    sorted, and the counts follow them.
+    """
+    table, at = [], 0
+    for number, cells, bits, keys, counts in rows:
+        table.append((number, cells, at, (at + len(bits)) // 8, len(keys) // 8))
+        for part in (bits, keys, counts):  # each a whole number of 8 bytes
+            write(part)
+            at += len(part)
+    return np.array(table, np.int64).reshape(-1, 5)
+
+
+def _find(keys: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of ``wanted`` is among the sorted keys[low:high] of its own, and its place."""
+    at, end = low.copy(), high.copy()
+    live = np.flatnonzero(at < end)
+    while len(live):
+        middle = (at[live] + end[live]) >> 1
+        less = keys[middle] < wanted[live]
+        at[live[less]] = middle[less] + 1
+        end[live[~less]] = middle[~less]
+        live = live[at[live] < end[live]]
+    hit = at < high
+    hit[hit] = keys[at[hit]] == wanted[hit]
+    return hit, at
+
+
 class Wave:
-    """What one broadcast brings: filters and exact word counts of some segments."""
+    """What one wave brings: filters and exact word counts of some segments."""
 
     def __init__(self, packed: tuple, segments: int, room: float, reach: tuple[int, int]):
         self.room, self.segments, self.reach = room, np.uint64(segments), reach
-        numbers, cells, lengths, bits, keys, counts = packed
-        self.filter = Filter(numbers, cells, lengths, bits, segments)
-        self.keys, self.counts = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32)
+        table, data = packed
+        self.filter = Filter(table[:, 0], table[:, 1].astype(np.uint64), table[:, 2], data, segments)
+        self.numbers = np.frombuffer(data, np.uint64)
+        self.first, self.n_words = np.zeros(segments, np.int64), np.zeros(segments, np.int64)
+        self.first[table[:, 0]], self.n_words[table[:, 0]] = table[:, 3], table[:, 4]
         self.words, self.known, self.generation = Words(), None, 0
 
     @staticmethod
     def pack(rows: list[tuple]) -> tuple:
-        """Segments (number, cells, bits, word keys, word counts) as few long arrays, which workers use uncopied."""
-        keys = np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows] + [np.empty(0, np.uint64)])
-        counts = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows] + [np.empty(0, np.uint32)])
-        order = np.argsort(keys)
-        return (np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.uint64),
-                np.array([len(r[2]) for r in rows], np.int64), b"".join(r[2] for r in rows),
-                keys[order].tobytes(), counts[order].tobytes())
+        """Segments laid out in memory."""
+        parts: list[bytes] = []
+        return _lay_out(rows, parts.append), b"".join(parts)
 
     def look_up(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """Of all tokens, as far as known here: sizes of the texts, whether the training texts hold the word,
@@ -282,10 +313,11 @@ class Wave:
             self.known = (np.empty(0, np.uint8), np.empty(0, bool), np.empty(0))
         new = self.words.hash[len(self.known[0]):]
         if len(new):
-            at = np.minimum(np.searchsorted(self.keys, new), max(len(self.keys) - 1, 0))
-            hit = self.keys[at] == new if len(self.keys) else np.zeros(len(new), bool)
-            count = np.where(hit, self.counts[at].astype(np.int64) if len(self.keys) else 0, 0)
-            part = new % self.segments
+            part = (new % self.segments).astype(np.int64)
+            first, n_words = self.first[part], self.n_words[part]
+            hit, at = _find(self.numbers, first, first + n_words, new)
+            count = np.zeros(len(new))
+            count[hit] = self.numbers[at[hit] + n_words[hit]]
             mine = (part >= self.reach[0]) & (part < self.reach[1])
             share = np.where(mine, np.log10((count + 0.5) / self.room), 0.0)
             self.known = tuple(np.r_[a, b] for a, b in zip(self.known, (self.filter.levels(new), hit, share)))
@@ -362,7 +394,7 @@ class Model:
         self.sent: tuple | None = None
 
     def _send(self, wave: list[int]):
-        """Getter of a wave on the workers; the wave sent last is used again, the one before is let go."""
+        """Getter of a wave on the workers; the wave sent last is used again."""
         if self.sent is None or self.sent[0] != wave:
             self.sent = None
             self.sent = (wave, self._broadcast(wave))
@@ -371,12 +403,16 @@ class Model:
     def _broadcast(self, wave: list[int]):
         rows = (self.segments.where(F.col("segment").between(wave[0], wave[-1]))
                 .select("segment", "cells", "bits", "word_keys", "word_counts").toLocalIterator())
-        held = self.segments.sparkSession.sparkContext.broadcast(Wave.pack([tuple(r) for r in rows]))
+        key = uuid.uuid4().hex
+        path = f"{_shared_folder(self.segments.sparkSession)}/wave-{key}"
+        fs, name = open_uri(path)
+        with fs.open_output_stream(name) as sink:  # segment by segment; the driver never holds the wave
+            table = _lay_out((tuple(r) for r in rows), sink.write)
         # a wave answers for all segments up to the next one's first, those without any n-gram too
         at = self.waves.index(wave)
         reach = (wave[0] if at else 0, self.waves[at + 1][0] if at + 1 < len(self.waves) else self.number)
-        number, room, key = self.number, self.room, uuid.uuid4().hex
-        return lambda: kept_wave(key, lambda: Wave(held.value, number, room, reach))
+        number, room = self.number, self.room
+        return lambda: kept(("wave", key), lambda: Wave((table, _mapped(path)), number, room, reach))
 
     def look_up(self, docs: DataFrame, text_col: str, finish, out_type: str) -> DataFrame:
         """``docs`` with ``_lm``: what ``finish(sizes, known, base, level, front, pair)`` returns for each text.
@@ -427,14 +463,13 @@ def _two(run):
     return call
 
 
-def kept_wave(key: str, make) -> Wave:
-    """The tables of a broadcast, laid out once a worker; those of an earlier wave are let go."""
-    box = kept(("wave",), dict)
-    if key not in box:
-        box.clear()
-        pa.default_memory_pool().release_unused()
-        box[key] = make()
-    return box[key]
+def _mapped(path: str):
+    """The bytes of a file: mapped, and so held once a machine, where it is a local one."""
+    fs, name = open_uri(path)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return pa.memory_map(name).read_buffer()
+    with fs.open_input_file(name) as f:
+        return f.read_buffer()
 
 
 def _count(docs: DataFrame, text_col: str, chars_a_segment: int) -> Model:
