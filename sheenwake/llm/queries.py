@@ -55,7 +55,8 @@ def op5_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = token_files.new_folder(spark)
-    return token_files.read_documents(token_files.write_token_files(docs, folder), folder)
+    files = token_files.write_token_files(docs, folder)
+    return token_files.read_documents(files, folder, dict(docs.dtypes)["doc_id"])
 
 
 def op7_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:

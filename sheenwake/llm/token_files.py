@@ -16,88 +16,148 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import _shared_folder
-from .common import kept, raw
+from .common import kept, open_uri, raw
 
-#: Where the public vocabulary is mounted on driver and executors; a parameter of every function.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 END = 0
 LENGTH = 1024
 ROWS = 256
 CHARS_A_FILE = 16_000_000
-KEPT_WORDS = 700_000
+KEPT_WORDS = 1_200_000
+WORDS_A_LINE = 4_000
+BYTES_AT_ONCE = 8_000_000
+
+
+def vocabulary() -> str:
+    """Where the public vocabulary is mounted, on the driver and on executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 class Encoder:
-    """Ids by the tokenizers library, looked up for words met before.
+    """Ids by the plain call of the tokenizers library, looked up for words met before.
 
-    The library itself splits at a line feed and in front of a space where these stand alone between
-    other characters, so a text is cut there into words, each with its space. A text with other white space in
-    such places, or with control characters that are white space to one side alone, goes to the library whole.
-    ``code`` is the narrowest array type that holds every id of the vocabulary.
+    The library itself splits at a line feed and in front of a space where these stand alone between other
+    characters. So texts are cut there into words, those behind a line feed with it, and the distinct words of a
+    batch are looked up, all by Arrow; ids are then gathered word by word with NumPy. A text with other white
+    space in such places, with control characters that are white space to one side alone, or with
+    the string of a special token goes to the library whole. ``kind`` is the narrowest type that holds every id.
     """
 
-    ODD = re.compile(r"^\s|\s$|[\x1c-\x1f\x85]")
+    ODD = re.compile(r"^\n?+(?:\s|$)|\s$|[\x1c-\x1f\x85]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.known: dict[str, bytes] = {}
-        self.starts: dict[str, bytes] = {}
-        self.line = self.library(["\n"])[0]
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, kept: dict[str, bytes], words: set[str], front: str) -> None:
-        """Keep the ids of words with ``front`` before them; those that must not be cut off are left out."""
-        order = [w for w in words if w and not self.ODD.search(w)]
-        if len(kept) + len(order) > KEPT_WORDS:
-            kept.clear()
-        kept.update(zip(order, self.library([front + w for w in order])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        known, starts, out, open_, new, new_starts = self.known.get, self.starts.get, [b""] * len(texts), [], set(), set()
-        for k, text in enumerate(texts):
-            lines = [line.split(" ") for line in text.split("\n")] if text else []
-            found = [[starts(words[0]), *map(known, words[1:])] for words in lines]
-            missing = False
-            for words, ids in zip(lines, found):
-                if None in ids:
-                    missing = True
-                    new.update(w for w, i in zip(words[1:], ids[1:]) if i is None)
-                    if ids[0] is None:
-                        new_starts.add(words[0])
-            if missing:
-                open_.append((k, lines, found))
-            else:
-                out[k] = self.line.join(map(b"".join, found))
-        if open_:
-            self.learn(self.known, new, " ")
-            self.learn(self.starts, new_starts, "")
-            for k, lines, found in open_:
-                for words, ids in zip(lines, found):
-                    if ids[0] is None:
-                        ids[0] = starts(words[0])
-                    if None in ids:
-                        ids[1:] = [known(w) if i is None else i for w, i in zip(words[1:], ids[1:])]
-                whole = any(None in ids for ids in found)
-                out[k] = self.library([texts[k]])[0] if whole else self.line.join(map(b"".join, found))
-        return out
+        self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        (self.line,) = self.library(["\n"])[0]
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.used = np.empty(1 << 20, self.kind), 0
+        self.start, self.size = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Number new words and keep their ids; size -1 marks words that must not be cut off.
+
+        Many words are one text to the library, a line each: a line feed is a token of its own there.
+        """
+        found = list(map(self.ODD.search, words))
+        plain = [w for w, odd in zip(words, found) if not odd]
+        words = plain + [w for w, odd in zip(words, found) if odd]
+        first, last = len(self.number), len(self.number) + len(words)
+        self.number.update(zip(words, range(first, last)))
+        self.start, self.size = _grown(self.start, last), _grown(self.size, last)
+        self.size[first + len(plain):last], self.start[first + len(plain):last] = -1, 0
+        for k in range(0, len(plain), WORDS_A_LINE):
+            part, at = plain[k:k + WORDS_A_LINE], first + k
+            ids = self.library(["".join([w if w[0] == "\n" else "\n " + w for w in part])])[0]
+            lines = np.flatnonzero(ids == self.line)
+            if len(lines) != len(part):  # never seen; each word by itself is right as well
+                each = self.library(["\n" + (w[1:] if w[0] == "\n" else " " + w) for w in part])
+                ids = np.concatenate(each)
+                lines = np.cumsum([0, *map(len, each)])[:-1]
+            own = np.array([w[0] != "\n" for w in part])  # without the line feed
+            self.start[at:at + len(part)] = self.used + lines + own
+            self.size[at:at + len(part)] = np.diff(lines, append=len(ids)) - own
+            self.ids = _grown(self.ids, self.used + len(ids))
+            self.ids[self.used:self.used + len(ids)] = ids
+            self.used += len(ids)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, the end id behind each, and the number of ids of each text with it."""
+        # every text gets a line feed in front, in whose place the end id of the text before stands at last
+        marked = pc.binary_join_element_wise(pa.scalar("\n"), pc.replace_substring(texts, "\n", " \n"), pa.scalar(""))
+        words = pc.split_pattern(marked, " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in distinct if w not in self.number]
+        if len(self.number) + len(new) > KEPT_WORDS:
+            self.forget()
+            new = distinct
+        if new:
+            self.learn(new)
+        number = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        sizes, first = self.size[number], words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()
+        whole = np.minimum.reduceat(sizes, first) < 0
+        for token in self.special:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        sizes = np.maximum(sizes, 0)
+        ends = np.cumsum(sizes)
+        flat = self.ids[np.repeat(self.start[number] - ends + sizes, sizes) + np.arange(ends[-1])]
+        n = np.add.reduceat(sizes, first)
+        if not whole.any():
+            flat[(np.cumsum(n) - n)[1:]] = END
+            return np.append(flat[1:], self.kind.type(END)), n
+        at = np.cumsum(n) - n
+        end = np.array([END], self.kind)
+        given = iter(self.library(texts.filter(pa.array(whole)).to_pylist()))
+        parts = [np.append(next(given) if w else flat[a + 1:a + k], end) for w, a, k in zip(whole, at.tolist(), n.tolist())]
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    """``x``, or a copy twice as long and more, with room for ``n``."""
+    return x if n <= len(x) else np.concatenate([x, np.empty(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+
+def _texts(column: pa.Array) -> pa.Array:
+    """Texts without nulls; bytes that are no UTF-8 are replaced."""
+    column = column.fill_null("")
+    try:
+        column.validate(full=True)
+    except pa.ArrowInvalid:
+        column = pa.array([t.decode("utf-8", "replace") for t in raw(column)], pa.string())
+    return column
+
+
+def _slices(column: pa.Array, chars: int):
+    """Slices of about so many bytes, a text at least."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    k = 0
+    while k < len(column):
+        done = int(ends[k - 1]) if k else 0
+        n = max(1, int(np.searchsorted(ends, done + chars, side="right")) - k)
+        yield column.slice(k, n)
+        k += n
 
 
 def encoder(path: str) -> Encoder:
@@ -105,10 +165,6 @@ def encoder(path: str) -> Encoder:
     return kept(("encoder", path), lambda: Encoder(path))
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if re.match(r"[a-z0-9]+:/", uri) else "file://" + os.path.abspath(uri))
-
-
 def _commit(fs: pafs.FileSystem, path: str, write) -> None:
     draft = f"{path}.{uuid.uuid4().hex}.draft"
     with fs.open_output_stream(draft) as sink:
@@ -144,51 +200,51 @@ class Rows:
 
 
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text",
-                      path: str = VOCABULARY, length: int = LENGTH, rows: int = ROWS,
+                      path: str | None = None, length: int = LENGTH, rows: int = ROWS,
                       chars_a_file: int = CHARS_A_FILE) -> DataFrame:
     """Write all documents below ``folder`` (a path all executors share) in ascending id order.
 
     Returns one row per file: file, n_docs, n_tokens, start (ids in all files before it). Nulls: a null
     text is empty, a null id comes first. Each document ends with the end id. Repeated rows are written each.
-    No documents: no files.
+    No documents: no files. Ids may be of any type that Spark orders. ``path`` is the vocabulary, the
+    byte-level one of the public package unless given.
     """
-    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+    path = path or vocabulary()
+    spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length(text_col) + 32)).first()[0] or 0
     n_files = int(chars // chars_a_file) + 1
     rows_in = (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
                .withColumn("tie", F.xxhash64("text"))
                .repartitionByRange(n_files, F.asc_nulls_first("id"), "tie")
                .sortWithinPartitions(F.asc_nulls_first("id"), "tie", "text"))
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow_kind = to_arrow_type(docs.schema[id_col].dataType)
 
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        fs, base = _open(folder)
+        fs, base = open_uri(folder)
         fs.create_dir(base, recursive=True)
         name = f"{base}/tokens-{part:06d}.arrow"
         ids, starts, sizes, at = [], [], [], 0
         draft = f"{name}.{uuid.uuid4().hex}.draft"
         with fs.open_output_stream(draft) as sink:
             made = encoder(path)
-            kind = np.dtype(made.code)
-            out, end = Rows(sink, length, rows, kind), np.array([END], kind).tobytes()
+            out = Rows(sink, length, rows, made.kind)
             for batch in batches:
-                texts = [t.decode("utf-8", "replace") for t in raw(batch.column(1))]
-                for k in range(0, len(texts), 200):
-                    parts = [p + end for p in made.encode(texts[k:k + 200])]
-                    for p in parts:
-                        starts.append(at)
-                        sizes.append(len(p) // kind.itemsize)
-                        at += len(p) // kind.itemsize
-                    out.add(np.frombuffer(b"".join(parts), kind))
+                for texts in _slices(_texts(batch.column(1)), BYTES_AT_ONCE):
+                    flat, n = made.encode(texts)
+                    starts.append(at + np.cumsum(n) - n)
+                    sizes.append(n)
+                    at += len(flat)
+                    out.add(flat)
                 ids.append(batch.column(0))
             out.close()
         if not starts:
             fs.delete_file(draft)
             return
         fs.move(draft, name)
+        starts, sizes = np.concatenate(starts), np.concatenate(sizes)
         index = pa.table({"id": pa.chunked_array(ids, arrow_kind), "start": pa.array(starts, pa.int64()),
                           "n_tokens": pa.array(sizes, pa.int64())})
         _commit(fs, f"{base}/index-{part:06d}.arrow",
@@ -211,7 +267,7 @@ class TokenFile:
     """Random access to one data file; rows are views of the mapped file where it is a local one."""
 
     def __init__(self, folder: str, file: int):
-        fs, base = _open(folder)
+        fs, base = open_uri(folder)
         names = f"{base}/tokens-{file:06d}.arrow", f"{base}/index-{file:06d}.arrow"
         local = isinstance(fs, pafs.LocalFileSystem)
         self.reader = ipc.open_file(pa.memory_map(names[0]) if local else fs.open_input_file(names[0]))
@@ -245,7 +301,7 @@ class TokenFile:
 
 
 def read_documents(files: DataFrame, folder: str, id_type: str = "bigint", id_col: str = "doc_id") -> DataFrame:
-    """Per document of the files: id, start (over all files), n_tokens, ids_crc32."""
+    """Per document of the files: id (of the type ``id_type``, that of the documents), start (over all files), n_tokens, ids_crc32."""
     n = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):

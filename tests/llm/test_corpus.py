@@ -203,7 +203,7 @@ def test_word_cache_is_emptied_whole(monkeypatch):
 
     texts = [" ".join(f"w{k}" for k in range(a, b)).encode() for a, b in ((0, 40), (100, 140), (20, 110), (300, 310), (0, 140))]
     hashes = np.array(sorted(xxhash.xxh64_intdigest(f"w{k}".encode()) for k in range(0, 140, 3)), np.uint64)
-    counts = np.arange(1, len(hashes) + 1, dtype=np.uint32)
+    counts = np.arange(1, len(hashes) + 1, dtype=np.int64)
     size, bits = bloom_lm.fill(hashes, counts)
     packed = bloom_lm.Wave.pack([(0, size, bits, hashes.tobytes(), counts.tobytes())])
     room = float(counts.sum())
@@ -218,7 +218,7 @@ def test_bloom_levels():
     keys = common.mix(np.arange(20_000, dtype=np.uint64) * np.uint64(2654435761))
     counts = np.random.default_rng(1).geometric(0.3, 20_000) ** 3
     size, bits = bloom_lm.fill(keys, counts)
-    table = bloom_lm.Filter(np.array([0]), np.array([size], np.uint64), np.array([len(bits)]), bits, 1)
+    table = bloom_lm.Filter(np.array([0]), np.array([size], np.uint64), np.array([0]), bits, 1)
     want, got = bloom_lm.levels(counts), table.levels(keys)
     for some in (keys, keys[::-1], np.r_[keys, keys, np.uint64(0)]):
         assert (table.remembered(some) == table.levels(some)).all()
@@ -305,15 +305,46 @@ def test_encode_frames(odd):
     assert sentencepiece_fst.encode(odd.limit(0)).count() == 0
 
 
-def test_token_files(spark, docs, odd, tmp_path):
+def test_token_encoder(docs, monkeypatch):
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(token_files.VOCABULARY)
-    tok.encode_special_tokens = True
-    own = token_files.Encoder(token_files.VOCABULARY)
-    for t in ("a  b", " a", "a ", "a\n\nb", "a \nb", "x\n y", "it's\tfine <|endoftext|> ok", "é\xa0 ü", "\n", " ", "a\x1c b"):
+    tok = Tokenizer.from_file(token_files.vocabulary())
+    own = token_files.Encoder(token_files.vocabulary())
+    odd = ["a  b", " a", "a ", "a\n\nb", "a \nb", "x\n y", "it's\tfine <|endoftext|> ok", "x <|endoftext|>y", "é\xa0 ü", "\n", " ",
+           "a\x1c b", "", "\nab cd\nab", "ab\n", "x" * 1_000_000 + " y", "\x02a \x02b\u3000c", "日本語 のテキスト"]
+    texts = odd + [r["text"] or "" for r in docs.select("text").collect()]
+
+    def check(some):
+        flat, sizes = own.encode(pa.array(some))
+        want = [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in some]
+        assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+
+    for t in odd:
         for _ in range(2):
-            assert np.frombuffer(own.encode([t])[0], own.code).tolist() == tok.encode(t, add_special_tokens=False).ids, t
+            check([t])
+    check(texts)
+    monkeypatch.setattr(token_files, "KEPT_WORDS", 50)
+    for k in range(0, len(texts), 7):
+        check(texts[k:k + 7])
+
+
+def test_token_files_of_other_ids(spark, tmp_path):
+    rows = [("b", "one two", "x"), ("a", None, "x"), (None, "three", "x"), ("b", "one two", "x")]
+    for kind in ("string", "decimal(20,2)", "smallint"):
+        frame = spark.createDataFrame(rows, "doc_id string, text string, start string").selectExpr(
+            "doc_id" if kind == "string" else f"cast(case doc_id when 'a' then 1 when 'b' then 2 end as {kind}) as doc_id", "text", "start")
+        folder = f"{tmp_path}/{kind[:5]}"
+        files = token_files.write_token_files(frame, folder)
+        got = token_files.read_documents(files, folder, dict(frame.dtypes)["doc_id"]).orderBy("start").collect()
+        assert [r["n_tokens"] for r in got] == [2, 1, 3, 3] and got[0]["doc_id"] is None and got[2]["doc_id"] == got[3]["doc_id"]
+        assert [r["start"] for r in got] == [0, 2, 3, 6]
+
+
+def test_token_files(spark, docs, odd, tmp_path):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_files.vocabulary())
     for name, frame in (("docs", docs.select("doc_id", "text")), ("odd", odd.where("doc_id <> 6").select("doc_id", "text"))):
         folder = f"{tmp_path}/{name}"
         files = token_files.write_token_files(frame, folder, length=32, rows=4, chars_a_file=40_000)
