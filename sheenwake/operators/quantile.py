@@ -1,69 +1,87 @@
-"""Exact percentiles per group without holding a large group.
+"""Exact percentiles per group without holding a group.
 
-``percentile`` keeps every distinct value of a group in one buffer, which a busy origin
-or a full radar scene does not fit. Group sizes are counted first; when all of them are
-small the built-in is used. Otherwise a mergeable sketch brackets each wanted rank, the
-values below the bracket are only counted, and only the distinct values inside it (less
-than a thousandth of the group) are ordered.
+The wanted ranks of all groups are found together, digit by digit. A digit is a histogram of at most 2 ** 16 bins
+whose order is that of the values: the first by the logarithm of their size, the others by place between the
+smallest and the largest value of the bin chosen before. Tasks send counts, not values. A bin
+with one distinct value, or a rank at its end, is settled; the values of the other bins go on to the next digit, so
+each looks at a small part of the last. As a bin of the first digit spans a fiftieth of its
+value, four more digits tell any two doubles apart.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 
-#: Rank error of the sketch is 1/ACCURACY; the bracket is four times as wide.
-ACCURACY = 10_000
-SLACK = 4.0 / ACCURACY
+#: Bins of a digit, and bins of the first for each e-fold of size.
+BINS = 1 << 16
+BINS_A_FOLD = 46
+#: Above the bins of the smallest doubles, so that positive ones come behind zero.
+SHIFT = 40_000
 
-#: Largest group the built-in may hold in a buffer.
-SMALL_GROUP = 1_000_000
 
+def _size_bin(v: Column) -> Column:
+    """A bin that never falls as ``v`` grows."""
+    size = F.floor(F.greatest(F.least(F.ln(F.abs(v)), F.lit(800.0)), F.lit(-800.0)) * BINS_A_FOLD) + SHIFT
+    return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, size).otherwise(-size)
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                      small_group: int = SMALL_GROUP) -> DataFrame:
-    """(keys, one column per name in ``probs``), interpolated linearly between ranks.
 
-    Null and NaN values are left out; groups without values are absent. ``df`` is read
-    more than once, so a costly one should be written first.
-    """
-    v = (df.select(*keys, F.col(value).cast("double").alias("v"))
-         .where(F.col("v").isNotNull() & ~F.isnan("v")))
-    largest = v.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= small_group:
-        got = v.groupBy(*keys).agg(F.percentile("v", [float(p) for p in probs.values()]).alias("q"))
-        return got.select(*keys, *[F.col("q")[i].alias(n) for i, n in enumerate(probs)])
-    return _by_bracket(v, keys, probs)
+def _place_bin() -> Column:
+    share = (F.col("v_") - F.col("lo_")) / (F.col("hi_") - F.col("lo_"))
+    return F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BINS), F.lit(BINS - 1))
+
+
+def _histogram(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Bins of the digit d with count c, smallest and largest value, and upto, the count of this and the bins before."""
+    w = Window.partitionBy(*by).orderBy("d_").rowsBetween(Window.unboundedPreceding, 0)
+    return (rows.groupBy(*by, "d_").agg(F.count("*").alias("c_"), F.min("v_").alias("lo_"), F.max("v_").alias("hi_"))
+            .withColumn("upto_", F.sum("c_").over(w)))
 
 
-def _by_bracket(v: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    marks = [float(m) for q in probs.values() for m in (max(q - SLACK, 0.0), min(q + SLACK, 1.0))]
-    box = v.groupBy(*keys).agg(F.percentile_approx("v", marks, ACCURACY).alias("m"),
-                               F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    # Below this size a bracket is less than a rank wide, so it is the whole group.
-    whole = F.array(*[F.col(c) for _ in probs for c in ("lo", "hi")])
-    box = cut_lineage(box.withColumn("m", F.when(F.col("n") <= ACCURACY, whole).otherwise(F.col("m")))
-                      .drop("lo", "hi"))
+SETTLED = "lo_ = hi_ or k_ = 0 or k_ = c_ - 1"
 
-    # Per prob: values inside its bracket one by one, those below folded into null.
-    hit = F.filter(F.array(*[
-        F.when(F.col("v") <= F.col("m")[2 * i + 1], F.struct(
-            F.lit(i).alias("i"), F.when(F.col("v") >= F.col("m")[2 * i], F.col("v")).alias("x")))
-        for i in range(len(probs))]), lambda h: h.isNotNull())
-    seen = (v.join(box.select(*keys, "m"), keys).select(*keys, F.explode(hit).alias("h"))
-            .groupBy(*keys, "h.i", "h.x").agg(F.count("*").alias("c")))
 
-    w = Window.partitionBy(*keys, "i").orderBy(F.asc_nulls_first("x")).rowsBetween(
-        Window.unboundedPreceding, 0)
-    q = F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("i") + 1)
-    ranked = (seen.withColumn("upto", F.sum("c").over(w)).where(F.col("x").isNotNull())
-              .join(box.select(*keys, "n"), keys).withColumn("pos", q * (F.col("n") - 1)))
-    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("x")))
-    picked = ranked.groupBy(*keys, "i").agg(
-        at(F.floor("pos")).alias("v0"), at(F.ceil("pos")).alias("v1"),
-        F.first(F.col("pos") - F.floor("pos")).alias("f"))
-    return picked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("i") == i, F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("f"))).alias(n)
-        for i, n in enumerate(probs)])
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """(keys, one column per name in ``probs``), interpolated linearly between ranks.
+
+    Null and NaN values are left out; groups without values are absent. ``df`` is read twice, so a costly one
+    should be written first.
+    """
+    v = (df.select(*keys, F.col(value).cast("double").alias("v_"))
+         .where(F.col("v_").isNotNull() & ~F.isnan("v_")))
+    rows = v.withColumn("d_", _size_bin(F.col("v_")))
+    first = _histogram(rows, keys)
+    all_ = Window.partitionBy(*keys)
+    rank = lambda q: F.lit(float(q)) * (F.col("n_") - 1)
+    # both ranks that a percentile lies between, each in the bin that holds it
+    wanted = [F.struct(F.lit(2 * i + side).alias("i"), at(rank(q)).cast("bigint").alias("k"))
+              for i, q in enumerate(probs.values()) for side, at in enumerate((F.floor, F.ceil))]
+    here = F.filter(F.array(*wanted), lambda x: (x["k"] < F.col("upto_")) & (x["k"] >= F.col("upto_") - F.col("c_")))
+    chosen = cut_lineage(
+        first.withColumn("n_", F.max("upto_").over(all_)).withColumn("x_", F.explode(here))
+        .select(*keys, "n_", "d_", "lo_", "hi_", "c_", F.col("x_.i").alias("i_"), (F.col("x_.k") - F.col("upto_") + F.col("c_")).alias("k_")))
+    settled = [chosen.where(SETTLED)]
+    open_ = chosen.where(f"not ({SETTLED})")
+    by = [*keys, "at_"]  # a bin is named by its smallest value
+    rows = rows.join(open_.select(*keys, "d_", "lo_", "hi_").distinct(), [*keys, "d_"])
+    while not open_.isEmpty():
+        rows = cut_lineage(rows.select(*keys, "v_", F.col("lo_").alias("at_"), _place_bin().alias("d_")))
+        bins = _histogram(rows, by)
+        left = open_.select(*keys, "n_", "i_", F.col("lo_").alias("at_"), F.col("k_").alias("before_"))
+        found = cut_lineage(
+            bins.join(left, by).where("before_ < upto_ and before_ >= upto_ - c_")
+            .select(*by, "n_", "d_", "lo_", "hi_", "c_", "i_", (F.col("before_") - F.col("upto_") + F.col("c_")).alias("k_")))
+        settled.append(found.where(SETTLED).drop("at_"))
+        open_ = found.where(f"not ({SETTLED})")
+        rows = rows.join(open_.select(*by, "d_", "lo_", "hi_").distinct(), [*by, "d_"])
+    done = settled[0]
+    for more in settled[1:]:
+        done = done.unionByName(more)
+    done = done.withColumn("x_", F.when(F.col("k_") == F.col("c_") - 1, F.col("hi_")).otherwise(F.col("lo_")))
+    at = lambda i: F.max(F.when(F.col("i_") == i, F.col("x_")))
+    share = lambda q: F.max(rank(q) - F.floor(rank(q)))
+    between = lambda a, b, s: F.when(a == b, a).otherwise(a + (b - a) * s)  # equal ones may be infinite
+    return done.groupBy(*keys).agg(*[
+        between(at(2 * i), at(2 * i + 1), share(q)).alias(name) for i, (name, q) in enumerate(probs.items())])
