@@ -1,19 +1,20 @@
 """Radar scenes as pixel tables (scene_id, row, col, ...): filters, tiles, decoding."""
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions.draws import uniform
 from ..functions.geo import clamp, col
+from ..session import cut_lineage
 from .quantile import exact_percentiles
+from .tiles import BLOCK, blend, block_map, box_moments, cut_tiles, lists, to_blocks, to_pixels
 
 # Classes in index order, their colours, and the colour tolerance.
 CLASSES = ["sea", "oil_spill", "look_alike", "ship", "land"]
@@ -28,6 +29,9 @@ LEE_SIZE, LEE_CU = 5, 0.523
 STRETCH = (0.02, 0.98)
 TILE, OVERLAP, WEIGHT_FLOOR = 256, 64, 1e-3
 
+#: Tiles a model gets in one call.
+MODEL_BATCH = 8
+
 
 def to_db(amplitude, floor_db: float = FLOOR_DB) -> Column:
     return F.greatest(10.0 * F.log10(F.greatest(col(amplitude), F.lit(EPS))), F.lit(float(floor_db)))
@@ -46,104 +50,60 @@ def decode_mask(rgb: DataFrame) -> DataFrame:
     return rgb.select("scene_id", "row", "col", F.when(far, SEA).otherwise(best["cls"]).alias("cls"))
 
 
-def _box_mean(px: DataFrame, across: str, along: str, cols: list[str], size: int) -> DataFrame:
-    """Means over ``size`` neighbours along one axis; a window is one line of a scene.
+def _lee_work(size: int, cu: float) -> Callable:
+    def work(r0, c0, grid, core):
+        found = box_moments(r0, c0, grid, core, size)
+        if found is None:
+            return None
+        row, column, value, m, q = found
+        ci2 = np.maximum(q - m * m, 0.0) / np.maximum(m * m, EPS)
+        weight = np.clip((ci2 - cu * cu) / np.maximum(ci2, EPS), 0.0, 1.0)
+        return row, column, (m + weight * (value - m))[None]
+    return work
 
-    Beyond an edge the line is mirrored, the edge pixel itself coming first.
-    """
-    w = Window.partitionBy("scene_id", across).orderBy(along)
-    h = size // 2
-    name = lambda c, k: c if k == 0 else f"{c}_{'p' if k > 0 else 'n'}{abs(k)}"
-    x = px.withColumns({name(c, k): (F.lead(c, k) if k > 0 else F.lag(c, -k)).over(w)
-                        for c in cols for k in range(-h, h + 1) if k})
-
-    def at(c: str, k: int) -> Column:
-        sign = 1 if k > 0 else -1
-        v = lambda j: F.col(name(c, sign * j))
-        out = F.when(v(abs(k)).isNotNull(), v(abs(k)))
-        for m in range(abs(k) - 1, -1, -1):
-            # m pixels are left before the edge.
-            out = out.when(v(m).isNotNull(), v(2 * m + 1 - abs(k)))
-        return out
-
-    mean = {c: sum((at(c, k) for k in range(-h, h + 1) if k), F.col(c)) / size for c in cols}
-    return x.withColumns(mean).select(*px.columns)
-
-
-def lee_filter(px: DataFrame, size: int = LEE_SIZE, cu: float = LEE_CU) -> DataFrame:
+
+def lee_blocks(px: DataFrame, size: int = LEE_SIZE, cu: float = LEE_CU, block: int = BLOCK) -> DataFrame:
+    """The filtered scenes as blocks: one shuffle, in which pixels near a border go to both sides."""
+    return block_map(px, _lee_work(size, cu), block, halo=size // 2)
+
+
+def lee_filter(px: DataFrame, size: int = LEE_SIZE, cu: float = LEE_CU, block: int = BLOCK) -> DataFrame:
     """Speckle filter on (scene_id, row, col, value): smooth where the scene is even."""
-    x = px.withColumns({"m": F.col("value"), "q": F.col("value") * F.col("value")})
-    x = _box_mean(x, "row", "col", ["m", "q"], size)
-    x = _box_mean(x, "col", "row", ["m", "q"], size)
-    var = F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0))
-    ci2 = var / F.greatest(F.col("m") * F.col("m"), F.lit(EPS))
-    weight = clamp((ci2 - cu * cu) / F.greatest(ci2, F.lit(EPS)), 0, 1)
-    return x.withColumn("value", F.col("m") + weight * (F.col("value") - F.col("m"))).drop("m", "q")
+    return to_pixels(lee_blocks(px, size, cu, block))
 
 
 def percentile_stretch(px: DataFrame, low: float = STRETCH[0], high: float = STRETCH[1]) -> DataFrame:
     """Clip to percentiles of each scene and scale to [0, 1]; a flat scene is 0."""
     p = exact_percentiles(px, ["scene_id"], "value", {"lo_": low, "hi_": high})
+    return px.join(p, "scene_id").withColumn("value", _stretched(F.col("value"))).drop("lo_", "hi_")
+
+
+def _stretched(value: Column) -> Column:
     span = F.col("hi_") - F.col("lo_")
-    v = F.when(span < EPS, 0.0).otherwise(clamp((F.col("value") - F.col("lo_")) / span, 0, 1))
-    return px.join(p, "scene_id").withColumn("value", v).drop("lo_", "hi_")
+    return F.when(span < EPS, 0.0).otherwise(clamp((value - F.col("lo_")) / span, 0, 1))
 
 
 def preprocess(px: DataFrame, already_db: bool = True, despeckle: bool = True,
-               size: int = LEE_SIZE) -> DataFrame:
-    """(dB) -> despeckle -> stretch."""
+               size: int = LEE_SIZE, block: int = BLOCK) -> DataFrame:
+    """(dB) -> despeckle -> stretch. The filtered blocks are written once, for the percentiles and the stretch."""
     if not already_db:
         px = px.withColumn("value", to_db("value"))
-    if despeckle:
-        px = lee_filter(px, size)
-    return percentile_stretch(px)
+    if not despeckle:
+        return percentile_stretch(px)
+    blocks = cut_lineage(lee_blocks(px, size, block=block))
+    p = exact_percentiles(to_pixels(blocks), ["scene_id"], "value", {"lo_": STRETCH[0], "hi_": STRETCH[1]})
+    stretch = lambda x: F.when(F.isnan(x), x).otherwise(_stretched(x))
+    return to_pixels(blocks.join(p, "scene_id").withColumn("v", F.transform("v", stretch)).drop("lo_", "hi_"))
 
 
 # ---------------------------------------------------------------- tiles
 
-def _starts(extent: Column, tile: Column, overlap: int) -> Column:
-    """Tile origins along an axis; the last one is moved back to end at the edge."""
-    step = F.greatest(tile - overlap, F.lit(1))
-    last = extent - tile
-    return F.array_distinct(F.concat(F.sequence(F.lit(0), last, step), F.array(last)))
-
-
-def tile_grid(scenes: DataFrame, tile: int = TILE, overlap: int = OVERLAP) -> DataFrame:
-    """(scene_id, ty, tx, tile): corners of the overlapping tiles of each scene."""
-    t = F.least(F.lit(tile), F.col("height"), F.col("width")).cast("int")
-    s = scenes.select("scene_id", F.col("height").cast("int").alias("height"),
-                      F.col("width").cast("int").alias("width"), t.alias("tile"))
-    return (s.withColumn("ty", F.explode(_starts(F.col("height"), F.col("tile"), overlap)))
-            .withColumn("tx", F.explode(_starts(F.col("width"), F.col("tile"), overlap)))
-            .select("scene_id", "ty", "tx", "tile"))
-
-
-def cover_with_tiles(px: DataFrame, scenes: DataFrame, tile: int = TILE,
-                     overlap: int = OVERLAP) -> DataFrame:
-    """Every pixel once per tile that holds it; only the scene row is looked up."""
-    s = scenes.select("scene_id", "height", "width")
-    t = F.least(F.lit(tile), F.col("height"), F.col("width")).cast("int")
-    x = px.join(s, "scene_id").withColumn("tile", t)
-    hold = lambda n, axis: F.filter(
-        _starts(F.col(n).cast("int"), F.col("tile"), overlap),
-        lambda a: (a <= F.col(axis)) & (F.col(axis) < a + F.col("tile")))
-    return (x.withColumn("ty", F.explode(hold("height", "row")))
-            .withColumn("tx", F.explode(hold("width", "col"))).drop("height", "width"))
-
-
-def hann(i: Column, n: Column) -> Column:
-    return F.when(n > 2, 0.5 - 0.5 * F.cos(2 * math.pi * i / (n - 1))).otherwise(1.0)
-
-
-def blend_tiles(tiles: DataFrame) -> DataFrame:
+def blend_tiles(tiles: DataFrame, block: int = BLOCK) -> DataFrame:
     """Weighted mean of overlapping tiles: (scene_id, row, col, cls, p).
 
-    ``tiles`` has (scene_id, ty, tx, tile, row, col, cls, p); edges of a tile weigh least.
+    ``tiles`` has (scene_id, ty, tx, tile, v), v by class, row and column as from ``cut_tiles``.
     """
-    w = (hann(F.col("row") - F.col("ty"), F.col("tile"))
-         * hann(F.col("col") - F.col("tx"), F.col("tile")) + WEIGHT_FLOOR)
-    return (tiles.withColumn("w", w).groupBy("scene_id", "row", "col", "cls")
-            .agg((F.sum(F.col("p") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-6))).alias("p")))
+    return to_pixels(blend(tiles, WEIGHT_FLOOR, block), "p", "cls")
 
 
 def argmax_class(prob: DataFrame) -> DataFrame:
@@ -156,37 +116,40 @@ def argmax_class(prob: DataFrame) -> DataFrame:
 
 
 def score_tiles(px: DataFrame, scenes: DataFrame, load_model: Callable[[], Callable],
-                tile: int = TILE, overlap: int = OVERLAP) -> DataFrame:
+                tile: int = TILE, overlap: int = OVERLAP, batch: int = MODEL_BATCH, block: int = BLOCK) -> DataFrame:
     """Probabilities (scene_id, row, col, cls, p) from a user's model on overlapping tiles.
 
-    ``load_model()`` runs once per worker and returns a function from a batch of tiles
-    (n, t, t) to logits (n, 5, t, t). A tile is one row, so no task holds a scene.
+    ``load_model()`` runs once per task and returns a function from a batch of tiles (n, t, t) to logits
+    (n, 5, t, t); it gets up to ``batch`` tiles of one size in a call. A tile is one row, so no task holds a scene.
+    A pixel that is not there is 0 to the model and has no probability.
     """
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model()
-        for tiles in batches:
-            out = []
-            for v in tiles:
-                t = int(round(math.sqrt(len(v))))
-                z = np.asarray(model(np.asarray(v, np.float32).reshape(1, t, t)), float)
-                z = np.exp(z - z.max(axis=1, keepdims=True))
-                out.append((z / z.sum(axis=1, keepdims=True)).ravel().astype(np.float32))
-            yield pd.Series(out)
-
-    cell = F.struct(((F.col("row") - F.col("ty")) * F.col("tile") + F.col("col") - F.col("tx"))
-                    .alias("i"), "value")
-    packed = (cover_with_tiles(px, scenes, tile, overlap)
-              .groupBy("scene_id", "ty", "tx", "tile")
-              .agg(F.array_sort(F.collect_list(cell)).alias("c"))
-              .withColumn("p", run(F.col("c.value").cast("array<float>"))).drop("c"))
-    n = F.col("tile") * F.col("tile")
-    at = F.col("k") % n
-    flat = packed.select("scene_id", "ty", "tx", "tile", F.posexplode("p").alias("k", "p"))
-    return blend_tiles(flat.select(
-        "scene_id", "ty", "tx", "tile", (F.col("ty") + F.floor(at / F.col("tile"))).alias("row"),
-        (F.col("tx") + at % F.col("tile")).alias("col"),
-        F.floor(F.col("k") / n).cast("int").alias("cls"), F.col("p").cast("double").alias("p")))
+
+        def scored(tiles: list[np.ndarray], t: int) -> list[np.ndarray]:
+            x = np.stack(tiles).reshape(-1, t, t)
+            gone = np.isnan(x)
+            z = np.asarray(model(np.where(gone, 0.0, x).astype(np.float32)), float)
+            z = np.exp(z - z.max(axis=1, keepdims=True))
+            z /= z.sum(axis=1, keepdims=True)
+            return list(np.where(gone[:, None], np.nan, z).reshape(len(x), -1))
+
+        for b in batches:
+            sides, tiles = b.column(3).to_pylist(), lists(b.column(4))
+            out: list = [None] * len(tiles)
+            for t in sorted(set(sides)):
+                these = [k for k, s in enumerate(sides) if s == t]
+                for j in range(0, len(these), batch):
+                    part = these[j:j + batch]
+                    for k, p in zip(part, scored([tiles[k] for k in part], t)):
+                        out[k] = p
+            if out:
+                ends = np.cumsum([0, *map(len, out)])
+                v = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], v], b.schema.names)
+
+    tiles = cut_tiles(to_blocks(px, block), scenes, tile, overlap)
+    return blend_tiles(tiles.mapInArrow(run, tiles.schema), block)
 
 
 def screen_scenes(px: DataFrame, load_model: Callable[[], Callable], side: int = 224) -> DataFrame:

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence, geo, slicks as slick_fn, titles, vessels
 from ..functions.slicks import TRANSFORM, place_scene, scene_bounds
 from ..operators import (ais, drift, features, incidents, metrics, origins, raster, regions,
-                         requests, suspects)
-from ..operators.asof import covered  # noqa: F401  (re-exported for users of the catalogue)
+                         requests, suspects, tiles)
 from ..sources import readers, writers
 from . import jobs
 from .context import DEMO_MODEL, Context, context
@@ -269,7 +268,7 @@ def jn5_in_gap(c):
 
 @query
 def jn6_closest_approach(c):
-    x = features.closest_approach(c.once("clean"), c.once("cand"), c.t("origin_sample"))
+    x = features.closest_approach(c.once("clean"), c.once("cand"), c.t("origin_sample"), c.once("summary"))
     return x.select(*KEYS, r("dist_km", 4), "cog", r("sog", 4))
 
 
@@ -486,8 +485,10 @@ def win6_track_span(c):
 
 
 def _tile_probs(c):
-    t = raster.cover_with_tiles(c.t("prob"), c.t("scene"), 20, 8)
-    return t.withColumn("p", F.col("p") + (F.col("ty") * 3 + F.col("tx")) % 7 / 100.0)
+    """Overlapping tiles that do not agree: each adds a number of its own to the probabilities."""
+    blocks = tiles.to_blocks(c.t("prob"), value="p", channel="cls", channels=len(raster.CLASSES))
+    own = (F.col("ty") * 3 + F.col("tx")) % 7 / 100.0
+    return tiles.cut_tiles(blocks, c.t("scene"), 20, 8).withColumn("v", F.transform("v", lambda p: p + own))
 
 
 @query

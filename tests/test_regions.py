@@ -132,16 +132,90 @@ def test_contour_goes_round_and_keeps_corners_apart():
     assert len(regions.simplify([(0., float(i)) for i in range(50)], 1.5)) == 2
 
 
-def test_lee_filter_matches_a_loop(spark):
-    rng = np.random.default_rng(4)
-    a = rng.random((14, 17)) + .1
-    got = raster.lee_filter(table(spark, {1: a}, "value", "double")).toPandas().pivot(index="row", columns="col", values="value").to_numpy()
+def loop_lee(a):
     p = np.pad(a, 2, mode="symmetric")
     w = np.lib.stride_tricks.sliding_window_view(p, (5, 5))
     m, q = w.mean((2, 3)), (w ** 2).mean((2, 3))
     ci2 = np.maximum(q - m * m, 0) / m ** 2
-    want = m + np.clip((ci2 - .523 ** 2) / np.maximum(ci2, 1e-8), 0, 1) * (a - m)
-    assert np.allclose(got, want)
+    return m + np.clip((ci2 - .523 ** 2) / np.maximum(ci2, 1e-8), 0, 1) * (a - m)
+
+
+def image(df, value="value", **where):
+    x = df.toPandas()
+    for k, v in where.items():
+        x = x[x[k] == v]
+    return x.pivot(index="row", columns="col", values=value).to_numpy()
+
+
+@pytest.mark.parametrize("block", [3, 16, 256])
+def test_lee_filter_matches_a_loop(spark, block):
+    rng = np.random.default_rng(4)
+    arrays = {1: rng.random((14, 17)) + .1, 2: rng.random((1, 5)) + .1, 3: rng.random((33, 16)) + .1}
+    got = raster.lee_filter(table(spark, arrays, "value", "double"), block=block)
+    for k, a in arrays.items():
+        assert np.allclose(image(got, scene_id=k), loop_lee(a))
+
+
+def test_large_scene_over_several_blocks(spark):
+    rng = np.random.default_rng(8)
+    a = rng.random((300, 270)) + .1
+    px = table(spark, {1: a}, "value", "double")
+    lee = loop_lee(a)
+    assert np.allclose(image(raster.lee_filter(px)), lee)
+    lo, hi = np.percentile(lee, [2, 98])
+    assert np.allclose(image(raster.preprocess(px)), np.clip((lee - lo) / (hi - lo), 0, 1))
+
+
+def test_absent_pixels_stay_absent(spark):
+    a = np.full((9, 9), 2.0)
+    px = table(spark, {1: a}, "value", "double").where("not (row = 4 and col = 4)")
+    got = raster.lee_filter(px, block=4).toPandas()
+    assert len(got) == 80 and np.allclose(got.value, 2.0)
+    p = raster.score_tiles(px, scenes(spark, {1: a}), lambda: lambda x: np.repeat(x[:, None], 5, 1), 4, 2, block=4)
+    assert p.select("row", "col").distinct().count() == 80 and p.count() == 400
+    assert raster.lee_filter(px.limit(0)).count() == 0
+    assert raster.score_tiles(px.limit(0), scenes(spark, {1: a}), lambda: None, 4, 2).count() == 0
+
+
+def loop_blend(a, tile, overlap, net):
+    h, w = a.shape
+    tile = min(tile, h, w)
+    at = lambda n: sorted({*range(0, n - tile + 1, max(tile - overlap, 1)), n - tile})
+    ramp = np.hanning(tile) if tile > 2 else np.ones(tile)
+    blend = np.outer(ramp, ramp) + 1e-3
+    acc, mass = np.zeros((5, h, w)), np.zeros((h, w))
+    for y in at(h):
+        for x in at(w):
+            z = np.exp(net(a[None, y:y + tile, x:x + tile].astype(np.float32)).astype(float))[0]
+            acc[:, y:y + tile, x:x + tile] += z / z.sum(0) * blend
+            mass[y:y + tile, x:x + tile] += blend
+    return acc / mass
+
+
+@pytest.mark.parametrize("tile,overlap,block", [(16, 4, 16), (16, 5, 7), (256, 64, 256), (20, 0, 64)])
+def test_scored_tiles_match_a_loop(spark, tile, overlap, block):
+    def see_tile(x):
+        """Logits that depend on the whole tile, so that tiles do not agree where they overlap."""
+        m = x.mean((1, 2), keepdims=True)
+        return np.stack([x, x * m, m - x, x * x, 0 * x], 1)
+
+    rng = np.random.default_rng(9)
+    arrays = {1: rng.random((40, 35)), 2: rng.random((6, 50)), 3: rng.random((280, 20) if tile == 256 else (17, 16))}
+    got = raster.score_tiles(table(spark, arrays, "value", "double"), scenes(spark, arrays), lambda: see_tile, tile, overlap, block=block)
+    x = got.toPandas()
+    for k, a in arrays.items():
+        want = loop_blend(a, tile, overlap, see_tile)
+        for c in range(5):
+            part = x[(x.scene_id == k) & (x.cls == c)].pivot(index="row", columns="col", values="p").to_numpy()
+            assert np.allclose(part, want[c], atol=1e-6)
+
+
+def test_a_model_gets_several_tiles_in_a_call(spark):
+    arrays = {1: np.ones((40, 40)), 2: np.ones((24, 40))}
+    net = lambda x: np.full((len(x), 5, *x.shape[1:]), 0.0) + np.array([len(x), 0, 0, 0, 0]).reshape(1, 5, 1, 1)
+    px = table(spark, arrays, "value", "double").coalesce(1)
+    p = raster.score_tiles(px, scenes(spark, arrays), lambda: net, 8, 0).where("cls = 0").agg({"p": "max"}).first()[0]
+    assert p > np.exp(2) / (np.exp(2) + 4)
 
 
 def test_flat_scene_stretches_to_zero(spark):
