@@ -9,7 +9,7 @@ from ..functions.geo import axis_alignment, clamp, circular_variance, haversine_
 from ..functions.vessels import size_score, vtype_prior
 from ..session import cut_lineage, spread
 from .ais import GAP_S, vessel_statics
-from .asof import (bucket_of, extreme_fix, inside_gap, interpolated, nearest_dt,
+from .asof import (extreme_fix, inside_gap, interpolated, nearest_dt,
                    nearest_value, with_neighbours)
 from .origins import RADIUS_KM
 
@@ -20,46 +20,69 @@ NO_DISTANCE_KM, MEAN_CAP_KM, MINUTES_CAP, NO_SOG_KN = 500.0, 200.0, 1440.0, 6.0
 
 KEYS = ["origin_id", "mmsi"]
 BUCKET_S = 3600.0
+#: Shortest slot in which steps and samples meet, and samples that one slot gives to a task at once.
+SHORTEST_S = 10.0
+CROWD = 4096
+SPAN = ["origin_id", "lat_c", "lon_c", "t0", "t1"]
 
 
-def segments(fixes: DataFrame, bucket_s: float = BUCKET_S) -> DataFrame:
-    """Tracks as steps (keys, prev, next): from each fix to its successor.
+def segments(fixes: DataFrame, span: DataFrame, bucket_s: float = BUCKET_S) -> DataFrame:
+    """Tracks as steps (keys, prev, next and the columns of ``span``): from each fix to its successor.
 
-    The first step of a track has no ``prev`` and the last no ``next``.
+    The first step of a track has no ``prev`` and the last no ``next``. ``span`` has a row per origin.
     """
     fields = ["t", "lat", "lon", "sog", "cog"]
-    keep = [*KEYS, "prev", F.struct(*fields).alias("next"), "lat_c", "lon_c", "t0", "t1"]
-    steps = with_neighbours(fixes, KEYS, fields, bucket_s).select(*keep)
-    tail = fixes.groupBy(*KEYS).agg(extreme_fix(F.max_by, fields).alias("prev"),
-                                    *[F.first(c).alias(c) for c in ("lat_c", "lon_c", "t0", "t1")])
+    fixes = fixes.select(*KEYS, *fields)
+    steps = with_neighbours(fixes, KEYS, fields, bucket_s).select(*KEYS, "prev", F.struct(*fields).alias("next"))
+    tail = fixes.groupBy(*KEYS).agg(extreme_fix(F.max_by, fields).alias("prev"))
     none = F.lit(None).cast(steps.schema["next"].dataType)
-    return steps.unionByName(tail.withColumn("next", none))
+    return steps.unionByName(tail.withColumn("next", none)).join(span, "origin_id")
 
 
-def sample_positions(steps: DataFrame, samples: DataFrame, bucket_s: float = BUCKET_S,
-                     salts: int = 8) -> DataFrame:
-    """Every sample of an origin against every vessel near it, on the step it falls in.
+def _level(seconds: Column) -> Column:
+    """The first of ever longer slots, each four times the last, that is no shorter than a step."""
+    return F.ceil(F.log(4.0, F.greatest(seconds / SHORTEST_S, F.lit(1.0)))).cast("int")
 
-    Steps are listed under each time bucket of the origin's span they touch, so samples
-    meet them in an equality join on (origin, bucket) and the product of samples and
-    vessels is never shuffled: it is folded where it arises. A crowded origin is spread
-    over ``salts`` copies of its steps.
+
+def _slot(t: Column) -> Column:
+    return F.floor(t / (SHORTEST_S * F.pow(F.lit(4.0), F.col("level"))))
+
+
+def sample_steps(steps: DataFrame, samples: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Samples next to the steps of each vessel that their slot of time holds: (keys, sample, step list).
+
+    A step is listed in slots of its own length, so in three at most, and a slot holds a handful of steps of a
+    vessel, however often it reports: they are one list. Samples look into the slots of all lengths
+    that their origin's steps have, in an equality join. The product of samples and vessels is never shuffled.
+    Only slots with samples are kept, and one with more than ``crowd`` of them has its lists copied and
+    its samples split.
     """
     lo = F.greatest(F.coalesce("prev.t", "t0"), F.col("t0"))
     hi = F.least(F.coalesce("next.t", "t1"), F.col("t1"))
-    keyed = (steps.where(lo <= hi)
-             .withColumn("bucket", F.explode(F.sequence(bucket_of(lo, bucket_s), bucket_of(hi, bucket_s))))
-             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-             .select(*KEYS, "prev", "next", "bucket", "salt"))
-    s = samples.select("origin_id", "sample_id", "t", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"),
-                       bucket_of("t", bucket_s).alias("bucket"),
-                       F.pmod(F.hash("sample_id"), F.lit(salts)).alias("salt"))
+    listed = (steps.where(lo <= hi).withColumn("level", _level(F.coalesce(F.col("next.t") - F.col("prev.t"), hi - lo)))
+              .withColumn("slot", F.explode(F.sequence(_slot(lo), _slot(hi))))
+              .select(*KEYS, "level", "slot", F.struct("prev", "next").alias("step")))
+    at = ["origin_id", "level", "slot"]
+    levels = listed.select("origin_id", "level").distinct()
+    s = (samples.select("origin_id", "sample_id", "t", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
+         .join(levels, "origin_id").withColumn("slot", _slot(F.col("t"))))
+    parts = cut_lineage(s.groupBy(*at).agg(F.ceil(F.count("*") / crowd).alias("parts")))
+    s = s.join(parts.where("parts > 1"), at, "left").withColumn(
+        "part", F.pmod(F.xxhash64("sample_id"), F.coalesce("parts", F.lit(1).cast("bigint")))).drop("parts")
+    lists = (listed.join(parts, at).groupBy(*KEYS, "level", "slot", "parts").agg(F.collect_list("step").alias("steps"))
+             .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts"))
     # Few small rows with a product behind each: keep them on all tasks.
-    s = spread(s, "origin_id", "bucket", "salt")
-    late = F.coalesce("prev.t", F.lit(float("-inf")))
-    soon = F.coalesce("next.t", F.lit(float("inf")))
-    x = s.join(keyed, ["origin_id", "bucket", "salt"]).where(
-        (F.col("t") >= late) & (F.col("t") < soon)).drop("bucket", "salt")
+    return spread(s, *at, "part").join(lists, [*at, "part"])
+
+
+def sample_positions(steps: DataFrame, samples: DataFrame) -> DataFrame:
+    """Every sample of an origin against every vessel near it, on the step it falls in, with the distance ``d``."""
+    t = F.col("t")
+    falls = lambda x: ((t >= F.coalesce(x["prev"]["t"], F.lit(float("-inf"))))
+                       & (t < F.coalesce(x["next"]["t"], F.lit(float("inf")))))
+    x = (sample_steps(steps, samples)
+         .select(*KEYS, "sample_id", "t", "s_lat", "s_lon", F.explode(F.filter("steps", falls)).alias("step"))
+         .select(*KEYS, "sample_id", "t", "s_lat", "s_lon", "step.prev", "step.next"))
     # On the very last fix there is no next one, yet the track still speaks.
     inside = F.col("prev").isNotNull() & (F.col("next").isNotNull() | (F.col("t") == F.col("prev.t")))
     d = haversine_km(interpolated("lat"), interpolated("lon"), "s_lat", "s_lon")
@@ -121,16 +144,16 @@ def track_features(steps: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
 
 
 def build_feature_table(fixes: DataFrame, candidates: DataFrame, samples: DataFrame,
-                        origins: DataFrame, radius_km: float = RADIUS_KM,
+                        origins: DataFrame, summary: DataFrame, radius_km: float = RADIUS_KM,
                         bucket_s: float = BUCKET_S) -> DataFrame:
     """(origin_id, mmsi, name, vtype, length, n_fixes) and the fourteen features.
 
-    ``fixes`` are the cleaned rows near the origins and carry the origin summary.
+    ``fixes`` are the cleaned rows near the origins.
     """
-    live = cut_lineage(fixes.join(candidates.select(*KEYS), KEYS, "left_semi"))
-    steps = segments(live, bucket_s)
+    live = fixes.join(candidates.select(*KEYS), KEYS, "left_semi")
+    steps = cut_lineage(segments(live, summary.select(*SPAN), bucket_s))
     align = F.coalesce(axis_alignment("cpa.cog", "bearing"), F.lit(0.5))
-    out = (sample_features(sample_positions(steps, samples, bucket_s), radius_km)
+    out = (sample_features(sample_positions(steps, samples), radius_km)
            .join(track_features(steps, radius_km), KEYS).join(vessel_statics(live, KEYS), KEYS)
            .join(origins.select("origin_id", "bearing"), "origin_id", "left")
            .withColumns({"vtype_prior": vtype_prior(), "size_score": size_score(), "course_align": align,
@@ -149,8 +172,7 @@ def track_match(fixes: DataFrame, candidates: DataFrame, track: DataFrame, summa
     live = fixes.join(candidates.select(*KEYS), KEYS, "left_semi")
     # Nodes may lie outside the cloud's span, and each of them counts in the mean.
     span = nodes.groupBy("origin_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    steps = segments(live, bucket_s).drop("t0", "t1").join(span, "origin_id")
-    rows = sample_positions(steps, nodes, bucket_s)
+    rows = sample_positions(cut_lineage(segments(live, span, bucket_s)), nodes)
     scale = F.greatest(F.greatest(F.col("spread_km") * 0.6, F.lit(5.0)), F.lit(2.0))
     hit = F.coalesce(F.exp(-F.col("d") / F.col("scale")), F.lit(0.0))
     scored = (rows.join(summary.select("origin_id", scale.alias("scale")), "origin_id")
@@ -160,11 +182,12 @@ def track_match(fixes: DataFrame, candidates: DataFrame, track: DataFrame, summa
             .select(*KEYS, F.coalesce(ok, F.lit(0.0)).alias("track_match")))
 
 
-def closest_approach(fixes: DataFrame, candidates: DataFrame, samples: DataFrame,
+def closest_approach(fixes: DataFrame, candidates: DataFrame, samples: DataFrame, summary: DataFrame,
                      bucket_s: float = BUCKET_S) -> DataFrame:
     """(origin, vessel, sample_id, dist_km, cog, sog) of the nearest sample; first on a tie."""
     live = fixes.join(candidates.select(*KEYS), KEYS, "left_semi")
-    rows = sample_positions(segments(live, bucket_s), samples, bucket_s).where(F.col("d").isNotNull())
+    steps = cut_lineage(segments(live, summary.select(*SPAN), bucket_s))
+    rows = sample_positions(steps, samples).where(F.col("d").isNotNull())
     near = nearness()
     return rows.groupBy(*KEYS).agg(
         F.min_by("sample_id", near).alias("sample_id"), F.min("d").alias("dist_km"),

@@ -75,12 +75,14 @@ def ais_near_origin(fixes: DataFrame, summary: DataFrame, lookback_h: float = LO
                   "lat_min", "lat_max", "lon_min", "lon_max"))
 
 
-def candidate_vessels(near: DataFrame, radius_km: float = RADIUS_KM,
+def candidate_vessels(near: DataFrame, summary: DataFrame, radius_km: float = RADIUS_KM,
                       min_fixes: int = MIN_FIXES) -> DataFrame:
     """(origin, vessel) pairs with a real fix close to the cloud in space and time.
 
-    ``near`` is the cleaned output of :func:`ais_near_origin`.
+    ``near`` are the cleaned reports near each origin (origin_id, mmsi, t, lat, lon).
     """
+    near = near.select("origin_id", "mmsi", "t", "lat", "lon").join(
+        summary.select("origin_id", "lat_c", "lon_c", "t0", "t1", "spread_km"), "origin_id")
     d = haversine_km("lat", "lon", "lat_c", "lon_c")
     pad = CANDIDATE_H * 3600.0
     in_win = F.col("t").between(F.col("t0") - pad, F.col("t1") + pad)

@@ -11,6 +11,8 @@ from ..sources import demo
 
 KEYS = ["origin_id", "mmsi"]
 RASTERS = {"mask", "pixel", "pred", "prob", "rgb"}
+#: Intermediate tables whose maker writes them itself.
+WRITTEN = {"clean"}
 
 #: Weights standing in for a trained ranker where a fixed model is wanted.
 DEMO_MODEL = {"prox_score": 2.0, "min_dist_km": -0.05, "dwell_frac": 1.5, "vtype_prior": 0.5,
@@ -34,7 +36,8 @@ class Context:
     def once(self, name: str) -> DataFrame:
         """The intermediate table ``name``, written once and then read."""
         if name not in self._memo:
-            self._memo[name] = cut_lineage(getattr(self, f"_{name}")())
+            made = getattr(self, f"_{name}")()
+            self._memo[name] = made if name in WRITTEN else cut_lineage(made)
         return self._memo[name]
 
     def _tracks(self):
@@ -44,15 +47,15 @@ class Context:
         return origins.origin_summary(self.t("origin_sample"))
 
     def _clean(self):
-        near = origins.ais_near_origin(self.t("ais"), self.once("summary"))
-        return ais.clean_tracks(near, KEYS, "ord")
+        from .jobs import near_and_clean
+        return near_and_clean(self.t("ais"), self.once("summary"), "ord")
 
     def _cand(self):
-        return origins.candidate_vessels(self.once("clean"))
+        return origins.candidate_vessels(self.once("clean"), self.once("summary"))
 
     def _features(self):
         return features.build_feature_table(self.once("clean"), self.once("cand"),
-                                            self.t("origin_sample"), self.t("origin"))
+                                            self.t("origin_sample"), self.t("origin"), self.once("summary"))
 
     def _suspects(self):
         return suspects.score_baseline(self.once("features"))

@@ -5,10 +5,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.slicks import TRANSFORM, place_scene, window_caps
 from ..operators import drift, features, incidents, metrics, origins, raster, regions, suspects
-from ..operators.ais import clean_tracks
+from ..operators.ais import teleports
 from ..session import cut_lineage
 from ..sources.readers import read_ais
 
@@ -17,12 +18,31 @@ KEYS = ["origin_id", "mmsi"]
 
 def near_and_clean(fixes: DataFrame, summary: DataFrame, order: str | None = None,
                    lookback_h: float = origins.LOOKBACK_H) -> DataFrame:
-    """Reports near each origin, cleaned per (origin, vessel).
+    """Reports near each origin, cleaned per (origin, vessel): origin_id and the columns of ``fixes``.
 
-    The crop comes first, so the first anchor of a track depends on the origin's box.
+    The crop comes first, so the first anchor of a track depends on the origin's box. Near rows are many times
+    the reports, so only place and time of them are written for the cleaning; the search is cheap and
+    runs once more for the rows that stay. Whether a time occurs twice is counted on the reports.
     """
-    near = origins.ais_near_origin(fixes, summary, lookback_h)
-    return cut_lineage(clean_tracks(near, KEYS, order))
+    if order is None:  # any fixed order of whole rows will do, as long as equal rows count once
+        fixes, order = fixes.distinct().withColumn("order_", F.xxhash64(*fixes.columns)), "order_"
+    several = cut_lineage(fixes.groupBy("mmsi", "t").agg(F.count("*").alias("n_")).where("n_ > 1")
+                          .select("mmsi", "t", F.lit(True).alias("several_")))
+    marked = cut_lineage(fixes.join(several, ["mmsi", "t"], "left").withColumn(
+        "several_", F.coalesce("several_", F.lit(False))))
+
+    def near(*cols: str) -> DataFrame:
+        return origins.ais_near_origin(marked.select("mmsi", "t", "lat", "lon", "several_", *cols), summary.select(
+            "origin_id", "t0", "t1", "lat_min", "lat_max", "lon_min", "lon_max"), lookback_h).drop("t0", "t1")
+
+    narrow = cut_lineage(near(order))
+    ranked = F.row_number().over(Window.partitionBy(*KEYS, "t").orderBy(order))
+    first = cut_lineage(narrow.where("several_").withColumn("rank_", ranked).where("rank_ = 1").drop("rank_"))
+    lost = teleports(narrow.where("not several_").unionByName(first), KEYS)
+    wide = near(*[c for c in fixes.columns if c not in ("mmsi", "t", "lat", "lon")])
+    kept = wide.where("not several_").unionByName(
+        wide.where("several_").join(first.select(*KEYS, "t", order), [*KEYS, "t", order], "left_semi"))
+    return cut_lineage(kept.join(lost, [*KEYS, "t"], "left_anti").drop("several_", "order_"))
 
 
 def attribute(ais: DataFrame, samples: DataFrame, origin: DataFrame, track: DataFrame | None = None,
@@ -39,8 +59,8 @@ def attribute(ais: DataFrame, samples: DataFrame, origin: DataFrame, track: Data
     fixes = ais if canonical else read_ais(ais, keep=[order] if order else None)
     summary = cut_lineage(origins.origin_summary(samples, radius_km=radius_km))
     clean = near_and_clean(fixes, summary, order, lookback_h)
-    cand = cut_lineage(origins.candidate_vessels(clean, radius_km))
-    table = cut_lineage(features.build_feature_table(clean, cand, samples, origin, radius_km))
+    cand = cut_lineage(origins.candidate_vessels(clean, summary, radius_km))
+    table = cut_lineage(features.build_feature_table(clean, cand, samples, origin, summary, radius_km))
     ranked = suspects.score_baseline(table, weights)
     if track is not None:
         match = features.track_match(clean, cand, track, summary)
