@@ -6,14 +6,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions.draws import mix, np_normal_pair
 from ..functions.geo import KM_PER_DEG, km_per_deg_lon, local_km
 from ..session import cut_lineage, spread
 from .quantile import exact_percentiles
+from .tiles import groups
 
 # Share of the wind taken by surface oil, step (s), diffusivity (m2/s),
 # ensemble size, heat bins, smoothing width, track nodes, forecast frames, tide hours.
@@ -275,19 +278,27 @@ def backtrack_grid(particles: DataFrame, grid: DataFrame, dt: float = STEP_S,
 
 
 def choose_forcing(slicks: DataFrame, coverage: DataFrame, prefer: str = "auto") -> DataFrame:
-    """Which currents each slick gets, whether they are real, and why if they are not."""
+    """One row per slick with the currents it gets, whether they are real, and why if they are not.
+
+    ``coverage`` may list any number of grids for a slick: one that holds its place and time is enough, and
+    the reason is that of the grid that comes nearest to it, place before time.
+    """
     if prefer not in ("auto", "analytic", "gridded"):
         raise ValueError(f"unknown forcing {prefer!r}")
-    c = coverage.select("slick_id", *[F.col(x).alias(f"c_{x}") for x in coverage.columns
-                                      if x != "slick_id"])
+    c = coverage.select("slick_id", *[F.col(x).alias(f"c_{x}") for x in coverage.columns if x != "slick_id"])
     here = (F.col("lat0").between(F.col("c_lat_min"), F.col("c_lat_max"))
             & F.col("lon0").between(F.col("c_lon_min"), F.col("c_lon_max")))
     now = F.col("t_detect").between(F.col("c_t_min"), F.col("c_t_max"))
-    use = F.coalesce(here & now, F.lit(False)) & F.lit(prefer != "analytic")
-    why = (F.when(F.lit(prefer == "analytic"), F.lit(None).cast("string")).when(use, F.lit(None).cast("string"))
-           .when(F.col("c_lat_min").isNull(), "no gridded currents for this slick")
-           .when(~here, "place outside the grid").otherwise("time outside the grid"))
-    out = slicks.join(c, "slick_id", "left").select(
+    reach = F.when(F.coalesce(here & now, F.lit(False)), 2).when(F.coalesce(here, F.lit(False)), 1).otherwise(0)
+    # all grids of a slick are folded before its row is met again
+    best = (slicks.select("slick_id", "lat0", "lon0", "t_detect").join(c, "slick_id")
+            .groupBy("slick_id").agg(F.max(reach).alias("reach_")))
+    reach = F.coalesce("reach_", F.lit(-1))
+    use = (reach == 2) & F.lit(prefer != "analytic")
+    why = (F.when(F.lit(prefer == "analytic") | use, F.lit(None).cast("string"))
+           .when(reach == -1, "no gridded currents for this slick")
+           .when(reach == 0, "place outside the grid").otherwise("time outside the grid"))
+    out = slicks.join(best, "slick_id", "left").select(
         *slicks.columns, F.when(use, "gridded").otherwise("analytic").alias("forcing_source"),
         use.alias("realistic"), why.alias("fallback_reason"))
     if prefer == "gridded":
@@ -324,34 +335,48 @@ def gaussian_kernel(sigma: float = SIGMA) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def _smooth(cells: DataFrame, key: str, axis: str, bins: int, sigma: float) -> DataFrame:
-    """One-dimensional Gaussian smoothing; the edge is mirrored and repeated."""
+def smoothing_matrix(bins: int, sigma: float) -> np.ndarray:
+    """Gaussian smoothing of a line of ``bins`` values as a matrix; the edge is mirrored and repeated."""
     taps = gaussian_kernel(sigma)
     r = len(taps) // 2
-    other = "j" if axis == "i" else "i"
-    # A cell reaches the targets around itself and around its two mirror images.
-    images = F.array(F.col(axis), -F.col(axis) - 1, F.lit(2 * bins - 1) - F.col(axis))
-    hits = F.flatten(F.transform(images, lambda p: F.transform(
-        F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in
-                  zip(range(-r, r + 1), taps)]),
-        lambda x: F.struct((p + x["k"]).alias("to"), x["w"].alias("w")))))
-    return (cells.withColumn("h", F.explode(F.filter(hits, lambda x: x["to"].between(0, bins - 1))))
-            .groupBy(key, F.col("h.to").alias(axis), other)
-            .agg(F.sum(F.col("v") * F.col("h.w")).alias("v")))
+    out, source = np.zeros((bins, bins)), np.arange(bins)
+    for image in (source, -source - 1, 2 * bins - 1 - source):
+        for k, w in zip(range(-r, r + 1), taps):
+            to = image + k
+            ok = (to >= 0) & (to < bins)
+            np.add.at(out, (to[ok], source[ok]), w)
+    return out
 
 
 def heatmap(particles: DataFrame, key: str = "slick_id", bins: int = HEAT_BINS,
             sigma: float = SIGMA) -> DataFrame:
-    """Cells (key, i, j, v) that the smoothed density reaches, peak 1; absent cells are 0."""
+    """Cells (key, i, j, v) that the smoothed density reaches, peak 1; absent cells are 0.
+
+    Particles are counted by cell before they are shuffled. A map has at most bins x bins cells, so one
+    is an array, and both passes of the separable smoothing are products of it with one matrix.
+    """
     idx = lambda c: F.least(F.floor((F.col(c) - F.col(f"{c}_min")) /
                                     (F.col(f"{c}_max") - F.col(f"{c}_min")) * bins),
                             F.lit(bins - 1)).cast("int")
     cells = (particles.join(heat_bounds(particles, key), key)
              .groupBy(key, idx("lat").alias("i"), idx("lon").alias("j"))
              .agg(F.count("*").cast("double").alias("v")))
-    smooth = _smooth(_smooth(cells, key, "i", bins, sigma), key, "j", bins, sigma)
-    # A heat map has at most bins x bins cells, so the window is bounded.
-    return smooth.withColumn("v", F.col("v") / F.max("v").over(Window.partitionBy(key)))
+    kind = to_arrow_type(cells.schema[key].dataType)
+
+    def smooth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = smoothing_matrix(bins, sigma)
+        for _, parts in groups(batches, 1):
+            i, j, v = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (1, 2, 3))
+            m = np.zeros((bins, bins))
+            m[i, j] = v
+            m = line @ m @ line.T
+            i, j = np.nonzero(m)
+            name = pa.array([parts[0].column(0)[0].as_py()] * len(i), kind)
+            yield pa.RecordBatch.from_arrays(
+                [name, pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(m[i, j] / m.max())], [key, "i", "j", "v"])
+
+    return (cells.repartition(key).sortWithinPartitions(key)
+            .mapInArrow(smooth, f"{key} {dict(cells.dtypes)[key]}, i int, j int, v double"))
 
 
 def heat_cells_visible(cells: DataFrame, bounds: DataFrame, key: str = "slick_id",
@@ -403,11 +428,16 @@ def time_window(slicks: DataFrame) -> DataFrame:
 
 def hindcast(slicks: DataFrame, footprint: DataFrame, field: DataFrame | None = None,
              grid: DataFrame | None = None, n_particles: int = N_PARTICLES,
-             diffusion: float = DIFFUSION, velocity: Callable | None = None) -> dict[str, DataFrame]:
+             diffusion: float = DIFFUSION, velocity: Callable | None = None,
+             coverage: DataFrame | None = None, prefer: str = "auto") -> dict[str, DataFrame]:
     """Backward ensemble of many slicks: particles, spread, heat map, track, window.
 
-    Slicks with a grid run on it, the others on their field row.
+    Slicks with a grid run on it, the others on their field row. With ``coverage`` (see ``choose_forcing``) only
+    slicks that a grid reaches run on it, and ``forcing`` says for each what it ran on and why.
     """
+    if coverage is not None and grid is not None:
+        reached = choose_forcing(slicks, coverage, prefer).where("realistic").select("slick_id")
+        grid = grid.join(reached, "slick_id", "left_semi")
     seeds = spread(seed_particles(expand_ages(slicks, n_particles), footprint),
                    "slick_id", "particle_id")
     parts = []
@@ -421,8 +451,12 @@ def hindcast(slicks: DataFrame, footprint: DataFrame, field: DataFrame | None =
     cloud = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     # The cloud is read by four aggregates: written once rather than integrated four times.
     cloud = cut_lineage(cloud)
-    return {"particles": cloud, "spread": particle_spread(cloud), "bounds": heat_bounds(cloud),
-            "heat": heatmap(cloud), "track": origin_track(cloud), "window": time_window(slicks)}
+    out = {"particles": cloud, "spread": particle_spread(cloud), "bounds": heat_bounds(cloud),
+           "heat": heatmap(cloud), "track": origin_track(cloud), "window": time_window(slicks)}
+    if coverage is not None:
+        out["forcing"] = choose_forcing(slicks, coverage, prefer).select(
+            "slick_id", "forcing_source", "realistic", "fallback_reason")
+    return out
 
 
 def origin_report(h: dict[str, DataFrame], slicks: DataFrame, bins: int = HEAT_BINS) -> DataFrame:
@@ -438,7 +472,8 @@ def origin_report(h: dict[str, DataFrame], slicks: DataFrame, bins: int = HEAT_B
         "node", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), "t"))).alias("track"))
     b = h["bounds"].select(key, *[F.round(c, 5).alias(c) for c in
                                   ("lat_min", "lat_max", "lon_min", "lon_max")])
-    return (h["spread"].withColumn("spread_km", F.round("spread_km", 2))
+    out = h["spread"].join(h["forcing"], key, "left") if "forcing" in h else h["spread"]
+    return (out.withColumn("spread_km", F.round("spread_km", 2))
             .join(b, key).join(cells, key).join(track, key, "left").join(h["window"], key)
             .join(slicks.select(key, F.col("bearing").alias("slick_bearing_deg")), key)
             .withColumn("bins", F.lit(bins)))

@@ -1,10 +1,10 @@
 """Quality of masks, detections, screens and rankings."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .components import TILE, label_regions
 from .quantile import exact_percentiles
 from .raster import CLASSES, LOOK_ALIKE, OIL
@@ -96,24 +96,22 @@ def pixel_overlap(truth: DataFrame, pred: DataFrame) -> DataFrame:
 def match_instances(overlap: DataFrame, min_iou: float = MATCH_IOU) -> DataFrame:
     """(scene_id, g, p, iou): truths take, in order, the best prediction still free.
 
-    Pairs below the limit never match and are dropped first; regions of a mask are
-    disjoint, so at most ten truths are left per prediction and the group is a short
-    list of regions.
+    By rounds of proposals, for all scenes at once: every truth proposes to the best prediction that has not turned
+    it down, and a prediction keeps the lowest truth and turns the others down for good. When none is
+    turned down, each truth holds what it would have got in order. Pairs below the limit never match and are dropped
+    first; regions of a mask are disjoint, so at most ten truths are left per prediction.
     """
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        ordered = pdf.sort_values(["g", "iou", "p"], ascending=[True, False, True])
-        for g, options in ordered.groupby("g", sort=True):
-            for p, iou in zip(options["p"], options["iou"]):
-                if p not in used:
-                    used.add(p)
-                    rows.append((pdf["scene_id"].iloc[0], g, p, iou))
-                    break
-        return pd.DataFrame(rows, columns=["scene_id", "g", "p", "iou"])
-
-    near = (overlap.withColumn("iou", F.col("inter") / F.col("union_px"))
-            .where(F.col("iou") >= min_iou).select("scene_id", "g", "p", "iou"))
-    return near.groupBy("scene_id").applyInPandas(pick, "scene_id long, g long, p long, iou double")
+    left = cut_lineage(overlap.withColumn("iou", F.col("inter") / F.col("union_px"))
+                       .where(F.col("iou") >= min_iou).select("scene_id", "g", "p", "iou"))
+    while True:
+        top = left.groupBy("scene_id", "g").agg(F.max("iou").alias("iou"))
+        asked = (left.join(top, ["scene_id", "g", "iou"]).groupBy("scene_id", "g", "iou").agg(F.min("p").alias("p")))
+        asked = cut_lineage(asked.select("scene_id", "g", "p", "iou"))
+        held = asked.groupBy("scene_id", "p").agg(F.min("g").alias("keeps"))
+        refused = cut_lineage(asked.join(held, ["scene_id", "p"]).where("g > keeps").select("scene_id", "g", "p"))
+        if refused.isEmpty():
+            return asked
+        left = cut_lineage(left.join(refused, ["scene_id", "g", "p"], "left_anti"))
 
 
 def unmatched(truth: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
@@ -140,16 +138,36 @@ def object_metrics(truth: DataFrame, pred: DataFrame, matches: DataFrame) -> Dat
 
 # ---------------------------------------------------------------- screen and ranks
 
-def screen_threshold_table(scored: DataFrame, thresholds: list[float]) -> DataFrame:
-    """(threshold, recall, precision, screened_out) of scores against truth 0/1."""
-    each = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
-    x = scored.select("score", "truth", each.alias("threshold"))
-    hit, pos = F.col("score") >= F.col("threshold"), F.col("truth") == 1
-    n = lambda c: F.count_if(c)
+def score_histogram(scored: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(bin, pos, neg): rows with truth 1 and others, by how many thresholds their score reaches.
+
+    One pass for any number of thresholds. Histograms of several runs over the same thresholds merge by adding
+    them up.
+    """
+    marks = F.array(*[F.lit(float(t)) for t in sorted(set(thresholds))])
+    reached = F.coalesce(F.size(F.filter(marks, lambda t: F.col("score") >= t)), F.lit(0))
+    pos = F.coalesce(F.col("truth") == 1, F.lit(False))
+    return scored.groupBy(reached.alias("bin")).agg(F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg"))
+
+
+def thresholds_from(histogram: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, recall, precision, screened_out) from one histogram, or several in one table."""
+    marks = sorted(set(thresholds))
+    # at most one row a threshold and one more, so each row may add to all thresholds that it reaches
+    at = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("k"), F.lit(float(t)).alias("threshold")) for k, t in enumerate(marks)]))
+    x = histogram.groupBy("bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).withColumn("m", at)
+    hit = F.col("bin") >= F.col("m.k")
+    of = lambda c: F.sum(F.when(hit, F.col(c)).otherwise(0))
     ratio = lambda a, b: F.when(b > 0, a / b)
-    return x.groupBy("threshold").agg(
-        ratio(n(hit & pos), n(pos)).alias("recall"), ratio(n(hit & pos), n(hit)).alias("precision"),
-        (n(~hit) / F.count("*")).alias("screened_out"))
+    all_ = F.sum(F.col("pos") + F.col("neg"))
+    return x.groupBy(F.col("m.threshold").alias("threshold")).agg(
+        ratio(of("pos"), F.sum("pos")).alias("recall"), ratio(of("pos"), of("pos") + of("neg")).alias("precision"),
+        ((all_ - of("pos") - of("neg")) / all_).alias("screened_out"))
+
+
+def screen_threshold_table(scored: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, recall, precision, screened_out) of scores against truth 0/1; a null score reaches none."""
+    return thresholds_from(score_histogram(scored, thresholds), thresholds)
 
 
 def case_truth_rank(suspects: DataFrame, truth: DataFrame) -> DataFrame:

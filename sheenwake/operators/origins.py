@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import normal_pair
 from ..functions.geo import KM_PER_DEG, from_local_km, haversine_km, km_per_deg_lon
+from ..session import cut_lineage
 from .quantile import exact_percentiles
 
 # Search radius (km), box padding beyond it (km), hours looked back and
@@ -15,6 +16,8 @@ LOOKBACK_H, FORWARD_H, CANDIDATE_H = 12.0, 2.0, 6.0
 MIN_FIXES = 2
 
 CELL_DEG, CELL_S = 1.0, 6 * 3600.0
+#: Fixes of a cell that meet the boxes around it in one task.
+CROWD = 100_000
 
 
 def origin_summary(samples: DataFrame, pad_km: float | None = None,
@@ -46,14 +49,16 @@ def _cells(lo: Column, hi: Column, size: float) -> Column:
 
 
 def ais_near_origin(fixes: DataFrame, summary: DataFrame, lookback_h: float = LOOKBACK_H,
-                    forward_h: float = FORWARD_H, salts: int = 4) -> DataFrame:
+                    forward_h: float = FORWARD_H, crowd: int = CROWD) -> DataFrame:
     """Fixes inside each origin's padded box and loading range; one row per (fix, origin).
 
     A range join by cells: each origin lists the (lat, lon, time) cells its box touches
     and a fix falls into exactly one, so the join is an equality and the exact test runs
-    on few pairs. A busy port fills one cell, so fixes are spread over ``salts`` copies
-    of the (small) origin side. ``summary`` columns stay on the result.
+    on few pairs. Fixes are counted by cell first: a busy port, a cell of more than ``crowd`` of them, is
+    split into parts, to each of which the boxes that touch it are copied; a quiet one is not. ``summary``
+    columns stay on the result.
     """
+    cell = ["cy", "cx", "ct"]
     boxes = summary.withColumns({"load0": F.col("t0") - lookback_h * 3600.0,
                                  "load1": F.col("t1") + forward_h * 3600.0})
     keyed = (boxes
@@ -61,17 +66,23 @@ def ais_near_origin(fixes: DataFrame, summary: DataFrame, lookback_h: float = LO
                                       F.least("lat_max", F.lit(90.0)), CELL_DEG))
              .withColumn("cx", _cells(F.greatest("lon_min", F.lit(-180.0)),
                                       F.least("lon_max", F.lit(180.0)), CELL_DEG))
-             .withColumn("ct", _cells(F.col("load0"), F.col("load1"), CELL_S))
-             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+             .withColumn("ct", _cells(F.col("load0"), F.col("load1"), CELL_S)))
     probe = fixes.withColumns({
         "cy": F.floor(F.col("lat") / CELL_DEG), "cx": F.floor(F.col("lon") / CELL_DEG),
-        "ct": F.floor(F.col("t") / CELL_S),
-        "salt": F.pmod(F.hash("mmsi", "t"), F.lit(salts))})
-    return (probe.join(keyed, ["cy", "cx", "ct", "salt"])
+        "ct": F.floor(F.col("t") / CELL_S)})
+    busy = cut_lineage(probe.groupBy(*cell).agg(F.count("*").alias("n_")).where(F.col("n_") > crowd)
+                       .select(*cell, F.ceil(F.col("n_") / crowd).alias("parts")))
+    one = F.lit(1).cast("bigint")
+    # at most one cell in ``crowd`` fixes is busy
+    probe = (probe.join(F.broadcast(busy), cell, "left")
+             .withColumn("part", F.pmod(F.xxhash64("mmsi", "t"), F.coalesce("parts", one))).drop("parts"))
+    keyed = (keyed.join(F.broadcast(busy), cell, "left")
+             .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", one) - 1))).drop("parts"))
+    return (probe.join(keyed, [*cell, "part"])
             .where(F.col("lat").between(F.col("lat_min"), F.col("lat_max"))
                    & F.col("lon").between(F.col("lon_min"), F.col("lon_max"))
                    & F.col("t").between(F.col("load0"), F.col("load1")))
-            .drop("cy", "cx", "ct", "salt", "load0", "load1",
+            .drop(*cell, "part", "load0", "load1",
                   "lat_min", "lat_max", "lon_min", "lon_max"))
 
 

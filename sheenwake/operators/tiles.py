@@ -30,7 +30,7 @@ def _scene_arrow(df: DataFrame) -> pa.DataType:
     return to_arrow_type(df.schema["scene_id"].dataType)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], n_keys: int):
+def groups(batches: Iterator[pa.RecordBatch], n_keys: int):
     """(keys, slices of batches) of each stretch of rows that agree in the first columns, over batch borders too."""
     at, parts = None, []
     for batch in batches:
@@ -112,7 +112,7 @@ def block_map(px: DataFrame, work: Callable, block: int = BLOCK, halo: int = 0,
 
     def run(batches):
         def rows():
-            for (scene, br, bc), parts in _groups(batches, 3):
+            for (scene, br, bc), parts in groups(batches, 3):
                 core = int(br) * block, int(bc) * block, (int(br) + 1) * block, (int(bc) + 1) * block
                 made = work(*_grid(parts, channels), core)
                 if made is not None:
@@ -218,7 +218,7 @@ def cut_tiles(blocks: DataFrame, scenes: DataFrame, tile: int, overlap: int) ->
 
     def join(batches):
         def rows():
-            for (_, ty, tx), parts in _groups(batches, 3):
+            for (_, ty, tx), parts in groups(batches, 3):
                 t = parts[0].column(3)[0].as_py()
                 out = None
                 for p in parts:
@@ -265,7 +265,7 @@ def blend(tiles: DataFrame, floor: float, block: int = BLOCK) -> DataFrame:
     def add(batches):
         def rows():
             weights: dict[int, np.ndarray] = {}
-            for (_, br, bc), parts in _groups(batches, 3):
+            for (_, br, bc), parts in groups(batches, 3):
                 total = mass = None
                 high = [0, 0]
                 low = [1 << 30, 1 << 30]

@@ -98,6 +98,10 @@ def test_forcing_choice(spark):
                                 "slick_id long, lat_min double, lat_max double, lon_min double, lon_max double, t_min double, t_max double")
     got = {r.slick_id: (r.forcing_source, r.realistic) for r in drift.choose_forcing(s, cov).collect()}
     assert got == {1: ("gridded", True), 2: ("analytic", False), 3: ("analytic", False)}
+    # several grids for a slick: one row, and the best of them decides
+    more = drift.choose_forcing(s, cov.union(cov).union(cov.withColumn("lat_min", F.lit(80.0)).withColumn("lat_max", F.lit(81.0))))
+    assert sorted(tuple(r) for r in more.select("slick_id", "realistic", "fallback_reason").collect()) == sorted(
+        tuple(r) for r in drift.choose_forcing(s, cov).select("slick_id", "realistic", "fallback_reason").collect())
     assert {r.forcing_source for r in drift.choose_forcing(s, cov, "analytic").collect()} == {"analytic"}
     with pytest.raises(Exception, match="no gridded currents"):
         drift.choose_forcing(s, cov, "gridded").collect()

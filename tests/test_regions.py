@@ -236,6 +236,35 @@ def test_palette_survives_drift_and_resize_invents_nothing(spark):
     assert len(small) == 100 and set(small.cls) <= set(a.ravel())
 
 
+def test_proposals_match_in_order(spark):
+    rng = np.random.default_rng(12)
+    rows = [(s, g, p, int(rng.integers(1, 10)), 10) for s in range(6) for g in range(9) for p in range(9) if rng.random() < .5]
+    want = set()
+    for s in range(6):
+        used = set()
+        for g in range(9):
+            free = sorted(((-i / u, p) for a, b, p, i, u in rows if (a, b) == (s, g) and p not in used and i / u >= .1))
+            if free:
+                used.add(free[0][1])
+                want.add((s, g, free[0][1]))
+    df = spark.createDataFrame(rows, "scene_id long, g long, p long, inter long, union_px long")
+    assert {(r.scene_id, r.g, r.p) for r in metrics.match_instances(df).collect()} == want
+    assert metrics.match_instances(df.limit(0)).count() == 0
+
+
+def test_histograms_of_runs_merge(spark):
+    rows = [(float(k) / 97, int(k % 3 == 0)) for k in range(97)] + [(None, 1), (.5, 0)]
+    df = spark.createDataFrame(rows, "score double, truth int")
+    marks = [.5, .25, .9, 0.0]
+    got = {r.threshold: r for r in metrics.screen_threshold_table(df, marks).collect()}
+    for t in marks:
+        hit = [y for s, y in rows if s is not None and s >= t]
+        assert got[t].recall == sum(hit) / sum(y for _, y in rows) and got[t].precision == sum(hit) / len(hit)
+        assert got[t].screened_out == pytest.approx(1 - len(hit) / len(rows))
+    parts = metrics.score_histogram(df.where("score < 0.4"), marks).union(metrics.score_histogram(df.where("score is null or score >= 0.4"), marks))
+    assert {r.threshold: r for r in metrics.thresholds_from(parts, marks).collect()} == got
+
+
 def test_all_look_alike_called_oil(spark):
     t, p = {1: np.full((8, 8), 2)}, {1: np.full((8, 8), 1)}
     cm = metrics.confusion_matrix(table(spark, t), table(spark, p))

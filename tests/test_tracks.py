@@ -262,6 +262,16 @@ def test_samples_meet_each_vessel_once(spark, every_s):
     assert got.count() == 300 * 5 and got.where("d is null").count() == 0
 
 
+def test_a_busy_cell_is_split_and_a_quiet_one_is_not(spark):
+    rows = [(m, 1.7e9 + i, 18.55 + 1e-6 * i, 71.55) for m in range(4) for i in range(500)] + [(9, 1.7e9 + i, 19.2, 71.5) for i in range(50)]
+    samples, _ = cloud(spark)
+    s = origins.origin_summary(samples)
+    plain = origins.ais_near_origin(fixes(spark, rows), s)
+    split = origins.ais_near_origin(fixes(spark, rows), s, crowd=100)
+    key = lambda df: sorted((r.mmsi, r.t) for r in df.select("mmsi", "t").collect())
+    assert key(plain) == key(split) and len(key(split)) == 2050
+
+
 def test_perpendicular_scores_below_aligned(spark):
     row = {n: 0.0 for n in FEATURES} | dict(min_dist_km=1.0, mean_dist_km=1.0, prox_score=.8, time_gap_min=1.0)
     both = [(1, m, "x", 80.0, 200.0, 100, *[dict(row, course_align=c)[n] for n in FEATURES]) for m, c in ((1, 1.0), (2, 0.0))]
