@@ -7,7 +7,9 @@ one threshold fits items of any length. All items at or above it are retrieved;
 
 A retrieved item counts only when both its question and its answer are found in the passage, by the
 share of their word 3-grams. The question is the text up to its last question mark, the answer what
-follows; without a mark, or with nothing after it, the two halves of the words.
+follows; without a mark, or with nothing after it, the two halves of the words. An item of under
+``LEAST_WORDS`` words is too short to be weighed: it is found where all its words stand in sequence, with score
+and shares 1. An item without words is found nowhere.
 
 Index shards are broadcast. A shard holds at most ``SHARD_CHARS`` characters of items, and there are as
 many shards as the items need, each with its own pass over the documents.
@@ -23,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType
 
 from .common import kept, raw
@@ -95,7 +98,7 @@ class Index:
     """Inverted index of test items given as (id, text).
 
     n_items, mean_words and frequency (items holding a word) describe all shards together.
-    Items under ``LEAST_WORDS`` words say too little to be told from chance and are left out.
+    Items under ``LEAST_WORDS`` words are kept by the code of their words in sequence, apart from the postings.
     """
 
     def __init__(self, items: list[tuple], n_items: int, mean_words: float, frequency: dict[bytes, int],
@@ -104,10 +107,13 @@ class Index:
         self.ids, self.parts, self.longest = [], [], LEAST_WORDS
         self.numbers: dict[bytes, int] = {}
         self.lists: list[Postings] = []
+        short: list[tuple[object, list[bytes]]] = []
         for item_id, text in items:
             question, answer = split_item(text)
             words = question + answer
             if len(words) < LEAST_WORDS:
+                if words:
+                    short.append((item_id, words))
                 continue
             counts: dict[bytes, int] = defaultdict(int)
             for w in words:
@@ -127,6 +133,11 @@ class Index:
             self.longest = max(self.longest, len(words))
         for p in self.lists:
             p.close()
+        self.short: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+        for item_id, words in short:  # their words get numbers above those with postings
+            row = np.array([[self.numbers.setdefault(w, len(self.numbers)) for w in words]])
+            self.short[len(words)][int(self.code(row)[0])].append(item_id)
+        self.short = {n: dict(codes) for n, codes in self.short.items()}
         self._essential()
 
     def _essential(self) -> None:
@@ -137,7 +148,7 @@ class Index:
         essential words lie in flat arrays.
         """
         self.spare = np.zeros(len(self.ids))
-        essential = np.zeros(len(self.lists) + 2, bool)
+        essential = np.zeros(len(self.numbers) + 2, bool)  # -1 and -2 too
         for n in sorted(range(len(self.lists)), key=lambda n: (-len(self.lists[n].items), n)):
             p = self.lists[n]
             if (self.spare[p.items] + p.weights).max() > 0.7 * self.threshold:
@@ -236,17 +247,28 @@ class Index:
     def search(self, numbers: np.ndarray, overlap: float = OVERLAP) -> list[tuple]:
         """(item id, score, question share, answer share) of the verified items of a text, best passage each."""
         numbers = numbers[numbers != -2]
+        found = self.said(numbers) if self.short else []
         if not len(numbers) or not self.ids:
-            return []
+            return found
         spans, best = self.windows(len(numbers)), {}
         for k in self.worth(numbers).tolist():
             passage = numbers[slice(*spans[k])]
-            query = np.unique(passage[passage >= 0])
+            query = np.unique(passage[(passage >= 0) & (passage < len(self.lists))])
             for item, score in self.retrieve(query.tolist()):
                 shares = [self.share(passage, part) for part in self.parts[item]]
                 if min(shares) >= overlap and (item not in best or (score, *shares) > best[item]):
                     best[item] = (score, *shares)
-        return [(self.ids[i], *v) for i, v in sorted(best.items())]
+        return [(self.ids[i], *v) for i, v in sorted(best.items())] + found
+
+    def said(self, numbers: np.ndarray) -> list[tuple]:
+        """The short items whose words stand in the text in sequence."""
+        out = []
+        for n, codes in sorted(self.short.items()):
+            if len(numbers) >= n:
+                rows = np.lib.stride_tricks.sliding_window_view(numbers, n)
+                there = np.intersect1d(self.code(rows[(rows >= 0).all(1)]), np.fromiter(codes, np.int64, len(codes)))
+                out += [(i, 1.0, 1.0, 1.0) for c in there.tolist() for i in codes[c]]
+        return out
 
     @staticmethod
     def share(passage: np.ndarray, part: np.ndarray) -> float:
@@ -294,11 +316,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per (document, test item) found: ids, score, question_overlap, answer_overlap.
 
     Every window of every whole text is a query. Null or empty texts and null items match nothing; a
-    repeated document or item repeats its rows; an item without id keeps a null id.
+    repeated document or item repeats its rows; an item without id keeps a null id. Ids may be of any type.
     """
     kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     spark, found = docs.sparkSession, None
-    arrow_item = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
+    arrow_item = to_arrow_type(benchmark.schema[item_col].dataType)
     for shard in index_shards(benchmark, item_col, item_text_col, shard_chars):
         held = spark.sparkContext.broadcast(shard)
 
