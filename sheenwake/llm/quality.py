@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from ..session import cut_lineage
 from .common import forget, raw, remainder
 
 #: Marks counted on their own, and those counted together.
@@ -85,32 +86,47 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """Share of positives among unlabelled rows, by the best score cut on rows not fitted to."""
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, above=None) -> float:
+    """Share of positives among unlabelled rows, by the best score cut on rows not fitted to.
+
+    ``above(weights, cuts)`` counts all unlabelled rows and those with a score over each cut; without it, the half of
+    ``unl`` that is not fitted to stands for them.
+    """
     fit_p, fit_u, p, u = pos[::2], unl[::2], pos[1::2], unl[1::2]
     if min(map(len, (fit_p, fit_u, p, u))) < 10:
         return 0.5
     w = _descend(lambda w: (-fit_p.T @ _sigmoid(-(fit_p @ w)) / len(fit_p)
                             + fit_u.T @ _sigmoid(fit_u @ w) / len(fit_u)) / 2, pos.shape[1], 100)
-    sp, su = np.sort(p @ w), np.sort(u @ w)
+    sp = np.sort(p @ w)
     cuts = np.quantile(sp, np.linspace(0, 0.9, 91))
     qp = 1 - np.searchsorted(sp, cuts) / len(sp)
-    qu = 1 - np.searchsorted(su, cuts) / len(su)
-    slack = np.sqrt(np.log(20) / 2) * (len(sp) ** -0.5 + len(su) ** -0.5)
+    n, over = above(w, cuts) if above else (len(u), _over(u @ w, cuts))
+    qu = over / n
+    slack = np.sqrt(np.log(20) / 2) * (len(sp) ** -0.5 + n ** -0.5)
     k = int(np.argmin((qu + slack) / qp))
     return float(np.clip(qu[k] / qp[k], 0.02, 0.98))
 
 
-def fit_arrays(pos: np.ndarray, unl: np.ndarray, prior: float | None = None) -> QualityModel:
-    """Model from feature rows of positives and of unlabelled texts; no rows: every score is the prior."""
+def _over(scores: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many scores reach each cut."""
+    return len(scores) - np.searchsorted(np.sort(scores), cuts)
+
+
+def fit_arrays(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, moments=None, above=None) -> QualityModel:
+    """Model from feature rows of positives and of unlabelled texts; no rows: every score is the prior.
+
+    ``moments``, mean and deviation of the features, and ``above`` (see ``estimate_prior``; it gets rows as they
+    are) describe all unlabelled rows where those given are a part of them.
+    """
     both = np.vstack([pos, unl]) if len(pos) + len(unl) else np.zeros((1, N_FEATURES))
-    mean, scale = both.mean(0), both.std(0) + 1e-3
+    mean, scale = moments or (both.mean(0), both.std(0) + 1e-3)
     if not len(pos) or not len(unl):
         w = np.zeros(1 + 2 * N_FEATURES)
         w[0] = 4.0 if prior is None else np.log(prior / (1 - prior))
         return QualityModel(mean, scale, w, prior or _sigmoid(np.array(4.0)).item())
     p, u = design(pos, mean, scale), design(unl, mean, scale)
-    prior = estimate_prior(p, u) if prior is None else prior
+    if prior is None:
+        prior = estimate_prior(p, u, above and (lambda w, cuts: above(mean, scale, w, cuts)))
 
     def gradient(w):
         gp, gu = p @ w, u @ w
@@ -127,21 +143,40 @@ def _features(text: pa.Array) -> pa.Array:
     return pa.array([features(t) for t in raw(text)], pa.list_(pa.float64()))
 
 
-def _sample(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Feature rows of the documents with the given (bounded) ids."""
-    rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-            .join(F.broadcast(ids), "_id", "left_semi")
-            .select("_id", _features(F.col("_text")).alias("x")).collect())
-    rows.sort(key=lambda r: (r["_id"], r["x"]))
-    return np.array([r["x"] for r in rows]).reshape(-1, N_FEATURES)
+def _sample(rows: DataFrame, ids: DataFrame) -> np.ndarray:
+    """Feature rows of the given (bounded) ids."""
+    found = rows.join(F.broadcast(ids), "_id", "left_semi").collect()
+    found.sort(key=lambda r: (r["_id"], r["x"]))
+    return np.array([r["x"] for r in found]).reshape(-1, N_FEATURES)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, N_FEATURES)
+
+
+def _summed(rows: DataFrame, size: int, of) -> np.ndarray:
+    """``of(features)``, an array of ``size`` numbers that may be added up, over all rows."""
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += of(_matrix(batch.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total)], ["k", "q"])
+
+    out = np.zeros(size)
+    for r in rows.select("x").mapInArrow(run, "k int, q double").groupBy("k").agg(F.sum("q").alias("q")).collect():
+        out[r["k"]] = r["q"]
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", max_rows: int = 10_000) -> QualityModel:
     """Learn from rows whose crc32(id) mod 4 is not 2.
 
-    Positives: ids labelled 1 and never 0. Unlabelled: ids of any documents. At most ``max_rows``
-    ids of each kind are used; rows without id, and labels without document, teach nothing.
+    Positives: ids labelled 1 and never 0. Unlabelled: ids of any documents. The gradient steps use at most
+    ``max_rows`` ids of each kind; mean and deviation of the features, and the counts above the score cuts that give the
+    class prior, are those of all unlabelled rows, whose features are written once. Rows without id, and
+    labels without document, teach nothing.
     """
     def bounded(ids):
         return (ids.where(F.col("_id").isNotNull()).distinct()
@@ -150,9 +185,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     train = remainder(id_col, 4) != 2
     good = (labels.where(train & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
             .agg(F.min(label_col).alias("low")).where("low = 1").select("_id"))
-    some = docs.where(train).select(F.col(id_col).alias("_id"))
-    return fit_arrays(_sample(docs, bounded(good), id_col, text_col),
-                      _sample(docs, bounded(some), id_col, text_col))
+    rows = cut_lineage(docs.where(train & F.col(id_col).isNotNull())
+                       .select(F.col(id_col).alias("_id"), _features(F.col(text_col)).alias("x")))
+    # positives are looked up among all documents' rows of these ids, which are training rows themselves
+    pos, unl = _sample(rows, bounded(good)), _sample(rows, bounded(rows.select("_id")))
+    k = N_FEATURES
+    first = _summed(rows, k + 1, lambda x: np.r_[x.sum(0), len(x)])
+    n = max(first[k], 1.0)
+    mean = first[:k] / n
+    scale = np.sqrt(_summed(rows, k, lambda x: ((x - mean) ** 2).sum(0)) / n) + 1e-3
+
+    def above(mean, scale, w, cuts):
+        found = _summed(rows, len(cuts) + 1, lambda x: np.r_[_over(design(x, mean, scale) @ w, cuts), len(x)])
+        return found[-1], found[:-1]
+
+    return fit_arrays(pos, unl, moments=(mean, scale), above=above)
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text",
