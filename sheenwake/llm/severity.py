@@ -25,6 +25,7 @@ GRADES = 4
 MAX_ROWS = 12_000
 MAX_WORDS = 2_048
 LEAST_DOCS = 8
+LEAST_CHI = 40.0
 LIFT = 20
 EDGES = b".,;:!?\"'()[]{}<>|#$%&*+-=/\\@^_`~"
 
@@ -60,7 +61,8 @@ def derive_grades(counts: list[Counter], toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic, 1 + (hits >= 2) + (hits >= 4), 0)
 
 
-def choose_words(counts: list[Counter], toxic: np.ndarray, most: int = MAX_WORDS) -> list[bytes]:
+def choose_words(counts: list[Counter], toxic: np.ndarray, most: int = MAX_WORDS,
+                 least_chi: float = LEAST_CHI) -> list[bytes]:
     """Words by chi-square of presence against toxicity; values under 40 are chance among so many words."""
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     d1, d0 = Counter(), Counter()
@@ -72,20 +74,20 @@ def choose_words(counts: list[Counter], toxic: np.ndarray, most: int = MAX_WORDS
         if a + b < LEAST_DOCS or a + b == n or not n1 or not n0:
             continue
         chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n - a - b) * n1 * n0)
-        if chi >= 40:
+        if chi >= least_chi:
             scored.append((-chi, w))
     return [w for _, w in sorted(scored)[:most]]
 
 
 def fit_rows(texts: list[Counter], toxic: list[bool], steps: int = 400, rate: float = 0.05,
-             decay: float = 1e-3) -> SeverityModel:
+             decay: float = 1e-3, max_words: int = MAX_WORDS, least_chi: float = LEAST_CHI) -> SeverityModel:
     """Model from word counts and toxic flags, by Adam on the log-likelihood; no toxic row: severity near 0."""
     flags = np.array(toxic, bool)
     if not flags.any() or flags.all():
         at = np.array([6.0, 7.0, 8.0]) * (1 if not flags.any() else -1)
         return SeverityModel({}, np.sort(at))
     grades = derive_grades(texts, flags)
-    chosen = choose_words(texts, flags)
+    chosen = choose_words(texts, flags, max_words, least_chi)
     number = {w: k for k, w in enumerate(chosen)}
     row, col, val = [], [], []
     for r, c in enumerate(texts):
@@ -121,11 +123,13 @@ def fit_rows(texts: list[Counter], toxic: list[bool], steps: int = 400, rate: fl
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", max_rows: int = MAX_ROWS) -> SeverityModel:
+        label_col: str = "toxic", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS,
+        least_chi: float = LEAST_CHI) -> SeverityModel:
     """Learn from at most ``max_rows`` labelled texts whose crc32(id) mod 4 is not 2, in the order of a hash.
 
     Half of them are toxic ones, as far as there are. An id labelled both ways counts as toxic; null labels, null
-    ids and labels without a document teach nothing; with no labels at all every severity is near 0.
+    ids and labels without a document teach nothing; with no labels at all every severity is near 0. The dictionary
+    has at most ``max_words`` words, those of the highest chi-square from ``least_chi`` on: a model has a bounded size.
     """
     known = (labels.where((remainder(id_col, 4) != 2) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
              .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_toxic")))
@@ -146,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for r in found:
         texts.append(Counter(dict(zip(map(bytes, r["words"]), r["counts"]))))
         toxic.append(r["toxic"] == 1)
-    return fit_rows(texts, toxic)
+    return fit_rows(texts, toxic, max_words=max_words, least_chi=least_chi)
 
 
 def score(docs: DataFrame, model: SeverityModel, text_col: str = "text") -> DataFrame:

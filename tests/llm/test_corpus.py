@@ -126,7 +126,7 @@ def test_decontamination(spark, odd, docs):
                                    (52, "filler " * 5000 + "seven green bottles were standing on a very long wall today", "x")], odd.schema)
     for chars in (8_000_000, 60):
         got = decontaminate.contaminated(odd.union(extra), bench, shard_chars=chars).collect()
-        assert sorted((r["doc_id"], r["item_id"]) for r in got if r["item_id"]) == [(50, 1)]
+        assert sorted((r["doc_id"], r["item_id"]) for r in got if r["item_id"]) == [(5, 3), (50, 1)]
         assert [r["doc_id"] for r in got if r["item_id"] is None] == [52]
     assert decontaminate.contaminated(odd.limit(0), bench).count() == 0
     assert decontaminate.contaminated(odd, bench.limit(0)).count() == 0
@@ -139,6 +139,36 @@ def test_decontamination(spark, odd, docs):
     assert want <= {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, real).collect()}
 
 
+def test_short_items_are_found_in_sequence(spark):
+    bench = spark.createDataFrame([("sum", "2 + 2? four"), ("yes", "Yes."), ("no words", "?!"), ("long", "which of the two roads goes down to the sea? the left one")],
+                                  "item_id string, text string")
+    texts = ["they say 2 + 2 (four) and so on", "2 or 2 or four", "yes", "oh YES, of course", "yesterday", "which of the two roads goes down to the sea? the left one, yes"]
+    docs = spark.createDataFrame([(float(k), t) for k, t in enumerate(texts)], "doc_id double, text string")
+    got = {(r["doc_id"], r["item_id"], round(r["score"], 6)) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(0, "sum", 1), (2, "yes", 1), (3, "yes", 1), (5, "yes", 1), (5, "long", 1)}
+    few = decontaminate.contaminated(docs, bench.where("item_id <> 'long'")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in few} == {x[:2] for x in got if x[1] != "long"}
+
+
+def test_quality_statistics_cover_all_rows(spark):
+    """Mean, deviation and the prior's counts do not change with the bound on gradient rows."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("etaoinshr") for _ in range(n))
+    rows = []
+    for k in range(3000):
+        good = rng.random() < .4
+        text = " ".join(word(rng.randrange(2, 8)) for _ in range(60)) + "." if good else "$$ " + "#".join(word(3) for _ in range(rng.randrange(2, 30)))
+        rows.append((k, text, good))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k, _, good in rows if good and k % 2], "doc_id long, quality int")
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    x = np.array([quality.features(t.encode()) for _, t, _ in train])
+    for bound in (400, 10_000):
+        model = quality.fit(docs, labels, max_rows=bound)
+        assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-3)
+        assert abs(model.prior - .4) < .12
+
+
 def check_model(docs, rows):
     counts = Counter(w for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1
                      for w in [*(t or "").encode().lower().split(), b"\n"])
