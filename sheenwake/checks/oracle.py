@@ -536,6 +536,7 @@ O["flt9_choose_position"] = ([], f"""
       from (select c_custkey as request_id, case when c_custkey%4<>3 then [{_ids}, 'atlantis'][c_custkey%13+1] end as region,
           case when c_custkey%5=0 then (c_custkey*7%200-100)::double end as lat, case when c_custkey%5<2 then (c_custkey*13%360-180)::double end as lon from customer) q
       left join (values {_reg}) g(id, nm, rlat, rlon) on id = region)""")
+O["src8_archive_near_origin"] = (["near"], f"select origin_id, mmsi, ord, t, {rd('lat', 'lon')} from near")
 O["jn1_ais_near_origin"] = (["near"], f"select origin_id, mmsi, ord, t, {rd('lat', 'lon')} from near")
 O["jn2_position_at"] = (["positions"], f"select mmsi, sample_id, covered, {rd('at_lat', 'at_lon')} from positions")
 O["jn3_value_at"] = (["positions"], "select mmsi, sample_id, round(at_sog, 6) as at_sog, at_cog from positions")

@@ -48,6 +48,11 @@ def _cells(lo: Column, hi: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
 
 
+def loading_boxes(summary: DataFrame, lookback_h: float = LOOKBACK_H, forward_h: float = FORWARD_H) -> DataFrame:
+    """``summary`` with the time range (load0, load1) in which reports are loaded."""
+    return summary.withColumns({"load0": F.col("t0") - lookback_h * 3600.0, "load1": F.col("t1") + forward_h * 3600.0})
+
+
 def ais_near_origin(fixes: DataFrame, summary: DataFrame, lookback_h: float = LOOKBACK_H,
                     forward_h: float = FORWARD_H, crowd: int = CROWD) -> DataFrame:
     """Fixes inside each origin's padded box and loading range; one row per (fix, origin).
@@ -59,8 +64,7 @@ def ais_near_origin(fixes: DataFrame, summary: DataFrame, lookback_h: float = LO
     columns stay on the result.
     """
     cell = ["cy", "cx", "ct"]
-    boxes = summary.withColumns({"load0": F.col("t0") - lookback_h * 3600.0,
-                                 "load1": F.col("t1") + forward_h * 3600.0})
+    boxes = loading_boxes(summary, lookback_h, forward_h)
     keyed = (boxes
              .withColumn("cy", _cells(F.greatest("lat_min", F.lit(-90.0)),
                                       F.least("lat_max", F.lit(90.0)), CELL_DEG))

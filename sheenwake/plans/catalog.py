@@ -1,6 +1,7 @@
 """Every operator as a named query over the demo tables."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from ..functions import evidence, geo, slicks as slick_fn, titles, vessels
 from ..functions.slicks import TRANSFORM, place_scene, scene_bounds
 from ..operators import (ais, drift, features, incidents, metrics, origins, raster, regions,
                          requests, suspects, tiles)
+from ..session import _shared_folder as shared_folder
 from ..sources import readers, writers
 from . import jobs
 from .context import DEMO_MODEL, Context, context
@@ -90,6 +92,16 @@ def src7_read_current_grid(c):
         "slick_id", "ti", "yi", "xi", r("u"), r("v"))
 
 
+@query
+def src8_archive_near_origin(c):
+    """An archive is written and read again, only where the origins are."""
+    path = f"{shared_folder(c.spark)}/archive-{uuid.uuid4().hex}"
+    writers.write_ais_archive(c.t("ais"), path)
+    found = readers.read_archive_near(path, origins.loading_boxes(c.once("summary")), c.spark)
+    x = origins.ais_near_origin(found, c.once("summary"))
+    return x.select(*KEYS, "ord", "t", r("lat"), r("lon"))
+
+
 @query
 def snk1_slicks_to_geojson(c):
     f = regions.slicks_to_geojson(c.once("slicks"))

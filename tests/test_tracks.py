@@ -314,6 +314,32 @@ def test_readers_and_archive(spark, tmp_path):
         ais.normalise_ais(df.drop("lat"))
 
 
+def test_archive_opens_only_what_boxes_touch(spark, tmp_path):
+    """Files of other days and tiles are broken after the archive is written, and never opened."""
+    import glob
+
+    from sheenwake.sources.writers import curve_place, tile_of
+
+    t = 1620993600.0
+    places = [(18.6, 71.6), (-90.0, -180.0), (90.0, 180.0), (19.99, 79.99), (20.0, 71.6), (5.0, -120.0)]
+    rows = [(m, t + 86400.0 * d + m, la, lo) for d in range(-2, 3) for m, (la, lo) in enumerate(places)]
+    path = str(tmp_path / "archive")
+    writers.write_ais_archive(fixes(spark, rows), path)
+    s = origins.origin_summary(cloud(spark, t=t)[0])
+    back = readers.read_archive_near(path, origins.loading_boxes(s), spark)
+    files = glob.glob(f"{path}/day=*/tile=*/*.parquet")
+    home = spark.range(1).select(tile_of(F.lit(18.6), F.lit(71.6))).first()[0]
+    far = [f for f in files if not (f"tile={home}/" in f and ("day=2021-05-14" in f or "day=2021-05-13" in f))]
+    assert 0 < len(far) < len(files)
+    for f in far:
+        with open(f, "wb") as out:
+            out.write(b"broken")
+    got = {(r.mmsi, r.t) for r in back.collect()}
+    assert got == {(m, t + 86400.0 * d + m) for d in (-1, 0) for m in (0, 3)}
+    corners = spark.createDataFrame(places, "lat double, lon double").select(tile_of(F.col("lat"), F.col("lon")), curve_place(F.col("lat"), F.col("lon"))).collect()
+    assert corners[1][0] == 0 and corners[2][0] == 18 * 36 - 1 and len({r[1] for r in corners}) == len(places)
+
+
 def test_numbers_as_text(spark):
     from sheenwake.operators.ais import parse_time
 
