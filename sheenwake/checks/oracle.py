@@ -748,6 +748,12 @@ O["tr5_field_velocity"] = (["legs", "field"], f"""
 O["tr8_drop_nonfinite"] = (["current_grid"], "select slick_id, ti, yi, xi, round(u, 6) as lat, round(v, 6) as lon from current_grid where not isnan(u) and not isnan(v)")
 O["tr9_origin_from_drift"] = (["cloud", "slick_drift"], """
     select slick_id as origin_id, particle_id as sample_id, round(lat, 5) as lat, round(lon, 5) as lon, round(t, 2) as t, bearing from cloud join slick_drift using (slick_id)""")
+_east, _north = normals("(site_id%1000003)", "sample_id", "0", 1)
+_late, _ = normals("(site_id%1000003)", "sample_id", "0", 3)
+O["tr7_from_point_cloud"] = (["site"], f"""
+    select site_id as origin_id, sample_id, round(lat0 + {_north}*5e0/111.32e0, 6) as lat,
+      round(lon0 + {_east}*5e0/(111.32e0*cos(radians(lat0))), 6) as lon, round(tc + {_late}*3600e0, 2) as t
+    from site, range(200) r(sample_id)""")
 O["tr10_choose_forcing"] = (["slick_drift", "coverage"], """
     select slick_id, case when ok then 'gridded' else 'analytic' end as forcing_source, ok as realistic,
       case when ok then null when lat_min is null then 'no gridded currents for this slick' when not here then 'place outside the grid' else 'time outside the grid' end as fallback_reason
@@ -765,6 +771,12 @@ O["job3_hindcast_origin"] = (["psum", "win"], f"""
 O["job5_preprocess_scene"] = (["lee"], f"select scene_id, row, col, round(value, 6) as value from ({stretch('lee')})")
 _lg = ["4-12*abs(value-5e-1)", "4-12*value", "3-12*abs(value-3e-1)", "12*value-8", "4-12*abs(value-8e-1)"]
 _zs = " + ".join(f"exp({z})" for z in _lg)
+# The model computes in single precision; a pixel's classes do not depend on its tile, so blending keeps them.
+_lf = ["4::float-12::float*abs(v-0.5::float)", "4::float-12::float*v", "3::float-12::float*abs(v-0.3::float)",
+       "12::float*v-8::float", "4::float-12::float*abs(v-0.8::float)"]
+O["job6_score_tiles"] = (["pixel"], f"""
+    select scene_id, row, col, k::int as cls, round(exp(z[k+1]::double)/list_sum(list_transform(z, lambda x: exp(x::double))), 4) as p
+    from (select scene_id, row, col, [{', '.join(_lf)}] as z from (select *, value::float as v from pixel)), range(5) r(k)""")
 O["udf1_tile_scorer"] = (["pixel"], f"""
     select scene_id, row, col, (list_position(z, list_max(z))-1)::int as cls from (select *, [{', '.join(_lg)}] as z from pixel)""")
 O["udf2_scene_screener"] = (["pixel"], "select scene_id, round(avg(case when value < 3e-1 then 1e0 else 0e0 end), 6) as score from pixel group by scene_id having avg(case when value < 3e-1 then 1e0 else 0e0 end) >= 1e-1")

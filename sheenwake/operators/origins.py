@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.draws import normal_pair
 from ..functions.geo import KM_PER_DEG, from_local_km, haversine_km, km_per_deg_lon
@@ -109,15 +110,21 @@ def candidate_vessels(near: DataFrame, summary: DataFrame, radius_km: float = RA
 
 def from_point_cloud(points: DataFrame, n: int = 200, sigma_km: float = 5.0,
                      sigma_min: float = 60.0) -> DataFrame:
-    """Gaussian samples around point origins (origin_id, lat, lon, t)."""
+    """Gaussian samples around point origins (origin_id, lat, lon, t).
+
+    A point may bring its own spread in columns sigma_km and sigma_min; where these are null or absent, the
+    arguments hold. Draws are keyed by the origin's number (a hash of it, for an id that is no number).
+    """
     s = points.withColumn("sample_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    key = F.hash("origin_id").cast("long")
-    key = F.pmod(key, F.lit(1_000_003))
+    whole = isinstance(points.schema["origin_id"].dataType, IntegralType)
+    key = F.pmod(F.col("origin_id").cast("long") if whole else F.xxhash64("origin_id"), F.lit(1_000_003))
+    own = lambda c, x: F.coalesce(F.col(c), F.lit(float(x))) if c in points.columns else F.lit(float(x))
+    km, minutes = own("sigma_km", sigma_km), own("sigma_min", sigma_min)
     east, north = normal_pair(key, F.col("sample_id"), 0, 1)
     dt, _ = normal_pair(key, F.col("sample_id"), 0, 3)
-    lat, lon = from_local_km(east * sigma_km, north * sigma_km, "lat", "lon")
+    lat, lon = from_local_km(east * km, north * km, "lat", "lon")
     return s.select("origin_id", "sample_id", lat.alias("lat"), lon.alias("lon"),
-                    (F.col("t") + dt * (sigma_min * 60.0)).alias("t"))
+                    (F.col("t") + dt * (minutes * 60.0)).alias("t"))
 
 
 def origin_from_drift(particles: DataFrame, slicks: DataFrame) -> tuple[DataFrame, DataFrame]:

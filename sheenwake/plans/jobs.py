@@ -189,7 +189,10 @@ def investigate(scenes: DataFrame, pixels: DataFrame, ais: DataFrame, field: Dat
 def run_cases(ais: DataFrame, cases: DataFrame, n: int = 400, sigma_km: float = 6.0,
               sigma_min: float = 180.0, radius_km: float = 30.0, order: str | None = None,
               canonical: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Known-vessel cases (origin_id, lat, lon, t, truth_mmsi) -> ranks and their summary."""
+    """Known-vessel cases (origin_id, lat, lon, t, truth_mmsi[, sigma_km, sigma_min]) -> ranks and their summary.
+
+    How well place and time are known differs by case: its own spread goes before the arguments.
+    """
     r = attribute_points(ais, cases, n, sigma_km, sigma_min, radius_km=radius_km, order=order,
                          canonical=canonical)
     ranks = cut_lineage(metrics.case_truth_rank(r["suspects"], cases))
