@@ -28,20 +28,25 @@ from pyspark.sql import functions as F
 
 from .common import kept, raw
 
-#: Where the public model file is mounted on driver and executors; a parameter of every function.
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 800_000
+
+
+def model_file() -> str:
+    """Where the public model file is mounted, on the driver and on executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
 
 
 class Pieces:
     """A compiled model. Only the identity normaliser is supported; others raise ValueError."""
 
-    def __init__(self, path: str = MODEL):
+    def __init__(self, path: str | None = None):
         from sentencepiece import sentencepiece_model_pb2 as form
 
         model = form.ModelProto()
-        with open(path, "rb") as f:
+        with open(path or model_file(), "rb") as f:
             model.ParseFromString(f.read())
         norm = model.normalizer_spec
         if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix:
@@ -165,7 +170,7 @@ class Pieces:
 
     # -- shortest paths ---------------------------------------------------------------------------
 
-    def solve(self, chunks: list[str]) -> list[list[int]]:
+    def solve(self, chunks: list[str]) -> list[np.ndarray]:
         """Shortest path of each chunk (known characters alone), all lattices advanced together."""
         n, size = len(chunks), max(map(len, chunks))
         text = np.zeros((n, size + 1), np.int64)
@@ -195,16 +200,18 @@ class Pieces:
                 r = r[ok]
                 cost[r, end], last[r, end], back[r, end] = total[ok], p[ok], start
         at, out = lengths.copy(), []
-        live = np.arange(n)
+        live, steps = np.arange(n), np.zeros(n, np.int64)
         while len(live):
             out.append((live, last[live, at[live]]))
+            steps[live] += 1
             at[live] = back[live, at[live]]
             live = live[at[live] > 0]
-        paths: list[list[int]] = [[] for _ in chunks]
-        for rows, pieces in reversed(out):
-            for r, p in zip(rows.tolist(), pieces.tolist()):
-                paths[r].append(p)
-        return paths
+        # all paths end to end, each filled from its end
+        ends = np.cumsum(steps)
+        flat = np.empty(int(ends[-1]), np.int32)
+        for k, (rows, pieces) in enumerate(out):
+            flat[ends[rows] - 1 - k] = pieces
+        return [flat[a:b] for a, b in zip((ends - steps).tolist(), ends.tolist())]
 
     def normalise(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
@@ -213,7 +220,7 @@ class Pieces:
         """Packed ids of chunks, those of like length solved together."""
         out, groups = {}, {}
         for c in texts:
-            if self.foreign.match(c):
+            if len(c) == 1 and c not in self.chars:
                 out[c] = array("i", [self.bytes[b] for b in c.encode("utf-8", "replace")]).tobytes()
             else:
                 groups.setdefault(len(c).bit_length(), []).append(c)
@@ -221,7 +228,7 @@ class Pieces:
             for k in range(0, len(group), 20_000):
                 part = group[k:k + 20_000]
                 for c, path in zip(part, self.solve(part)):
-                    out[c] = array("i", path).tobytes()
+                    out[c] = path.tobytes()
         return out
 
     def learn(self, words: set[bytes]) -> None:
@@ -268,12 +275,12 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
-def compiled(path: str) -> Pieces:
+def compiled(path: str | None) -> Pieces:
     """The model of a worker, compiled once."""
     return kept(("pieces", path), lambda: Pieces(path))
 
 
-def encode(docs: DataFrame, text_col: str = "text", out: str = "piece_ids", path: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", out: str = "piece_ids", path: str | None = None) -> DataFrame:
     """``docs`` with the ids of each whole text (a null or empty text: no ids); ``out`` is replaced if there."""
     @F.arrow_udf("array<int>")
     def ids(text: pa.Array) -> pa.Array:
@@ -286,7 +293,7 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "piece_ids", path
     return docs.withColumn(out, ids(F.col(text_col)))
 
 
-def decode(docs: DataFrame, ids_col: str = "piece_ids", out: str = "decoded", path: str = MODEL) -> DataFrame:
+def decode(docs: DataFrame, ids_col: str = "piece_ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """``docs`` with the text of the ids; null or no ids give the empty text."""
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:

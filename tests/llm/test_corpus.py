@@ -306,7 +306,7 @@ def test_severity_order():
 def test_pieces_equal_the_library(docs):
     import sentencepiece
 
-    own, theirs = sentencepiece_fst.Pieces(), sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.MODEL)
+    own, theirs = sentencepiece_fst.Pieces(), sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.model_file())
     texts = [r["text"] or "" for r in docs.collect()] + [t or "" for _, t in ODD]
     texts += ["", " ", "  a  b ", "x" * 900, "\n\n", "a@b.c#d 12345 ÀÉ \U0001d11e", "aaaaaaaaaaaa bbbb"]
     for t, ids in zip(texts, own.encode([t.encode() for t in texts])):
