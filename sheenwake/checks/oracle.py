@@ -481,11 +481,12 @@ O["src7_read_current_grid"] = (["grid"], f"select slick_id, ti, yi, xi, {rd('u',
 O["snk1_slicks_to_geojson"] = (["ranked", "scenes"], """
     select scene_id, slick_no, 'Point' as geometry, round(gt0 + col_c*gt1, 5) as x, round(gt3 + row_c*gt5, 5) as y, area_px, 'geographic' as space
     from ranked join scenes using (scene_id)""")
-O["snk2_suspects_report"] = (["susp", "match", "cfix"], """
+O["snk2_suspects_report"] = (["susp", "match", "cfix", "counts"], """
     select origin_id, rank, mmsi, name, round(attribution_pct, 2) as attribution_pct, vtype::int as vessel_type, round(length, 1) as length_m,
-      round(min_dist_km, 2) as min_dist_km, round(time_gap_min, 1) as time_gap_min, round(track_match, 3) as track_match, evidence, n_track
-    from susp join match using (origin_id, mmsi) join (
-      select origin_id, mmsi, count(*) as n_track from (select *, row_number() over (partition by origin_id, mmsi order by t) - 1 as k,
+      round(min_dist_km, 2) as min_dist_km, round(time_gap_min, 1) as time_gap_min, round(track_match, 3) as track_match, evidence,
+      'baseline' as scorer, n_screened as n_vessels_screened, n_candidates, n_track, track_t, track_lat, track_lon
+    from susp join match using (origin_id, mmsi) join counts using (origin_id) join (
+      select origin_id, mmsi, count(*) as n_track, round(sum(t), 1) as track_t, round(sum(round(lat, 5)), 3) as track_lat, round(sum(round(lon, 5)), 3) as track_lon from (select *, row_number() over (partition by origin_id, mmsi order by t) - 1 as k,
         greatest(count(*) over (partition by origin_id, mmsi) // 400, 1) as step from cfix) where k % step = 0 group by all) using (origin_id, mmsi)
     where rank <= 10""")
 O["snk3_origin_report"] = (["psum", "hb", "heat", "ptrack", "win"], f"""

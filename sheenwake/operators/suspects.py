@@ -105,9 +105,13 @@ def thin_tracks(fixes: DataFrame, keys: list[str], max_points: int = 400) -> Dat
     return thin_rows(fixes.join(n, keys), keys, step).drop("n_")
 
 
-def suspects_report(suspects: DataFrame, fixes: DataFrame | None = None,
-                    top_n: int = 10) -> DataFrame:
-    """The top suspects rounded for output, with a thinned track when fixes are given."""
+def suspects_report(suspects: DataFrame, fixes: DataFrame | None = None, top_n: int = 10,
+                    counts: DataFrame | None = None, scorer: str = "baseline") -> DataFrame:
+    """The top suspects rounded for output, with a thinned track when fixes are given.
+
+    With ``counts`` (origin_id, n_screened, n_candidates) every row also says how many vessels were
+    looked at and how many were candidates. ``scorer`` names the score that led.
+    """
     c = F.col
     extra = {"track_match": F.lit(0.0), "learned_rank": F.lit(None).cast("int")}
     for name, default in extra.items():
@@ -119,7 +123,11 @@ def suspects_report(suspects: DataFrame, fixes: DataFrame | None = None,
         c("vtype").cast("int").alias("vessel_type"), F.round("length", 1).alias("length_m"),
         F.round("min_dist_km", 2).alias("min_dist_km"),
         F.round("time_gap_min", 1).alias("time_gap_min"),
-        F.round("track_match", 3).alias("track_match"), "evidence", "learned_rank")
+        F.round("track_match", 3).alias("track_match"), "evidence", "learned_rank",
+        F.lit(scorer).alias("scorer"))
+    if counts is not None:
+        top = top.join(counts.select("origin_id", F.col("n_screened").alias("n_vessels_screened"), "n_candidates"),
+                       "origin_id", "left")
     if fixes is None:
         return top
     shown = thin_tracks(fixes.join(top.select(*KEYS), KEYS, "left_semi"), KEYS)

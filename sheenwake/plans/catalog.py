@@ -116,10 +116,12 @@ def snk1_slicks_to_geojson(c):
 @query
 def snk2_suspects_report(c):
     s = c.once("suspects").join(c.once("match"), KEYS, "left")
-    rep = suspects.suspects_report(s, c.once("clean"), 10)
+    rep = suspects.suspects_report(s, c.once("clean"), 10, c.once("counts"))
+    total = lambda f, n: F.round(F.aggregate(F.col(f"track.{f}"), F.lit(0.0), lambda a, x: a + x), n).alias(f"track_{f}")
     return rep.select("origin_id", "rank", "mmsi", "name", r("attribution_pct", 2), "vessel_type",
                       "length_m", "min_dist_km", "time_gap_min", "track_match", text("evidence"),
-                      F.size("track").cast("long").alias("n_track"))
+                      "scorer", "n_vessels_screened", "n_candidates",
+                      F.size("track").cast("long").alias("n_track"), total("t", 1), total("lat", 3), total("lon", 3))
 
 
 @query

@@ -171,7 +171,7 @@ def investigate(scenes: DataFrame, pixels: DataFrame, ais: DataFrame, field: Dat
     cloud, origin = origins.origin_from_drift(back["particles"], slicks)
     track = cut_lineage(back["track"].withColumnRenamed("slick_id", "origin_id"))
     result = attribute(ais, cloud, origin, track, radius_km=radius_km, order=order, canonical=canonical)
-    report = suspects.suspects_report(result["suspects"], result["fixes"], top_n)
+    report = suspects.suspects_report(result["suspects"], result["fixes"], top_n, result["counts"])
     notes = (scenes.select("scene_id").join(found.groupBy("scene_id").agg(
         F.count("*").alias("n_slicks")), "scene_id", "left")
         .select("scene_id", F.coalesce("n_slicks", F.lit(0)).alias("n_slicks"),
