@@ -433,11 +433,18 @@ def hindcast(slicks: DataFrame, footprint: DataFrame, field: DataFrame | None =
     """Backward ensemble of many slicks: particles, spread, heat map, track, window.
 
     Slicks with a grid run on it, the others on their field row. With ``coverage`` (see ``choose_forcing``) only
-    slicks that a grid reaches run on it, and ``forcing`` says for each what it ran on and why.
+    slicks that their grid reaches run on it, and ``forcing`` says for each what it ran on and why.
     """
-    if coverage is not None and grid is not None:
-        reached = choose_forcing(slicks, coverage, prefer).where("realistic").select("slick_id")
-        grid = grid.join(reached, "slick_id", "left_semi")
+    chosen = None
+    if coverage is not None:
+        at = slicks if "lat0" in slicks.columns else slicks.join(
+            footprint.groupBy("slick_id").agg(F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0")), "slick_id")
+        # a grid that is not given reaches nobody
+        given = (coverage.where(F.lit(False)) if grid is None
+                 else coverage.join(grid.select("slick_id").distinct(), "slick_id", "left_semi"))
+        chosen = choose_forcing(at, given, prefer).select("slick_id", "forcing_source", "realistic", "fallback_reason")
+        if grid is not None:
+            grid = grid.join(chosen.where("realistic").select("slick_id"), "slick_id", "left_semi")
     seeds = spread(seed_particles(expand_ages(slicks, n_particles), footprint),
                    "slick_id", "particle_id")
     parts = []
@@ -453,9 +460,8 @@ def hindcast(slicks: DataFrame, footprint: DataFrame, field: DataFrame | None =
     cloud = cut_lineage(cloud)
     out = {"particles": cloud, "spread": particle_spread(cloud), "bounds": heat_bounds(cloud),
            "heat": heatmap(cloud), "track": origin_track(cloud), "window": time_window(slicks)}
-    if coverage is not None:
-        out["forcing"] = choose_forcing(slicks, coverage, prefer).select(
-            "slick_id", "forcing_source", "realistic", "fallback_reason")
+    if chosen is not None:
+        out["forcing"] = chosen
     return out
 
 

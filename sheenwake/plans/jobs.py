@@ -115,7 +115,8 @@ def investigate(scenes: DataFrame, pixels: DataFrame, ais: DataFrame, field: Dat
                 n_particles: int = drift.N_PARTICLES, forecast_h: float = 24.0,
                 max_hindcast_h: float = 24.0, radius_km: float = origins.RADIUS_KM, top_n: int = 10,
                 order: str | None = None, canonical: bool = False,
-                tile: int = raster.TILE, overlap: int = raster.OVERLAP) -> dict[str, DataFrame]:
+                tile: int = raster.TILE, overlap: int = raster.OVERLAP,
+                grid: DataFrame | None = None, coverage: DataFrame | None = None) -> dict[str, DataFrame]:
     """Screen, detect, run back and forward, and attribute for every scene at once.
 
     ``scenes`` has (scene_id, height, width, pixel_size_m, lat, lon, t_detect[, wind]) and ``field``
@@ -123,7 +124,9 @@ def investigate(scenes: DataFrame, pixels: DataFrame, ais: DataFrame, field: Dat
     ``slick_no`` only that one, else the largest. slick_id and origin_id are hashes of
     (scene_id, slick_no), which stand next to them in drift, forecast, attribution and report.
     A slick with an outline of under 3 points starts from its centre. The screen is reported and
-    stops a scene only with ``gate``. ``notes`` says for every scene what was found.
+    stops a scene only with ``gate``. ``notes`` says for every scene what was found. ``grid`` and ``coverage``
+    are current grids and where they hold, with the scene's id in slick_id as in ``field``; drift then says under
+    ``forcing`` what each slick ran on, and why if not on its grid.
     """
     if not all(c in scenes.columns for c in TRANSFORM):
         scenes = scenes.select("*", *place_scene("lat", "lon", "pixel_size_m"))
@@ -163,7 +166,9 @@ def investigate(scenes: DataFrame, pixels: DataFrame, ais: DataFrame, field: Dat
         """``df`` with the scene and the number of each slick."""
         return df.join(keys.withColumnRenamed("slick_id", key), key)
 
-    back = hindcast_request(slicks, field, n_particles=n_particles)
+    per_slick = lambda df: (None if df is None else df.withColumnRenamed("slick_id", "scene_id")
+                            .join(keys, "scene_id").drop("scene_id", "slick_no"))
+    back = hindcast_request(slicks, field, n_particles=n_particles, grid=per_slick(grid), coverage=per_slick(coverage))
     seeds = drift.seed_particles(drift.expand_ages(slicks.drop("polygon"), n_particles),
                                  outline_to_footprint(slicks))
     ahead = drift.forecast_frames(seeds, field, forecast_h)

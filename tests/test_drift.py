@@ -105,3 +105,13 @@ def test_forcing_choice(spark):
     assert {r.forcing_source for r in drift.choose_forcing(s, cov, "analytic").collect()} == {"analytic"}
     with pytest.raises(Exception, match="no gridded currents"):
         drift.choose_forcing(s, cov, "gridded").collect()
+
+
+def test_hindcast_carries_the_choice(spark):
+    s, ids = slick(spark, (1, 2)), (1, 2)
+    cov = spark.createDataFrame([(1, 17., 20., 70., 73., 1.6e9, 1.8e9), (2, 17., 20., 70., 73., 1.6e9, 1.65e9)],
+                                "slick_id long, lat_min double, lat_max double, lon_min double, lon_max double, t_min double, t_max double")
+    h = drift.hindcast(s, line(spark, ids), field(spark, ids), n_particles=20, coverage=cov)
+    rep = drift.origin_report(h, s).collect()
+    assert {(r.slick_id, r.forcing_source, r.realistic, r.fallback_reason) for r in rep} == {
+        (i, "analytic", False, "no gridded currents for this slick") for i in ids}
