@@ -198,6 +198,29 @@ def test_language_model(docs, odd, monkeypatch):
     assert bloom_lm.score(odd, bloom_lm.train(odd.limit(0))).count() == len(ODD)
 
 
+def test_language_model_next_to_plain_bigrams(docs):
+    """The score by exact counts, quantised alike; the filter may only add what its false hits add."""
+    rows = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [b"\n"]) for r in docs.collect()]
+    train = [w for i, w in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    one, two = Counter(x for w in train for x in w), Counter(p for w in train for p in zip([b" ", *w], w))
+    found, model = bloom_lm.train_and_score(docs, ~bloom_lm.held_out())
+    assert model.weight > 0
+    meant = lambda c: bloom_lm.MEANT[bloom_lm.levels(np.array([c]))[0]] if c else 0.0
+    n, v = sum(one.values()), len(one)
+    plain = {}
+    for i, w in rows:
+        total = 0.0
+        for a, b in zip([b" ", *w], w):
+            front = max(len(train), 1) if a == b" " else meant(one[a])
+            rate = min(meant(two[a, b]) / front, 1.0) if front else 0.0
+            total += math.log10((1 - model.weight) * (meant(one[b]) + 0.5) / (n + 0.5 * (v + 1)) + model.weight * rate)
+        plain[i] = total
+    got = {r["doc_id"]: r["lm_score"] for r in found.collect()}
+    assert got.keys() == plain.keys()
+    off = np.array([abs(got[i] - plain[i]) / max(1.0, abs(plain[i])) for i in plain])
+    assert off.max() < 0.02 and np.median(off) < 2e-3
+
+
 def test_weight_rests_on_all_training_texts(spark, docs, monkeypatch):
     import xxhash
 
