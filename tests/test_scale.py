@@ -4,7 +4,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sheenwake.operators import components, drift, metrics, regions
+from sheenwake.operators import ais, asof, components, drift, features, metrics, origins, regions
+from sheenwake.plans import catalog
 from sheenwake.session import cut_lineage
 from sheenwake.sources import demo
 
@@ -59,3 +60,59 @@ def test_tiles_and_shapes_keep_their_tasks(spark, capsys):
         [(1, 40, 40)], "scene_id long, height int, width int"))
     assert "REPARTITION_BY_NUM" in plan(shapes, capsys)
     assert [r.hull_px for r in shapes.collect()] == [1600]
+
+
+def near(spark):
+    """Twenty reports of a vessel around one origin, and the origin's summary."""
+    f = spark.range(20).selectExpr("id ord", "7L mmsi", "1000D + 60 * id t", "18D + id / 1000 lat", "71D + id / 1000 lon",
+                                   "5D sog", "90D cog")
+    s = spark.createDataFrame([(1, 18.0, 71.0, 900.0, 2400.0, 1.0, 17.0, 19.0, 70.0, 72.0)],
+                              "origin_id long, lat_c double, lon_c double, t0 double, t1 double, spread_km double, "
+                              "lat_min double, lat_max double, lon_min double, lon_max double")
+    return cut_lineage(f), cut_lineage(s)
+
+
+def test_boxes_are_not_broadcast_and_fixes_are_spread(spark, capsys):
+    fixes, summary = near(spark)
+    x = origins.ais_near_origin(fixes, summary)
+    text = plan(x, capsys)
+    assert text.count("BroadcastHashJoin") == 2 and "REPARTITION_BY_NUM" in text  # busy cells on either side
+    assert x.count() == 20
+
+
+def test_positions_are_rounded_before_they_are_repeated(spark, capsys):
+    fixes, summary = near(spark)
+    x = catalog._near(fixes, summary)
+    assert "round(" not in plan(x, capsys).split("SortMergeJoin")[0]
+    assert {(r.lat, r.lon) for r in x.collect()} == {(round(18 + i / 1000, 6), round(71 + i / 1000, 6)) for i in range(20)}
+
+
+def test_neighbours_are_shuffled_without_a_struct(spark, capsys):
+    fixes, _ = near(spark)
+    x = asof.with_neighbours(fixes.select("mmsi", "t", "lat"), ["mmsi"], ["t", "lat"], 300.0)
+    assert "lag(lat" in plan(x, capsys)
+    got = {r.t: r.prev for r in x.collect()}
+    assert got[1000.0] is None and all(got[t].t == t - 60 for t in got if t > 1000)
+
+
+def test_tracks_without_a_break_are_not_shuffled_to_meet_the_broken(spark, monkeypatch):
+    fixes, _ = near(spark)
+    written = []
+    monkeypatch.setattr(ais, "cut_lineage", lambda df: written.append(df.columns) or cut_lineage(df))
+    jump = fixes.withColumn("lat", F.expr("if(ord = 9, lat + 3, lat)"))
+    assert [r.t for r in ais.teleports(jump, ["mmsi"]).collect()] == [1540.0]
+    assert ["mmsi"] in written
+
+
+def test_nearest_sample_without_a_filter_on_the_product(spark, capsys):
+    fixes, summary = near(spark)
+    fixes = cut_lineage(fixes.withColumn("origin_id", F.lit(1).cast("long")))
+    cand = cut_lineage(fixes.select("origin_id", "mmsi").distinct())
+    samples = cut_lineage(spark.createDataFrame([(1, 5, 18.0, 71.0, 1000.0), (1, 6, 18.5, 71.0, 1030.0), (1, 7, 18.0, 71.0, 2300.0)],
+                                                "origin_id long, sample_id long, lat double, lon double, t double"))
+    x = features.closest_approach(fixes, cand, samples, summary)
+    text = plan(x, capsys)
+    assert not any("Filter" in row and "ASIN" in row for row in text.splitlines())
+    assert [(r.sample_id, r.dist_km) for r in x.collect()] == [(5, 0.0)]
+    # no sample within the track: the vessel is left out
+    assert features.closest_approach(fixes, cand, samples.where("sample_id = 7"), summary).count() == 0
