@@ -116,3 +116,13 @@ def test_nearest_sample_without_a_filter_on_the_product(spark, capsys):
     assert [(r.sample_id, r.dist_km) for r in x.collect()] == [(5, 0.0)]
     # no sample within the track: the vessel is left out
     assert features.closest_approach(fixes, cand, samples.where("sample_id = 7"), summary).count() == 0
+
+
+def test_particles_are_made_by_many_tasks_and_not_broadcast(spark, capsys):
+    slicks = cut_lineage(spark.range(3).selectExpr("id slick_id", "18D lat0", "71D lon0", "1000D t_detect", "3D age_h",
+                                                   "cast(null as double) lo_h", "cast(null as double) hi_h"))
+    outline = cut_lineage(spark.range(12).selectExpr("id % 3 slick_id", "id vertex", "18D + id / 100 lat", "71D + id / 100 lon"))
+    x = drift.seed_particles(drift.expand_ages(slicks, 50), outline)
+    text = plan(x, capsys)
+    assert "Broadcast" not in text and "REPARTITION_BY_NUM" in text
+    assert x.count() == 150 and x.select("slick_id", "particle_id").distinct().count() == 150
