@@ -16,6 +16,7 @@ import os
 import re
 import uuid
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +51,17 @@ class Encoder:
 
     The library itself splits at a line feed and in front of a space where these stand alone between other
     characters. So texts are cut there into words, those behind a line feed with it, and the distinct words of a
-    batch are looked up, all by Arrow; ids are then gathered word by word with NumPy. A text with other white
+    batch are looked up, all by Arrow; ids are then gathered word by word with NumPy. It also splits between
+    letters and marks, so a word that is letters and a mark or three has the ids of both, end to end, and only its
+    letters are asked for. A text with other white
     space in such places, with control characters that are white space to one side alone, or with
     the string of a special token goes to the library whole. ``kind`` is the narrowest type that holds every id.
     """
 
     ODD = re.compile(r"^\n?+(?:\s|$)|\s$|[\x1c-\x1f\x85]")
+    MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    #: An apostrophe right behind the letters may belong to them, so it is not cut off.
+    ENDED = re.compile(r"(\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)((?!')[!-/:-@\[-`{-~]{1,3})")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -71,12 +77,59 @@ class Encoder:
         self.number: dict[str, int] = {}
         self.ids, self.used = np.empty(1 << 20, self.kind), 0
         self.start, self.size = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
+        self.met = np.zeros(1 << 18, np.int64)
+
+    def forget_rare(self) -> None:
+        """Keep the words that several batches held, half the number allowed at most."""
+        n = len(self.number)
+        kept = np.flatnonzero(self.met[:n] > 1)
+        if len(kept) > KEPT_WORDS // 2:
+            kept = np.sort(kept[np.argsort(-self.met[kept], kind="stable")[:KEPT_WORDS // 2]])
+        words = list(self.number)
+        words = [words[k] for k in kept.tolist()]
+        start, size, met, ids = self.start[kept], self.size[kept], self.met[kept], self.ids
+        self.forget()
+        self.number.update(zip(words, range(len(words))))
+        self._store(np.maximum(size, 0), _gathered(ids, start, np.maximum(size, 0)), 0)
+        self.size[:len(kept)] = size
+        self.met = np.append(met, np.zeros(max(0, len(self.met) - len(met)), np.int64))
+
+    def _store(self, size: np.ndarray, ids: np.ndarray, at: int) -> None:
+        """Keep ``ids``, which are those of the words from number ``at`` on, end to end."""
+        last = at + len(size)
+        self.start, self.size = _grown(self.start, last), _grown(self.size, last)
+        self.start[at:last], self.size[at:last] = self.used + np.cumsum(size) - size, size
+        self.ids = _grown(self.ids, self.used + len(ids))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        """Number new words and keep their ids; size -1 marks words that must not be cut off.
+        """Number new words and keep their ids; a word of letters and marks gets those of its parts."""
+        ended = [m for w in words if w[-1:] in self.MARKS and (m := self.ENDED.fullmatch(w))]
+        made = {m[0] for m in ended}
+        asked = [w for w in words if w not in made]
+        new = set(asked)
+        asked += [c for c in dict.fromkeys(m[1] for m in ended) if c not in self.number and c not in new]
+        if asked:
+            self.ask(asked)
+        if not ended:
+            return
+        # no word holds a blank, so marks behind letters go by names that begin with one
+        marks = [x for x in dict.fromkeys(m[2] for m in ended) if " " + x not in self.number]
+        if marks:
+            ids, first = self.library(marks), len(self.number)
+            self.number.update((" " + x, first + k) for k, x in enumerate(marks))
+            self._store(np.array([*map(len, ids)]), np.concatenate(ids), first)
+        both = np.array([n for m in ended for n in (self.number[m[1]], self.number[" " + m[2]])])
+        size, first = self.size[both], len(self.number)
+        self.number.update((m[0], first + k) for k, m in enumerate(ended))
+        self._store(size.reshape(-1, 2).sum(axis=1), _gathered(self.ids, self.start[both], size), first)
+
+    def ask(self, words: list[str]) -> None:
+        """Number words and keep the library's ids; size -1 marks words that must not be cut off.
 
         Many words are one text to the library, a line each: a line feed is a token of its own there.
         """
@@ -102,6 +155,10 @@ class Encoder:
             self.ids[self.used:self.used + len(ids)] = ids
             self.used += len(ids)
 
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each word, -1 for one not met."""
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, the end id behind each, and the number of ids of each text with it."""
         # every text gets a line feed in front, in whose place the end id of the text before stands at last
@@ -109,20 +166,26 @@ class Encoder:
         words = pc.split_pattern(marked, " ")
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        new = [w for w in distinct if w not in self.number]
+        number = self.numbers(distinct)
+        new = np.flatnonzero(number < 0)
         if len(self.number) + len(new) > KEPT_WORDS:
-            self.forget()
-            new = distinct
-        if new:
-            self.learn(new)
-        number = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+            self.forget_rare()
+            number = self.numbers(distinct)
+            new = np.flatnonzero(number < 0)
+        if len(new):
+            unknown = [distinct[k] for k in new.tolist()]
+            self.learn(unknown)
+            number[new] = self.numbers(unknown)
+        if len(self.met) < len(self.number):
+            self.met = np.append(self.met, np.zeros(2 * len(self.number) - len(self.met), np.int64))
+        self.met[number] += 1
+        number = number[coded.indices.to_numpy()]
         sizes, first = self.size[number], words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()
         whole = np.minimum.reduceat(sizes, first) < 0
         for token in self.special:
             whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         sizes = np.maximum(sizes, 0)
-        ends = np.cumsum(sizes)
-        flat = self.ids[np.repeat(self.start[number] - ends + sizes, sizes) + np.arange(ends[-1])]
+        flat = _gathered(self.ids, self.start[number], sizes)
         n = np.add.reduceat(sizes, first)
         if not whole.any():
             flat[(np.cumsum(n) - n)[1:]] = END
@@ -134,6 +197,12 @@ class Encoder:
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
+def _gathered(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``x`` of so many entries from each start, end to end."""
+    ends = np.cumsum(size)
+    return x[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def _grown(x: np.ndarray, n: int) -> np.ndarray:
     """``x``, or a copy twice as long and more, with room for ``n``."""
     return x if n <= len(x) else np.concatenate([x, np.empty(max(n, 2 * len(x)) - len(x), x.dtype)])
