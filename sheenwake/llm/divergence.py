@@ -68,23 +68,34 @@ def _repeated_words() -> str:
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_words`` and the plain counts of each text; a null text counts as empty."""
     t = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    t = (t.withColumn("_words", F.expr(f"array_remove(split(_text, '{BLANK}', -1), '')"))
-         .withColumn("_solid", F.expr(f"regexp_replace(_text, '{BLANK}', '')"))
+    t = (t.withColumn("_words", _words("_text"))
+         .withColumn("_solid", F.array_join("_words", ""))
          .withColumn("_lines", F.expr("filter(split(_text, '\\n', -1), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')")))
     t = t.withColumns({
         "n_words": F.size("_words").cast("bigint"),
         "word_chars": F.length("_solid").cast("bigint"),
-        "n_symbols": F.expr("length(_solid) - length(regexp_replace(_solid, '[#*$%&|<>]+', ''))").cast("bigint"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
         "n_repeat_words": F.expr(_repeated_words()).cast("bigint")})
-    rest, sizes = "_solid", [(F.length("_text") - F.length("_solid")).alias("blank")]
-    for n, (name, pattern) in enumerate(CLASSES.items()):
+    t, sizes = _class_sizes(t, "_solid")
+    blank = F.length("_text") - F.length("_solid")
+    return (t.withColumn("_chars", F.array(*[s.cast("double") for s in (blank, *sizes)]))
+            # counted where letters, digits and marks are out of the way already
+            .withColumn("n_symbols", F.expr("length(_rest3) - length(regexp_replace(_rest3, '[#*$%&|<>]+', ''))").cast("bigint"))
+            .drop("_solid", "_lines", *[f"_rest{n}" for n in range(len(CLASSES))]))
+
+
+def _words(text: str) -> Column:
+    return F.expr(f"array_remove(split({text}, '{BLANK}', -1), '')")
+
+
+def _class_sizes(t: DataFrame, solid: str) -> tuple[DataFrame, list[Column]]:
+    """``t`` with what each class leaves of ``solid``, and the number of characters of each class and of others."""
+    rest, sizes = solid, []
+    for n, pattern in enumerate(CLASSES.values()):
         t = t.withColumn(f"_rest{n}", F.regexp_replace(rest, pattern, ""))
-        sizes.append((F.length(rest) - F.length(f"_rest{n}")).alias(name))
+        sizes.append(F.length(rest) - F.length(f"_rest{n}"))
         rest = f"_rest{n}"
-    sizes.append(F.length(rest).alias("other"))
-    return (t.withColumn("_chars", F.array(*[s.cast("double") for s in sizes]))
-            .drop("_solid", "_lines", *[f"_rest{n}" for n in range(len(CLASSES))]))
+    return t, [*sizes, F.length(rest)]
 
 
 def _language(lang_col: str) -> Column:
@@ -98,10 +109,17 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     chars and words are histograms that sum to 1, n_chars and n_words what they were made from. Words are counted
     by language; a language's row holds its ``N_COMMON`` commonest at most. An empty table gives no rows.
     """
-    t = measure(docs.select(F.col(text_col).alias("text"), _language(lang_col).alias("lang")))
-    sums = [F.sum(F.col("_chars")[k]).alias(f"c{k}") for k in range(len(HISTOGRAM))]
-    sizes = cut_lineage(t.groupBy("lang").agg(*sums, F.sum("n_words").alias("n")))
-    counts = cut_lineage(t.select("lang", F.explode("_words").alias("w")).groupBy("lang", "w").agg(F.count("*").alias("k")))
+    t = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), _language(lang_col).alias("lang"))
+    counts = cut_lineage(t.select("lang", F.explode(_words("text")).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("k")))
+    # Characters are classed in distinct words, each for all its places; what texts hold beside words is blank.
+    words, classes = _class_sizes(counts, "w")
+    sums = [F.sum(F.col("k") * size).alias(f"c{i}") for i, size in enumerate(classes, 1)]
+    solid = words.groupBy("lang").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.length("w")).alias("solid"), *sums)
+    whole = t.groupBy("lang").agg(F.sum(F.length("text")).alias("length"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    sizes = cut_lineage(whole.join(solid, "lang", "left").select(
+        "lang", (F.col("length") - none("solid")).cast("double").alias("c0"),
+        *[none(f"c{i}").cast("double").alias(f"c{i}") for i in range(1, len(HISTOGRAM))], none("n").alias("n")))
     # rows without a language count for all texts alone
     own = F.col("lang") != ALL
     total = [F.sum(c).alias(c) for c in sizes.columns[1:]]

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from sheenwake.llm import divergence, licenses, pii
 
@@ -191,3 +192,17 @@ def test_reliabilities():
     assert rel["check"][1][2] > 0.9
     weights = pii.fit_classifier(rows, post)
     assert weights[("form", 1)] > weights[("form", -1)]
+
+
+def test_references_class_characters_in_words_and_not_once_more_in_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([("Ab, 12 #x\té\n\nab", "en"), ("ab  ab", "en"), (None, "fr"), (" ", None), ("Zz %", "")],
+                                 "text string, lang string")
+    each = divergence.measure(docs).select(F.when(F.col("lang") != "", F.col("lang")).otherwise("*").alias("lang"), "_chars", "n_words").collect()
+    monkeypatch.setattr(divergence, "measure", None)
+    got = {r["lang"]: r for r in divergence.references(docs).collect()}
+    assert set(got) == {"en", "fr", "*"}
+    for lang, r in got.items():
+        mine = [x for x in each if lang in ("*", x["lang"])]
+        sums = [sum(c) for c in zip(*(x["_chars"] for x in mine))]
+        assert r["n_words"] == sum(x["n_words"] for x in mine) and r["n_chars"] == sum(sums)
+        assert r["chars"] == [pytest.approx(s / max(sum(sums), 1)) for s in sums]
