@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sheenwake.operators import ais, asof, components, drift, features, metrics, origins, regions
+from sheenwake.operators import ais, asof, components, drift, features, metrics, origins, raster, regions
 from sheenwake.plans import catalog
 from sheenwake.session import cut_lineage
 from sheenwake.sources import demo
@@ -126,3 +126,28 @@ def test_particles_are_made_by_many_tasks_and_not_broadcast(spark, capsys):
     text = plan(x, capsys)
     assert "Broadcast" not in text and "REPARTITION_BY_NUM" in text
     assert x.count() == 150 and x.select("slick_id", "particle_id").distinct().count() == 150
+
+
+def test_resizing_joins_pixels_with_scenes_only(spark, tmp_path, capsys):
+    value, cls = pixels(spark, value="(row * 7 + col * 3) % 11 / 10"), pixels(spark, cls="cast((row + col) % 5 as int)")
+    scene = spark.createDataFrame([(1, 40, 40)], "scene_id long, height int, width int")
+    for size in (16, 40, 100):
+        small, labels = raster.resize_scene(value, scene, size), raster.resize_scene(cls, scene, size, labels=True)
+        # cells are made of pixels, and never on the side that is sent to all
+        for x in (small, labels):
+            text = plan(x, capsys)
+            assert "Generate" in text and "Generate" not in text.split("BroadcastExchange")[-1]
+        at = np.clip((np.arange(size) + 0.5) * 40 / size - 0.5, 0, 39)
+        i, f = np.floor(at).astype(int), at - np.floor(at)
+        j, near = np.minimum(i + 1, 39), np.minimum(np.arange(size) * 40 // size, 39)
+        g = np.fromfunction(lambda r, c: (r * 7 + c * 3) % 11 / 10, (40, 40))
+        rows = g[i] * (1 - f)[:, None] + g[j] * f[:, None]
+        want = rows[:, i] * (1 - f) + rows[:, j] * f
+        got = small.toPandas()
+        assert len(got) == size * size
+        assert np.allclose(got["value"], want[got["row"], got["col"]], atol=1e-12)
+        got = labels.toPandas()
+        assert len(got) == size * size
+        assert (got["cls"] == (near[got["row"]] + near[got["col"]]) % 5).all()
+    pd.DataFrame({"s_suppkey": np.arange(4)}).to_parquet(tmp_path / "supplier.parquet")
+    assert "SortMergeJoin" in plan(catalog.queries()["sc27_resize_scene"](spark, str(tmp_path)), capsys)
