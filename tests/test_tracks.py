@@ -374,3 +374,49 @@ def test_grid_with_an_absent_point(spark):
     points = spark.createDataFrame([(1, 0.0, 5.5, 0.5), (1, 0.0, 7.0, 2.0)], "slick_id long, t double, lat double, lon double")
     got = [r["u"] for r in grid_current_lookup(points, spark.createDataFrame(rows, cols)).orderBy("lat").collect()]
     assert abs(got[0] - (1.0 + 1.0 + 1.1 + 0.0) / 4) < 1e-9 and abs(got[1] - 1.2) < 1e-9
+
+
+def _product(spark, every_s=45.0):
+    rows = [(m, 1.7e9 - 7200 + every_s * i + 11 * m, 18.6 + 1e-4 * i, 71.6 + .01 * m) for m in range(5) for i in range(int(14400 / every_s))]
+    rows += [(7, 1.7e9 - 900.0, 18.61, 71.62), (7, 1.7e9 + 900.5, 18.62, 71.61), (8, 1.7e9, 18.6, 71.6)]
+    fx = fixes(spark, rows).withColumns({"origin_id": F.lit(1).cast("long"), "sog": F.expr("if(ord % 5 = 0, null, cast(ord % 7 as double))"),
+                                         "cog": F.expr("if(ord % 3 = 0, null, cast(ord % 360 as double))")})
+    t = np.random.default_rng(5).uniform(1.7e9 - 1800, 1.7e9 + 1800, 200).tolist() + [1.7e9] * 100
+    samples = [(1, None if i % 50 == 9 else i // 2, None if i % 40 == 3 else 18.6 + .001 * (i % 9), 71.6, float(x)) for i, x in enumerate(t)]
+    samples = spark.createDataFrame(samples + [(1, 999, 18.6, 71.6, None)], "origin_id long, sample_id long, lat double, lon double, t double")
+    return features.segments(fx, origins.origin_summary(samples).select(*features.SPAN)), samples
+
+
+def test_blocks_add_up_to_the_product_row_by_row(spark, capsys):
+    steps, samples = _product(spark)
+    at = features.sample_positions(steps, samples)
+    over = F.when(asof.inside_gap(900.0) & (F.col("d") <= 2.0), 1).otherwise(0)
+    near = features.nearness()
+    want = at.groupBy("mmsi").agg(
+        F.count("*").alias("n"), F.sum(F.coalesce(F.exp(-F.col("d") / 5), F.lit(0.0))).alias("prox"), F.min("d").alias("d_min"),
+        F.count("d").alias("n_d"), F.sum(F.expr("if(d is null, 0, least(d, 200D))")).alias("d_sum"), F.min(asof.nearest_dt()).alias("dt_min"),
+        F.sum(over).alias("n_over"), F.min_by("sample_id", near).alias("sample_id"),
+        F.min_by(asof.nearest_value("cog"), near).alias("cog"), F.min_by(asof.nearest_value("sog"), near).alias("sog")).toPandas().set_index("mmsi")
+    assert len(want) == 7 and (want.n == 300).all() and want.n_over.sum() > 0
+    for crowd, crowd_steps in ((4096, 1 << 16), (7, 20)):
+        sums = features.sample_sums(steps, samples, 2.0, crowd, crowd_steps)
+        sums.explain()
+        text = capsys.readouterr().out
+        assert "MapInArrow" in text and "ASIN" not in text  # the product is no rows of the plan
+        got = sums.groupBy("mmsi").agg(
+            *[F.sum(c).alias(c) for c in ("n", "prox", "n_d", "d_sum", "n_over")], F.min("d_min").alias("d_min"), F.min("dt_min").alias("dt_min"),
+            *[F.min_by(c, near).alias(c) for c in ("sample_id", "cog", "sog")]).toPandas().set_index("mmsi").loc[want.index]
+        for c in want.columns:
+            assert np.allclose(got[c].astype(float), want[c].astype(float), rtol=1e-12, equal_nan=True), c
+
+
+def test_no_block_grows_with_the_input(spark):
+    steps, samples = _product(spark, 10.0)
+    whole = features.sample_blocks(steps, samples)
+    assert whole.select(*features.BLOCK).distinct().count() == 1
+    split = features.sample_blocks(steps, samples, 20, 50).groupBy(*features.BLOCK).agg(
+        F.count("t").alias("samples"), F.count("mmsi").alias("steps")).toPandas()
+    # a hundred samples of one moment are split as well
+    assert split.samples.max() < 60 and split.steps.max() < 150
+    met = features.sample_sums(steps, samples, crowd=20, crowd_steps=50).groupBy("mmsi").agg(F.sum("n").alias("n")).collect()
+    assert {r.mmsi: r.n for r in met} == {m: 300 for m in (0, 1, 2, 3, 4, 7, 8)}
