@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sheenwake.operators import ais, asof, components, drift, features, metrics, origins, raster, regions
 from sheenwake.plans import catalog
-from sheenwake.session import cut_lineage
+from sheenwake.session import by_shuffle, cut_lineage
 from sheenwake.sources import demo
 
 
@@ -151,3 +151,15 @@ def test_resizing_joins_pixels_with_scenes_only(spark, tmp_path, capsys):
         assert (got["cls"] == (near[got["row"]] + near[got["col"]]) % 5).all()
     pd.DataFrame({"s_suppkey": np.arange(4)}).to_parquet(tmp_path / "supplier.parquet")
     assert "SortMergeJoin" in plan(catalog.queries()["sc27_resize_scene"](spark, str(tmp_path)), capsys)
+
+
+def test_particles_are_not_sent_to_meet_their_field(spark, capsys):
+    slicks = cut_lineage(spark.range(40).selectExpr("id slick_id", "0D t_detect", "2D age_h", "1D lo_h", "3D hi_h"))
+    foot = slicks.selectExpr("slick_id", "0L vertex", "18D lat", "71D lon")
+    # a field of unknown size, as a join leaves it, and one slick without any
+    field = slicks.where("slick_id > 0").selectExpr("slick_id", *[f"0.1D {c}" for c in drift.FIELD]).join(by_shuffle(slicks.select("slick_id")), "slick_id")
+    seeds = drift.seed_particles(drift.expand_ages(slicks, 50), foot)
+    for x, rows in ((drift.backtrack(seeds, field), 39 * 50), (drift.forecast_frames(seeds, field, n_frames=1), 39 * 100)):
+        text = plan(x, capsys)
+        assert "BuildLeft" not in text and "LeftOuter" in text
+        assert x.count() == rows and x.where("slick_id = 0").count() == 0
