@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheenwake.functions.evidence import FEATURES
-from sheenwake.operators import ais, asof, features, origins, quantile, suspects
+from sheenwake.operators import ais, asof, features, near, origins, quantile, suspects
 from sheenwake.plans import jobs
 from sheenwake.sources import readers, writers
 
@@ -420,3 +420,54 @@ def test_no_block_grows_with_the_input(spark):
     assert split.samples.max() < 60 and split.steps.max() < 150
     met = features.sample_sums(steps, samples, crowd=20, crowd_steps=50).groupBy("mmsi").agg(F.sum("n").alias("n")).collect()
     assert {r.mmsi: r.n for r in met} == {m: 300 for m in (0, 1, 2, 3, 4, 7, 8)}
+
+
+def _crowded_sea(spark):
+    """Origins next to each other, vessels that jump, report twice at a time and cross the boxes, and one without a number."""
+    rng, rows = np.random.default_rng(11), []
+    for m in range(6):
+        t = 1.7e9 - 40000 + np.sort(rng.integers(0, 800, 250)) * 90.0
+        lat, lon = 18.2 + .1 * m + 1e-5 * (t - t[0]) + .3 * (rng.random(250) < .08), 71.2 + 1e-5 * (t - t[0]) - .6 * (rng.random(250) < .04)
+        rows += [(m, float(a), float(b), float(c)) for a, b, c in zip(t, lat, lon)]
+    rows += [(7, 1.7e9 - 3000 + 60.0 * (i // 2), 18.5 + .5 * (i % 2), 71.5) for i in range(40)]
+    rows += [(8, 1.7e9, 25.0, 71.5), (8, 1.7e9 + 60, 18.5, 71.5), (8, 1.7e9 + 90, 18.501, 71.5)]
+    # the first report jumps, so all others are dropped until it could have come so far
+    rows += [(9, 1.7e9 - 9000.0, 19.3, 71.5)] + [(9, 1.7e9 - 8990 + 60.0 * i, 18.4, 71.5) for i in range(90)]
+    fx = fixes(spark, rows).withColumn("mmsi", F.expr("if(mmsi = 7 and ord % 4 = 1, null, mmsi)"))
+    fx = fx.withColumn("ord", F.expr("if(mmsi = 1 and ord % 2 = 0, ord - 1, if(mmsi = 2 and ord % 5 = 0, null, ord))"))
+    where = [(o, 18.3 + .05 * o, 71.3 + .04 * o, 1.7e9 + 1800.0 * (o % 3)) for o in range(30)]
+    cloud_ = spark.createDataFrame([(o, i, la + .01 * i, lo, t + 60.0 * i) for o, la, lo, t in where for i in range(5)],
+                                   "origin_id long, sample_id long, lat double, lon double, t double")
+    return fx, origins.origin_summary(cloud_, pad_km=30.0)
+
+
+def test_groups_of_origins_clean_as_buckets_of_time_do(spark, monkeypatch):
+    fx, summary = _crowded_sea(spark)
+    sent = []
+    monkeypatch.setattr(near, "ais_near_origin", lambda *a, **k: sent.append(origins.ais_near_origin(*a, **k).count()) or origins.ais_near_origin(*a, **k))
+    rows = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    by_group = rows(jobs.near_and_clean(fx, summary, "ord"))
+    # a report is sent to a handful of groups, not to each origin it is near
+    raw = origins.ais_near_origin(fx, summary).count()
+    assert sent[0] < raw / 4 and len(by_group) < raw
+    by_bucket = rows(jobs.near_and_clean(fx, summary, "ord", long_track=0))
+    assert len(sent) == 2 and len(by_bucket) > 2000
+    assert by_group == by_bucket
+    some = rows(jobs.near_and_clean(fx, summary, "ord", long_track=80))
+    assert some == by_group
+    monkeypatch.setattr(near, "GROUP_ORIGINS", 3)
+    monkeypatch.setattr(near, "FIXES_OUT", 5)
+    marked = fx.where("mmsi = 0").dropDuplicates(["t"]).withColumn("rank_", F.lit(1))
+    split, whole = near.clean_near(marked, summary, 12.0, block_fixes=50), near.clean_near(marked, summary, 12.0)
+    assert rows(split) == rows(whole)
+
+
+def test_statics_are_hashed_and_not_sorted(spark, capsys):
+    rows = [(m, 1.7e9 + 60 * i, 0.0, 0.0) for m in range(3) for i in range(8)]
+    fx = fixes(spark, rows).withColumns({"name": F.expr("case when mmsi = 2 then 'nan' when ord % 8 < 2 then '' when ord % 8 < 4 then 'A' else 'B' end"),
+                                         "length": F.expr("if(ord % 8 < 5, null, ord + 0D)")})
+    x = ais.vessel_statics(fx, ["mmsi"])
+    x.explain()
+    first = capsys.readouterr().out.split("Scan")[0].split("HashAggregate")[-1]
+    assert "SortAggregate" not in first  # sorted, if at all, is a row a name
+    assert {r.mmsi: (r.name, r.length) for r in x.collect()} == {m: ("" if m == 2 else "A", 8.0 * m + 5) for m in range(3)}
