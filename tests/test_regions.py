@@ -4,10 +4,11 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sheenwake.operators import components, metrics, raster, regions
+from sheenwake.operators import components, metrics, raster, regions, tiles
 from sheenwake.functions.slicks import TRANSFORM
 from sheenwake.sources import readers
 
@@ -299,3 +300,23 @@ def test_scene_files_are_paired(spark, tmp_path):
     (tmp_path / "train/images/c.png").write_bytes(b"x")
     with pytest.raises(Exception, match="no label for"):
         readers.read_scene_files(spark, str(tmp_path)).collect()
+
+
+def test_tiles_and_shapes_are_no_frames_of_their_own(spark, capsys):
+    """Thousands of small tiles and regions: rows that stand together are worked on as arrays, not a pandas frame each."""
+    a = np.zeros((9, 9), int)
+    a[1:4, 1:4] = a[6, 5:9] = 1
+    df = table(spark, {1: a, 2: a.T})
+    labelled = components.label_regions(df.where("cls = 1"), 4)
+    shapes = regions.region_shapes(labelled, scenes(spark, {1: a, 2: a.T}))
+    shapes.explain()
+    text = capsys.readouterr().out
+    assert "MapInArrow" in text and "Pandas" not in text
+    assert {(r.scene_id, r.label): r.hull_px for r in shapes.collect()} == {
+        (s, x): n for s, spots in ((1, ((1, 1), (6, 5))), (2, ((1, 1), (5, 6)))) for x, n in zip([r * components.WIDE + c for r, c in spots], (9, 4))}
+
+
+def test_groups_keep_nulls_together():
+    b = lambda k, v: pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(v)], ["k", "v"])
+    got = [(k, sum(len(p) for p in parts)) for k, parts in tiles.groups(iter([b([None, None, 1], [1, 2, 3]), b([1, 2], [4, 5])]), 1)]
+    assert got == [((None,), 2), ((1,), 2), ((2,), 1)]
