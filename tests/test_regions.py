@@ -320,3 +320,16 @@ def test_groups_keep_nulls_together():
     b = lambda k, v: pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(v)], ["k", "v"])
     got = [(k, sum(len(p) for p in parts)) for k, parts in tiles.groups(iter([b([None, None, 1], [1, 2, 3]), b([1, 2], [4, 5])]), 1)]
     assert got == [((None,), 2), ((1,), 2), ((2,), 1)]
+
+
+def test_pixels_of_a_block_are_shuffled_together(spark, monkeypatch):
+    a = np.arange(700.0).reshape(20, 35)
+    px = table(spark, {3: a, 4: -a}, "value", "double").coalesce(2)
+    moved = tiles._by_block(px, 8, 1, [F.col("value")])
+    # a row is pixels of a block, some 12 blocks of up to 100 pixels in each scene, not a pixel
+    assert moved.count() <= 2 * 2 * 15
+    want = raster.lee_filter(px, block=64).orderBy("scene_id", "row", "col").toPandas()
+    got = raster.lee_filter(px, block=8).orderBy("scene_id", "row", "col").toPandas()
+    assert len(got) == 1400 and np.allclose(got["value"], want["value"], rtol=1e-12)
+    back = tiles.to_pixels(tiles.to_blocks(px, 8)).orderBy("scene_id", "row", "col").toPandas()
+    assert np.array_equal(back["value"], np.r_[a.ravel(), -a.ravel()])
