@@ -163,3 +163,10 @@ def test_particles_are_not_sent_to_meet_their_field(spark, capsys):
         text = plan(x, capsys)
         assert "BuildLeft" not in text and "LeftOuter" in text
         assert x.count() == rows and x.where("slick_id = 0").count() == 0
+
+
+def test_points_become_clouds_in_many_tasks(spark):
+    points = cut_lineage(spark.range(40).selectExpr("id origin_id", "18D lat", "71D lon", "0D t").coalesce(1))
+    cloud = origins.from_point_cloud(points, 5)
+    assert cloud.rdd.getNumPartitions() == 8
+    assert cloud.groupBy("origin_id").count().where("count = 5").count() == 40
